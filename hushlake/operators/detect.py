@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.arrays import let, name, quoted, scan_before
+from hushlake.functions.once import compute_once
 from hushlake.operators.rules import Rule, checked, may_match
 from hushlake.operators.spans import NO_SPANS
 
@@ -48,10 +49,10 @@ def with_spans(df: DataFrame, rules: list[Rule], text: str = "text", into: str =
     out = out.withColumn(todo, F.filter(F.array(*jobs), lambda j: j.isNotNull()) if jobs else F.lit(None))
     if jobs:
         placed = f"if(size({name(todo)}) > 0, sort_array(flatten(transform(flatten({name(todo)}), job -> {_PLACED}))), null)"
-        out = out.withColumn(into, F.expr(f"coalesce(cast({placed} as {NO_SPANS}), cast(array() as {NO_SPANS}))"))
+        found = F.expr(f"coalesce(cast({placed} as {NO_SPANS}), cast(array() as {NO_SPANS}))")
     else:
-        out = out.withColumn(into, F.array().cast(NO_SPANS))
-    return out.drop(segments, todo, *hits, *jobs)
+        found = F.array().cast(NO_SPANS)
+    return compute_once(out, {into: found}, drop=[segments, todo, *hits, *jobs])
 
 
 def _segments(text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import variants as V
@@ -21,23 +21,24 @@ def extract_fields(
     ``paths`` is the profile: which array members of the body hold texts.
     """
     parsed = requests.select(*keys, V.parse(F.col(body)).alias("__body"))
-    lists = []
-    for array, text, role in paths:
-        lists.append(
-            F.transform(
-                F.try_variant_get("__body", f"$['{array}']", "array<variant>"),
-                lambda item, i, array=array, text=text, role=role: F.struct(
-                    F.concat(F.lit(f"{array}["), i.cast("string"), F.lit(f"].{text}")).alias("path"),
-                    V.optional_text(item, role).alias("role"),
-                    V.optional_text(item, text).alias("text"),
-                ),
-            )
-        )
+    lists = [_texts(*path) for path in paths]
     empty = F.array().cast("array<struct<path string, role string, text string>>")
     fields = F.flatten(F.array(*[F.coalesce(x, empty) for x in lists]))
     return parsed.select(*keys, F.inline(F.filter(fields, lambda f: f["text"].isNotNull())))
 
 
+def _texts(array: str, text: str, role: str) -> Column:
+    """The texts below one array member, each with its path."""
+    return F.transform(
+        F.try_variant_get("__body", f"$['{array}']", "array<variant>"),
+        lambda item, i: F.struct(
+            F.concat(F.lit(f"{array}["), i.cast("string"), F.lit(f"].{text}")).alias("path"),
+            V.optional_text(item, role).alias("role"),
+            V.optional_text(item, text).alias("text"),
+        ),
+    )
+
+
 def field_audit(
     fields: DataFrame, rules: list[Rule], keys: list[str], scope: str, policy: Policy = Policy()
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.arrays import interleave, let, name, quoted
+from hushlake.functions.once import compute_once
 from hushlake.operators.detect import PLACEHOLDER, RULE_CONFIDENCE, with_spans
 from hushlake.operators.rules import Rule, checked, group_count, may_match
 from hushlake.operators.spans import (
@@ -103,7 +104,9 @@ def with_islands(
         f"{placeholder('x.type', 'x.external', 'v', f'cast({name(scope)} as string)', pepper)})"
     )
     found = f"transform({islands(name(spans), name(bounds))}, x -> {let(value, 'v', named)})"
-    return out.withColumn(into, F.expr(f"if({name(bounds)} is null, null, {found})")).drop(spans, bounds)
+    return compute_once(
+        out, {into: F.expr(f"if({name(bounds)} is null, null, {found})")}, drop=[spans, bounds]
+    )
 
 
 def rewrite(text: str, islands: str, replacement: str = "x.replacement") -> Column:
@@ -163,14 +166,15 @@ def mask(
         pepper=pepper,
         into="__islands",
     )
-    result = found.withColumns(
+    return compute_once(
+        found,
         {
             text: F.coalesce(rewrite(source, "__islands"), F.col(text)),
             "replacement_count": F.coalesce(F.size("__islands"), F.lit(0)),
             "entities": F.coalesce(entities_of("__islands"), F.array().cast(NO_ENTITIES)),
-        }
+        },
+        drop=["__masked", "__islands", "__islands_blocks"],
     )
-    return result.drop("__masked", "__islands", "__islands_blocks")
 
 
 def mask_fast(df: DataFrame, rules: list[Rule], scope: str, *, text: str = "text", pepper: str = "") -> DataFrame:
@@ -204,11 +208,10 @@ def mask_fast(df: DataFrame, rules: list[Rule], scope: str, *, text: str = "text
     else:
         entities = f"cast(array() as {NO_ENTITIES})"
     masked = interleave(f"split({col}, {quoted(pattern)}, -1)", "entities.replacement")
-    return (
-        found.withColumn("entities", F.expr(entities))
-        .withColumn("replacement_count", F.size("entities"))
-        .withColumn(text, F.expr(f"if(size(entities) > 0, {masked}, {col})"))
-        .drop("__found")
+    listed = compute_once(found, {"entities": F.expr(entities)}, drop=["__found"])
+    return compute_once(
+        listed,
+        {text: F.expr(f"if(size(entities) > 0, {masked}, {col})"), "replacement_count": F.size("entities")},
     )
 
 
@@ -248,4 +251,4 @@ def residual_matches(masked: DataFrame, rules: list[Rule], text: str = "text", i
     )
     pieces = f"split({name(text)}, {quoted(PLACEHOLDER)}, -1)"
     total = f"aggregate(transform({pieces}, piece -> {counts or '0'}), 0, (a, n) -> a + n)"
-    return masked.withColumn(into, F.expr(f"coalesce({total}, 0)"))
+    return compute_once(masked, {into: F.expr(f"coalesce({total}, 0)")})
