@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 def write_requests(requests: DataFrame, path: str, mode: str = "append") -> None:
     """Write the log as Parquet, one folder for each UTC date.
 
-    Rows of a date are spread over tasks by id, so a busy day is not one task.
+    Rebalancing gathers a quiet date to one file and, by measured size, splits
+    a busy one over several tasks.
     """
-    dated = requests.withColumn("date", F.to_date("timestamp"))
+    dated = requests.withColumn("date", F.to_date("timestamp")).hint("rebalance", "date")
     dated.write.mode(mode).partitionBy("date").parquet(path)
 
 
