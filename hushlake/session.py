@@ -29,6 +29,13 @@ def build_session(app: str = "hushlake", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def adopt(spark: SparkSession) -> SparkSession:
+    """Give a session that was built elsewhere the settings that can be set at run time."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for checkpoints and intermediate tables.
 
