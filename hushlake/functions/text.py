@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,10 +40,25 @@ def limit_field(col: Column, limit: int = FIELD_LIMIT) -> Column:
 
 
 def sanitize(col: Column) -> Column:
-    """Replace credentials in a log text by ``[REDACTED]``."""
-    out = F.regexp_replace(col, _BEARER_HEADER, "$1[REDACTED]")
-    out = F.regexp_replace(out, _NAMED_SECRET, "$1[REDACTED]")
-    return F.regexp_replace(out, _BARE_SECRET, "[REDACTED]")
+    """Replace credentials in a log text by ``[REDACTED]``.
+
+    Most texts hold none of the words that make a credential. Looking for the
+    words is far cheaper than the patterns, which run only where one is found.
+    """
+
+    def clean(text: Column, lower: Column) -> Column:
+        def has(*words: str) -> Column:
+            return functools.reduce(lambda a, b: a & b, [F.contains(lower, F.lit(w)) for w in words])
+
+        named = has("token") | has("secret") | has("password") | has("api", "key")
+        out = F.when(has("authorization", "bearer"), F.regexp_replace(text, _BEARER_HEADER, "$1[REDACTED]")).otherwise(text)
+        out = F.when(named, F.regexp_replace(out, _NAMED_SECRET, "$1[REDACTED]")).otherwise(out)
+        return F.when(has("sk-") | has("bearer"), F.regexp_replace(out, _BARE_SECRET, "[REDACTED]")).otherwise(out)
+
+    cleaned = F.transform(
+        F.array(F.struct(col.alias("text"), F.lower(col).alias("lower"))), lambda x: clean(x["text"], x["lower"])
+    )
+    return F.get(cleaned, F.lit(0))
 
 
 def hide_value(col: Column) -> Column:

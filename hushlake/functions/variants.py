@@ -1,79 +1,82 @@
 """Strict reading of JSON values: a wrong type gives the default, never a cast.
 
-Every function takes a VARIANT column and the name of a member. A null or
-invalid document behaves like an empty object.
+``open_json`` and ``open_record`` take an object apart once, to a struct with
+one VARIANT for each named member; the other functions read such a member.
+Null (a missing member, or a document that is no object) gives the default.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _members(names: Iterable[str]) -> str:
+    return ", ".join(f"`{name}` variant" for name in names)
+
+
 def parse(json: Column) -> Column:
     """JSON text to VARIANT; null for invalid text."""
     return F.try_parse_json(json)
 
 
-def kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def member(v: Column, name: str, as_type: str = "variant") -> Column:
-    return F.try_variant_get(v, f"$['{name}']", as_type)
+def open_json(json: Column, names: Iterable[str]) -> Column:
+    """Members of an object given as JSON text, in one pass over the text."""
+    return F.from_json(json, _members(names))
 
 
-def is_record(v: Column) -> Column:
-    """True for a JSON object; not for null, arrays and scalars."""
-    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+def open_record(v: Column, names: Iterable[str]) -> Column:
+    """Members of an object; null for anything else."""
+    return F.try_variant_get(v, "$", f"struct<{_members(names)}>")
 
 
-def records_of(v: Column) -> Column:
-    """The objects of an array; an empty array for anything else."""
-    items = F.filter(F.try_variant_get(v, "$", "array<variant>"), is_record)
-    return F.coalesce(items, F.from_json(F.lit("[]"), "array<variant>"))
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; null for a null value."""
+    return F.get(F.transform(F.array(value), lambda x: F.when(x.isNotNull(), body(x))), F.lit(0))
 
 
-def records(v: Column, name: str) -> Column:
-    return records_of(member(v, name))
+def kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
 
 
-def _typed(v: Column, name: str, test: Callable[[Column], Column], as_type: str, default) -> Column:
-    found = F.when(test(kind(member(v, name))), member(v, name, as_type))
-    return found if default is None else F.coalesce(found, _literal(default))
+def is_record(v: Column) -> Column:
+    """True for a JSON object; not for null, arrays and scalars."""
+    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
 
 
-def _literal(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def is_number(v: Column) -> Column:
+    return F.substring(kind(v), 1, 3).isin("BIG", "DOU", "FLO", "DEC")
 
 
-def text(v: Column, name: str, default="") -> Column:
-    return _typed(v, name, lambda k: k == "STRING", "string", default)
+def records(v: Column) -> Column:
+    """The objects of an array; an empty array for anything else."""
+    items = F.filter(F.try_variant_get(v, "$", "array<variant>"), is_record)
+    return F.coalesce(items, F.from_json(F.lit("[]"), "array<variant>"))
 
 
-def optional_text(v: Column, name: str) -> Column:
-    return _typed(v, name, lambda k: k == "STRING", "string", None)
+def text(v: Column, default: str | Column = "") -> Column:
+    return F.coalesce(optional_text(v), default if isinstance(default, Column) else F.lit(default))
 
 
-def _is_number(k: Column) -> Column:
-    return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
+def optional_text(v: Column) -> Column:
+    return F.when(kind(v) == "STRING", F.variant_get(v, "$", "string"))
 
 
-def number(v: Column, name: str, default: float = 0, as_type: str = "bigint") -> Column:
+def number(v: Column, default: float = 0, as_type: str = "bigint") -> Column:
     """A finite JSON number; numeric strings are not numbers."""
-    raw = F.when(_is_number(kind(member(v, name))), member(v, name, "double"))
-    finite = F.when(~raw.isin(float("inf"), float("-inf")) & ~F.isnan(raw), raw)
-    whole = F.when(finite.isNotNull(), member(v, name, "bigint")) if as_type == "bigint" else finite
-    return F.coalesce(whole, F.lit(default).cast(as_type))
+    found = F.when(is_number(v), F.try_variant_get(v, "$", as_type))
+    if as_type == "double":
+        found = F.when(F.abs(found) < float("inf"), found)
+    return F.coalesce(found, F.lit(default).cast(as_type))
 
 
-def boolean(v: Column, name: str, default: bool = False) -> Column:
-    return _typed(v, name, lambda k: k == "BOOLEAN", "boolean", default)
+def boolean(v: Column, default: bool = False) -> Column:
+    return F.coalesce(F.when(kind(v) == "BOOLEAN", F.variant_get(v, "$", "boolean")), F.lit(default))
 
 
-def strings_of(v: Column) -> Column:
+def string_list(v: Column) -> Column:
     """The strings of an array; an empty array for anything else."""
     kept = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: kind(x) == "STRING")
     return F.coalesce(
@@ -81,31 +84,22 @@ def strings_of(v: Column) -> Column:
     )
 
 
-def string_list(v: Column, name: str) -> Column:
-    return strings_of(member(v, name))
-
+def _map(v: Column) -> Column:
+    return F.when(is_record(v), F.try_variant_get(v, "$", "map<string,variant>"))
 
-def _map(v: Column, name: str) -> Column:
-    return F.when(is_record(member(v, name)), member(v, name, "map<string,variant>"))
 
-
-def string_map(v: Column, name: str) -> Column:
+def string_map(v: Column) -> Column:
     """Only the string values of an object; null when it is no object."""
-    kept = F.map_filter(_map(v, name), lambda _, x: kind(x) == "STRING")
+    kept = F.map_filter(_map(v), lambda _, x: kind(x) == "STRING")
     return F.transform_values(kept, lambda _, x: F.variant_get(x, "$", "string"))
 
 
-def header_map(v: Column, name: str) -> Column:
+def header_map(v: Column) -> Column:
     """Object of string lists; a value that is no list becomes an empty one."""
-    return F.transform_values(_map(v, name), lambda _, x: strings_of(x))
+    return F.transform_values(_map(v), lambda _, x: string_list(x))
 
 
-def number_map(v: Column, name: str) -> Column:
+def number_map(v: Column) -> Column:
     """Object of numbers; a value that is no number becomes 0. Empty when no object."""
-    found = F.transform_values(
-        _map(v, name),
-        lambda _, x: F.coalesce(
-            F.when(_is_number(kind(x)), F.try_variant_get(x, "$", "bigint")), F.lit(0).cast("bigint")
-        ),
-    )
+    found = F.transform_values(_map(v), lambda _, x: number(x))
     return F.coalesce(found, F.create_map().cast("map<string,bigint>"))

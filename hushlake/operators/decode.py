@@ -1,259 +1,247 @@
 """Documents to typed columns, with the documented default for whatever is missing or wrong.
 
-Each function takes a VARIANT column (``variants.parse`` makes one from JSON
-text) and gives a struct, or an array of structs for a list of documents.
+A document type is a table of members, each with what reads it. Objects are
+taken apart once and their members read from there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import variants as V
 
+# What reads a member, given the opened object and the member's name.
+Reader = Callable[[Column, str], Column]
+Shape = dict[str, Reader]
 
-def _struct(**fields: Column) -> Column:
-    return F.struct(*[value.alias(key) for key, value in fields.items()])
 
+def text(default: str = "") -> Reader:
+    return lambda o, name: V.text(o[name], default)
 
-def _one_of(v: Column, name: str, allowed: list[str], default: str | None) -> Column:
-    value = V.optional_text(v, name)
-    return F.when(value.isin(*allowed), value).otherwise(F.lit(default))
 
+def text_or_null(o: Column, name: str) -> Column:
+    return V.optional_text(o[name])
 
-def decode_policy(v: Column) -> Column:
-    return _struct(
-        enabled=V.boolean(v, "enabled", True),
-        redact_ai_answers=V.boolean(v, "redact_ai_answers"),
-        redact_system_messages=V.boolean(v, "redact_system_messages"),
-        entity_types=F.transform(
-            V.records(v, "entity_types"),
-            lambda r: _struct(type=V.text(r, "type"), enabled=V.boolean(r, "enabled", True)),
-        ),
-        rules=F.transform(
-            V.records(v, "rules"),
-            lambda r: _struct(
-                id=V.text(r, "id"), pattern=V.text(r, "pattern"), enabled=V.boolean(r, "enabled", True)
-            ),
-        ),
-    )
 
+def text_or_member(other: str) -> Reader:
+    """Another member's text stands in for a missing one."""
+    return lambda o, name: V.text(o[name], V.text(o[other]))
 
-def decode_settings(v: Column) -> Column:
-    return _struct(
-        record_request_content=V.boolean(v, "record_request_content"),
-        record_raw_request=V.boolean(v, "record_raw_request"),
-        retention_days=V.number(v, "retention_days", 30),
-        hf_base_url=V.optional_text(v, "hf_base_url"),
-        max_inference_tokens=V.number(v, "max_inference_tokens", 512),
-        inference_provider=_one_of(v, "inference_provider", ["auto", "gpu"], "cpu"),
-        entity_cache_enabled=V.boolean(v, "entity_cache_enabled", True),
-        entity_cache_ttl_seconds=V.number(v, "entity_cache_ttl_seconds", 900),
-    )
 
+def one_of(*allowed: str, default: str | None) -> Reader:
+    def read(o: Column, name: str) -> Column:
+        value = V.optional_text(o[name])
+        return F.when(value.isin(*allowed), value).otherwise(F.lit(default))
 
-def decode_stats(v: Column) -> Column:
-    counts = ["requests", "entities", "streaming_requests"]
-    tokens = ["token_input", "token_output", "token_total", "token_cached"]
-    rates = ["success_rate", "average_latency_ms", "tokens_per_minute"]
-    return _struct(
-        **{c: V.number(v, c) for c in counts},
-        **{c: V.number(v, c, as_type="double") for c in rates},
-        **{c: V.number(v, c) for c in tokens},
-        entity_types=V.number_map(v, "entity_types"),
-        daily=F.transform(
-            V.records(v, "daily"),
-            lambda r: _struct(
-                date=V.text(r, "date"), requests=V.number(r, "requests"), entities=V.number(r, "entities")
-            ),
-        ),
-        granularity=_one_of(v, "granularity", ["hour", "day"], None),
-    )
+    return read
 
 
-def decode_entity(v: Column) -> Column:
-    return _struct(
-        type=V.text(v, "type", "UNKNOWN"),
-        replacement=V.text(v, "replacement"),
-        confidence=V.number(v, "confidence", as_type="double"),
-        sources=V.string_list(v, "sources"),
-    )
+def count(default: int = 0) -> Reader:
+    return lambda o, name: V.number(o[name], default)
 
 
-def decode_audit_entity(v: Column) -> Column:
-    return _struct(
-        type=V.text(v, "type", "UNKNOWN"),
-        replacement=V.text(v, "replacement"),
-        masked=V.optional_text(v, "masked"),
-        confidence=V.number(v, "confidence", as_type="double"),
-        sources=V.string_list(v, "sources"),
-    )
+def count_or_null(o: Column, name: str) -> Column:
+    """Zero counts as missing."""
+    return F.nullif(V.number(o[name]), F.lit(0).cast("bigint"))
 
 
-def decode_field(v: Column) -> Column:
-    return _struct(
-        path=V.text(v, "path"),
-        original_masked=V.text(v, "original_masked"),
-        redacted=V.text(v, "redacted"),
-        entities=F.transform(V.records(v, "entities"), decode_audit_entity),
-    )
+def real(o: Column, name: str) -> Column:
+    return V.number(o[name], as_type="double")
 
 
-def decode_usage(v: Column, name: str = "token_usage") -> Column:
-    usage = V.member(v, name)
-    return F.when(
-        V.is_record(usage),
-        _struct(
-            input=V.number(usage, "input"),
-            output=V.number(usage, "output"),
-            total=V.number(usage, "total"),
-            cached=F.nullif(V.number(usage, "cached"), F.lit(0).cast("bigint")),
-        ),
-    )
+def flag(default: bool = False) -> Reader:
+    return lambda o, name: V.boolean(o[name], default)
 
 
-def decode_raw_request(v: Column, name: str = "raw_request") -> Column:
-    raw = V.member(v, name)
-    return F.when(
-        V.is_record(raw),
-        _struct(
-            method=V.text(raw, "method"),
-            url=V.text(raw, "url"),
-            headers=V.header_map(raw, "headers"),
-            body=V.optional_text(raw, "body"),
-        ),
-    )
+def strings(o: Column, name: str) -> Column:
+    return V.string_list(o[name])
 
 
-def decode_raw_response(v: Column, name: str = "raw_response") -> Column:
-    raw = V.member(v, name)
-    return F.when(
-        V.is_record(raw),
-        _struct(
-            status=V.number(raw, "status"),
-            headers=V.header_map(raw, "headers"),
-            body=V.optional_text(raw, "body"),
-        ),
-    )
+def string_map(o: Column, name: str) -> Column:
+    return V.string_map(o[name])
 
 
-def _request_fields(v: Column) -> dict[str, Column]:
-    return {
-        "id": V.text(v, "id"),
-        "timestamp": V.text(v, "timestamp"),
-        "upstream_id": V.text(v, "upstream_id"),
-        "profile_id": V.text(v, "profile_id"),
-        "operation_id": V.text(v, "operation_id"),
-        "model": V.optional_text(v, "model"),
-        "protection_mode": _one_of(v, "protection_mode", ["redacted", "passthrough", "disabled"], None),
-        "gateway_type": _one_of(v, "gateway_type", ["proxy_gateway"], "api_gateway"),
-        "target_host": V.optional_text(v, "target_host"),
-        "method": V.text(v, "method"),
-        "path": V.text(v, "path"),
-        "status_code": V.number(v, "status_code"),
-        "duration_ms": V.number(v, "duration_ms"),
-        "streaming": V.boolean(v, "streaming"),
-        "request_bytes": V.number(v, "request_bytes"),
-        "response_bytes": V.number(v, "response_bytes"),
-        "entity_count": V.number(v, "entity_count"),
-        "token_usage": decode_usage(v),
-        "error_code": V.optional_text(v, "error_code"),
-    }
-
-
-def decode_request(v: Column) -> Column:
-    return _struct(**_request_fields(v))
-
-
-def decode_request_detail(v: Column) -> Column:
-    return _struct(
-        **_request_fields(v),
-        fields=F.transform(V.records(v, "fields"), decode_field),
-        raw_request=decode_raw_request(v),
-        raw_response=decode_raw_response(v),
-    )
+def headers(o: Column, name: str) -> Column:
+    return V.header_map(o[name])
 
 
-def decode_profile(v: Column) -> Column:
-    operations = V.member(v, "operations")
-    return _struct(
-        id=V.text(v, "id"),
-        name=V.text(v, "name", V.text(v, "id")),
-        operations=F.when(V.kind(operations).startswith("ARRAY"), F.to_json(operations)).otherwise("[]"),
-        header_templates=V.string_map(v, "header_templates"),
-    )
+def counts_by_name(o: Column, name: str) -> Column:
+    return V.number_map(o[name])
 
 
-def decode_upstream(v: Column) -> Column:
-    return _struct(
-        id=V.text(v, "id"),
-        base_url=V.text(v, "base_url"),
-        profile_id=V.text(v, "profile_id"),
-        credential_mode=_one_of(v, "credential_mode", ["managed"], "passthrough"),
-        api_key=V.optional_text(v, "api_key"),
-        header_templates=V.string_map(v, "header_templates"),
-        enabled=V.boolean(v, "enabled", True),
-    )
+def opaque_list(o: Column, name: str) -> Column:
+    """A list kept as JSON text."""
+    return F.when(V.kind(o[name]).startswith("ARRAY"), F.to_json(o[name])).otherwise("[]")
+
+
+def built(shape: Shape, opened: Column) -> Column:
+    """The typed struct of an opened object; all defaults for a null one."""
+    return F.struct(*[read(opened, name).alias(name) for name, read in shape.items()])
+
 
+def object_or_null(shape: Shape) -> Reader:
+    return lambda o, name: V.bind(V.open_record(o[name], shape), lambda x: built(shape, x))
 
-def decode_target(v: Column) -> Column:
-    return _struct(
-        id=V.text(v, "id"),
-        hosts=V.string_list(v, "hosts"),
-        profile_id=V.text(v, "profile_id"),
-        enabled=V.boolean(v, "enabled"),
+
+def object_or_defaults(shape: Shape) -> Reader:
+    return lambda o, name: V.bind(
+        F.coalesce(V.open_record(o[name], shape), V.open_json(F.lit("{}"), shape)), lambda x: built(shape, x)
     )
 
 
-def decode_model(v: Column) -> Column:
-    manifest = V.member(v, "manifest")
-    return _struct(
-        id=V.text(v, "id"),
-        valid=V.boolean(v, "valid"),
-        active=V.boolean(v, "active"),
-        built_in=V.boolean(v, "built_in"),
-        manifest=_struct(
-            name=V.text(manifest, "name"),
-            version=V.text(manifest, "version"),
-            quantization=V.text(manifest, "quantization"),
-            max_tokens=V.number(manifest, "max_tokens"),
-            stride=V.number(manifest, "stride"),
-            label_scheme=V.text(manifest, "label_scheme"),
-            entity_types=V.string_map(manifest, "entity_types"),
-        ),
-        errors=V.string_list(v, "errors"),
+def objects(shape: Shape) -> Reader:
+    """The objects of a list; other members are dropped."""
+    return lambda o, name: F.transform(
+        V.records(o[name]), lambda r: V.bind(V.open_record(r, shape), lambda x: built(shape, x))
     )
 
 
-DECODERS = {
-    "policy": decode_policy,
-    "settings": decode_settings,
-    "stats": decode_stats,
-    "entity": decode_entity,
-    "field": decode_field,
-    "request": decode_request,
-    "request_detail": decode_request_detail,
-    "profiles": decode_profile,
-    "upstreams": decode_upstream,
-    "targets": decode_target,
-    "models": decode_model,
+SWITCH: Shape = {"type": text(), "enabled": flag(True)}
+RULE: Shape = {"id": text(), "pattern": text(), "enabled": flag(True)}
+POLICY: Shape = {
+    "enabled": flag(True),
+    "redact_ai_answers": flag(),
+    "redact_system_messages": flag(),
+    "entity_types": objects(SWITCH),
+    "rules": objects(RULE),
+}
+SETTINGS: Shape = {
+    "record_request_content": flag(),
+    "record_raw_request": flag(),
+    "retention_days": count(30),
+    "hf_base_url": text_or_null,
+    "max_inference_tokens": count(512),
+    "inference_provider": one_of("auto", "gpu", default="cpu"),
+    "entity_cache_enabled": flag(True),
+    "entity_cache_ttl_seconds": count(900),
+}
+BUCKET: Shape = {"date": text(), "requests": count(), "entities": count()}
+STATS: Shape = {
+    "requests": count(),
+    "entities": count(),
+    "success_rate": real,
+    "average_latency_ms": real,
+    "streaming_requests": count(),
+    "entity_types": counts_by_name,
+    "daily": objects(BUCKET),
+    "token_input": count(),
+    "token_output": count(),
+    "token_total": count(),
+    "token_cached": count(),
+    "tokens_per_minute": real,
+    "granularity": one_of("hour", "day", default=None),
+}
+ENTITY: Shape = {"type": text("UNKNOWN"), "replacement": text(), "confidence": real, "sources": strings}
+AUDIT_ENTITY: Shape = {
+    "type": text("UNKNOWN"),
+    "replacement": text(),
+    "masked": text_or_null,
+    "confidence": real,
+    "sources": strings,
+}
+FIELD: Shape = {"path": text(), "original_masked": text(), "redacted": text(), "entities": objects(AUDIT_ENTITY)}
+USAGE: Shape = {"input": count(), "output": count(), "total": count(), "cached": count_or_null}
+RAW_REQUEST: Shape = {"method": text(), "url": text(), "headers": headers, "body": text_or_null}
+RAW_RESPONSE: Shape = {"status": count(), "headers": headers, "body": text_or_null}
+REQUEST: Shape = {
+    "id": text(),
+    "timestamp": text(),
+    "upstream_id": text(),
+    "profile_id": text(),
+    "operation_id": text(),
+    "model": text_or_null,
+    "protection_mode": one_of("redacted", "passthrough", "disabled", default=None),
+    "gateway_type": one_of("proxy_gateway", default="api_gateway"),
+    "target_host": text_or_null,
+    "method": text(),
+    "path": text(),
+    "status_code": count(),
+    "duration_ms": count(),
+    "streaming": flag(),
+    "request_bytes": count(),
+    "response_bytes": count(),
+    "entity_count": count(),
+    "token_usage": object_or_null(USAGE),
+    "error_code": text_or_null,
+}
+REQUEST_DETAIL: Shape = {
+    **REQUEST,
+    "fields": objects(FIELD),
+    "raw_request": object_or_null(RAW_REQUEST),
+    "raw_response": object_or_null(RAW_RESPONSE),
+}
+RESULT: Shape = {"text": text_or_null, "scope_id": text(), "replacement_count": count(), "entities": objects(ENTITY)}
+PROFILE: Shape = {
+    "id": text(),
+    "name": text_or_member("id"),
+    "operations": opaque_list,
+    "header_templates": string_map,
+}
+UPSTREAM: Shape = {
+    "id": text(),
+    "base_url": text(),
+    "profile_id": text(),
+    "credential_mode": one_of("managed", default="passthrough"),
+    "api_key": text_or_null,
+    "header_templates": string_map,
+    "enabled": flag(True),
+}
+TARGET: Shape = {"id": text(), "hosts": strings, "profile_id": text(), "enabled": flag()}
+MANIFEST: Shape = {
+    "name": text(),
+    "version": text(),
+    "quantization": text(),
+    "max_tokens": count(),
+    "stride": count(),
+    "label_scheme": text(),
+    "entity_types": string_map,
+}
+MODEL: Shape = {
+    "id": text(),
+    "valid": flag(),
+    "active": flag(),
+    "built_in": flag(),
+    "manifest": object_or_defaults(MANIFEST),
+    "errors": strings,
+}
+
+SHAPES: dict[str, Shape] = {
+    "policy": POLICY,
+    "settings": SETTINGS,
+    "stats": STATS,
+    "entity": ENTITY,
+    "audit_entity": AUDIT_ENTITY,
+    "field": FIELD,
+    "usage": USAGE,
+    "raw_request": RAW_REQUEST,
+    "raw_response": RAW_RESPONSE,
+    "request": REQUEST,
+    "request_detail": REQUEST_DETAIL,
+    "result": RESULT,
+    "profiles": PROFILE,
+    "upstreams": UPSTREAM,
+    "targets": TARGET,
+    "models": MODEL,
 }
 
 
 def decode(df: DataFrame, kind: str, json: str = "json", keep: list[str] | None = None) -> DataFrame:
-    """Decode a column of JSON text; the fields of the document become columns."""
-    parsed = df.select(*(keep or []), V.parse(F.col(json)).alias("__document"))
-    return parsed.select(*(keep or []), DECODERS[kind](F.col("__document")).alias("__decoded")).select(
-        *(keep or []), "__decoded.*"
-    )
+    """Decode a column of JSON text; the members of the document become columns.
+
+    Members that are not used later are not read from the text.
+    """
+    shape, kept = SHAPES[kind], keep or []
+    opened = df.select(*kept, V.open_json(F.col(json), shape).alias("__opened"))
+    return opened.select(*kept, *[read(F.col("__opened"), name).alias(name) for name, read in shape.items()])
 
 
 def decode_list(df: DataFrame, kind: str, member: str, json: str = "json", keep: list[str] | None = None) -> DataFrame:
     """Decode the objects of one list of a JSON document, one row each, with their place ``pos``."""
-    parsed = df.select(*(keep or []), V.parse(F.col(json)).alias("__document"))
-    items = parsed.select(
-        *(keep or []), F.posexplode(V.records(F.col("__document"), member)).alias("pos", "__item")
-    )
-    return items.select(*(keep or []), "pos", DECODERS[kind](F.col("__item")).alias("__decoded")).select(
-        *(keep or []), "pos", "__decoded.*"
-    )
+    shape, kept = SHAPES[kind], keep or []
+    opened = df.select(*kept, V.open_json(F.col(json), [member]).alias("__opened"))
+    items = opened.select(*kept, F.posexplode(V.records(F.col("__opened")[member])).alias("pos", "__item"))
+    apart = items.select(*kept, "pos", V.open_record(F.col("__item"), shape).alias("__opened"))
+    return apart.select(*kept, "pos", *[read(F.col("__opened"), name).alias(name) for name, read in shape.items()])

@@ -20,7 +20,7 @@ def extract_fields(
 
     ``paths`` is the profile: which array members of the body hold texts.
     """
-    parsed = requests.select(*keys, V.parse(F.col(body)).alias("__body"))
+    parsed = requests.select(*keys, V.open_json(F.col(body), {p[0]: None for p in paths}).alias("__body"))
     lists = [_texts(*path) for path in paths]
     empty = F.array().cast("array<struct<path string, role string, text string>>")
     fields = F.flatten(F.array(*[F.coalesce(x, empty) for x in lists]))
@@ -30,11 +30,14 @@ def extract_fields(
 def _texts(array: str, text: str, role: str) -> Column:
     """The texts below one array member, each with its path."""
     return F.transform(
-        F.try_variant_get("__body", f"$['{array}']", "array<variant>"),
-        lambda item, i: F.struct(
-            F.concat(F.lit(f"{array}["), i.cast("string"), F.lit(f"].{text}")).alias("path"),
-            V.optional_text(item, role).alias("role"),
-            V.optional_text(item, text).alias("text"),
+        F.try_variant_get(F.col("__body")[array], "$", "array<variant>"),
+        lambda item, i: V.bind(
+            V.open_record(item, [role, text]),
+            lambda o: F.struct(
+                F.concat(F.lit(f"{array}["), i.cast("string"), F.lit(f"].{text}")).alias("path"),
+                V.optional_text(o[role]).alias("role"),
+                V.optional_text(o[text]).alias("text"),
+            ),
         ),
     )
 

@@ -1,10 +1,9 @@
 """Which protected target or provider governs a request.
 
-Requests are the large side and never shuffled for a small configuration:
-each shape of host pattern is one equality join with the targets of that
-shape, which Spark broadcasts when it knows them to be small enough
-(``spark.sql.autoBroadcastJoinThreshold``) and shuffles otherwise. No pattern
-is compared with every host, and streams use the same plan.
+Requests are the large side. Each shape of host pattern is one equality join
+with the table of patterns, broadcast if its measured size allows and shuffled
+otherwise. No pattern is compared with every host, and streams use the same
+plan.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.operators.mask import Policy
+from hushlake.operators.sides import measured
 
 # A host name has at most 127 labels; two kinds of pattern, with or without port.
 MAX_SHAPES = 4 * 127
@@ -24,28 +24,16 @@ def url_host(url: Column) -> Column:
 
 
 def host_patterns(targets: DataFrame) -> DataFrame:
-    """Enabled targets, one row for each host pattern, taken apart.
+    """Host patterns of enabled targets in normal form, each with its best target.
 
     ``*.example.com`` stands for subdomains of any depth, not for the domain
     itself; without a port any port matches. Equal patterns keep the lowest id.
     """
     lines = targets.filter("enabled").select(
-        F.col("id").alias("target_id"), "profile_id", F.explode("hosts").alias("__line")
-    )
-    pattern = F.lower(F.trim("__line"))
-    split = lines.select(
-        "target_id",
-        "profile_id",
-        F.regexp_replace(pattern, r"^\*\.|:\d+$", "").alias("suffix"),
-        pattern.startswith("*.").alias("wildcard"),
-        F.regexp_extract(pattern, r":(\d+)$", 1).alias("port"),
-    ).filter(F.col("suffix") != "")
-    best = F.min(F.struct("target_id", "profile_id"))
-    return (
-        split.groupBy("suffix", "wildcard", "port")
-        .agg(best.alias("target"))
-        .withColumn("labels", F.size(F.split("suffix", r"\.")))
+        F.struct(F.col("id").alias("target_id"), "profile_id").alias("target"), F.explode("hosts").alias("line")
     )
+    named = lines.select("target", F.lower(F.trim("line")).alias("pattern"))
+    return named.filter(F.col("pattern") != "").groupBy("pattern").agg(F.min("target").alias("target"))
 
 
 def match_targets(requests: DataFrame, targets: DataFrame, host: str = "target_host") -> DataFrame:
@@ -53,37 +41,38 @@ def match_targets(requests: DataFrame, targets: DataFrame, host: str = "target_h
 
     An exact host wins over a wildcard, a longer suffix over a shorter one,
     then the lower target id. Requests without a match pass through.
+
+    All patterns of one shape (exact or a suffix of n labels, with or without
+    port) are looked up by one key made from the host. The patterns are the
+    same table in each join, so Spark prepares it once.
     """
     patterns = host_patterns(targets)
-    has_port = F.col("port") != ""
-    shapes = (
-        patterns.select("wildcard", F.when(F.col("wildcard"), F.col("labels")).otherwise(0).alias("n"), has_port.alias("p"))
-        .distinct()
-        .limit(MAX_SHAPES + 1)
-        .collect()
+    wildcard = F.col("pattern").startswith("*.")
+    shape = patterns.select(
+        F.when(wildcard, F.size(F.split("pattern", r"\.")) - 1).otherwise(0).alias("labels"),
+        F.contains("pattern", F.lit(":")).alias("with_port"),
     )
+    shapes = shape.distinct().limit(MAX_SHAPES + 1).collect()
     if len(shapes) > MAX_SHAPES:
         raise ValueError("host patterns with more labels than a host name can have")
-    name = F.regexp_replace(F.lower(F.col(host)), r":\d+$", "")
-    port = F.regexp_extract(F.lower(F.col(host)), r":(\d+)$", 1)
-    out = requests.withColumns({"__name": name, "__port": port})
+    lookup = measured(patterns)
+    out = requests.withColumns(
+        {
+            "__name": F.regexp_replace(F.lower(F.col(host)), r":\d+$", ""),
+            "__port": F.regexp_extract(F.lower(F.col(host)), r":\d+$", 0),
+        }
+    )
     levels: dict[int, list[str]] = {}
-    for i, (wildcard, n, with_port) in enumerate(shapes):
-        side = patterns.filter(
-            (F.col("wildcard") == wildcard)
-            & ((F.col("labels") == n) if wildcard else F.lit(True))
-            & (has_port == with_port)
-        ).select(
-            F.col("suffix").alias("__suffix"), F.col("port").alias("__at"), F.col("target").alias(f"__t{i}")
-        )
-        deep = F.size(F.split("__name", r"\.")) > n
-        key = F.when(deep, F.substring_index("__name", ".", -n)) if wildcard else F.col("__name")
-        on = key == F.col("__suffix")
-        if with_port:
-            on = on & (F.col("__port") == F.col("__at"))
-        out = out.join(side, on, "left").drop("__suffix", "__at")
+    for i, (labels, with_port) in enumerate(sorted(shapes)):
+        name = F.col("__name")
+        if labels:
+            deeper = F.size(F.split("__name", r"\.")) > labels
+            name = F.when(deeper, F.concat(F.lit("*."), F.substring_index("__name", ".", -labels)))
+        key = F.when(F.col("__port") != "", F.concat(name, "__port")) if with_port else name
+        side = lookup.select(F.col("pattern").alias("__pattern"), F.col("target").alias(f"__target{i}"))
+        out = out.join(side, key == F.col("__pattern"), "left").drop("__pattern")
         # Exact names come first, then suffixes from long to short.
-        levels.setdefault(-n if wildcard else -1000, []).append(f"__t{i}")
+        levels.setdefault(-labels if labels else -MAX_SHAPES, []).append(f"__target{i}")
     ranked = [
         F.least(*[F.col(c) for c in found]) if len(found) > 1 else F.col(found[0])
         for _, found in sorted(levels.items())
@@ -103,7 +92,7 @@ def route_upstream(requests: DataFrame, upstreams: DataFrame, path: str = "path"
         F.col("id").alias("__id"), F.col("base_url").alias("upstream_url"), F.col("profile_id").alias("upstream_profile")
     )
     wanted = F.nullif(F.regexp_extract(F.col(path), r"^/proxy/([^/?#]+)", 1), F.lit(""))
-    joined = requests.withColumn("__wanted", wanted).join(enabled, F.col("__wanted") == F.col("__id"), "left")
+    joined = requests.withColumn("__wanted", wanted).join(measured(enabled), F.col("__wanted") == F.col("__id"), "left")
     return joined.withColumn("routed_upstream", F.col("__id")).drop("__wanted", "__id")
 
 

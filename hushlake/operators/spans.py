@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlake.functions.arrays import let, scan_before
+from hushlake.operators.sides import measured
 
 # start/end count characters from 0, end exclusive. Sorting this struct sorts
 # by position. ``external`` is false for rules, which win over detectors.
@@ -47,7 +48,7 @@ def filter_types(spans: DataFrame, types: DataFrame, keys: list[str] | None = No
     """Drop external spans of switched-off types. Rules obey their own switch only."""
     on = [*(keys or []), "type"]
     off = types.filter(~F.col("enabled")).select(*on).withColumn("external", F.lit(True)).distinct()
-    return spans.join(off, [*on, "external"], "left_anti").select(*spans.columns)
+    return spans.join(measured(off), [*on, "external"], "left_anti").select(*spans.columns)
 
 
 def _rank(start: Column, end: Column, external: Column, pos: Column, type_: Column) -> Column:

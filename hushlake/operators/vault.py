@@ -52,13 +52,10 @@ def vault_collisions(vault: DataFrame) -> DataFrame:
 
 def _unambiguous(vault: DataFrame) -> DataFrame:
     """Placeholders with exactly one value; the others are never restored."""
-    distinct = vault.select("scope_id", "placeholder", "value").distinct()
-    return (
-        distinct.groupBy("scope_id", "placeholder")
-        .agg(F.count(F.lit(1)).alias("__n"), F.first("value").alias("__value"))
-        .filter(F.col("__n") == 1)
-        .drop("__n")
+    bounds = vault.groupBy("scope_id", "placeholder").agg(
+        F.min("value").alias("__value"), F.max("value").alias("__other")
     )
+    return bounds.filter(F.col("__value") == F.col("__other")).drop("__other")
 
 
 def restore(df: DataFrame, vault: DataFrame, keys: list[str], *, text: str = "text", scope: str = "scope_id") -> DataFrame:
@@ -67,6 +64,7 @@ def restore(df: DataFrame, vault: DataFrame, keys: list[str], *, text: str = "te
     ``keys`` must name one text. Only rows that hold a placeholder are joined.
     The lookup joins on (scope, placeholder), so neither a large scope nor its
     values are ever gathered; what is gathered is one text's own placeholders.
+    The texts are read for each of the three steps: pass a stored table.
     """
     col = name(text)
     marks = f"regexp_extract_all({col}, {quoted(PLACEHOLDER)}, 0)"

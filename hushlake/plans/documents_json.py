@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hushlake.operators.decode import decode
 from hushlake.plans.registry import query
 from hushlake.plans.tables import events
+from hushlake.sources.readers import spread
 
 # ---------------------------------------------------------------- documents
 
@@ -128,7 +129,7 @@ DOCUMENTS = {
 
 
 def json_documents(spark, sf_dir, kind: str):
-    return events(spark, sf_dir).select("event_id", F.expr(DOCUMENTS[kind]).alias("json"))
+    return spread(events(spark, sf_dir), "event_id").select("event_id", F.expr(DOCUMENTS[kind]).alias("json"))
 
 
 # ---------------------------------------------------------------- SQL twin parts

@@ -13,7 +13,9 @@ from hushlake.operators.mask import Policy, entity_counts, mask, mask_conversati
 from hushlake.operators.spans import detect_external, filter_types, merge_spans
 from hushlake.operators.vault import build_vault, islands_table, restore, vault_collisions
 from hushlake.plans.registry import query
-from hushlake.plans.tables import RULES, WORD_RULES, conversations, documents, literal, rules_sql
+from hushlake.plans.tables import RULES, WORD_RULES, conversations, documents, literal, rules_sql, table
+from hushlake.session import work_dir
+from hushlake.sources.writers import write_masked
 
 # ---------------------------------------------------------------- SQL parts
 
@@ -137,9 +139,6 @@ def rule_spans(spark, sf_dir):
     )
 
 
-_SPAN_FIELDS = [F"{c}" for c in ("type", "confidence")]
-
-
 def _island_rows(islands: DataFrame) -> DataFrame:
     return islands.select(
         "doc_id",
@@ -336,6 +335,13 @@ def _vault(spark, sf_dir) -> DataFrame:
     return build_vault(islands_table(documents(spark, sf_dir), RULES, "doc_id"))
 
 
+def _stored(masked: DataFrame) -> DataFrame:
+    """Masked texts as they are kept: written once, read where they are needed."""
+    path = work_dir(masked.sparkSession, "masked")
+    write_masked(masked, path)
+    return masked.sparkSession.read.schema(masked.schema).parquet(path)
+
+
 @query("vault", f"WITH {DOC_ISLANDS}, {_VAULT.format(scope='CAST(doc_id AS VARCHAR)')} SELECT * FROM vault")
 def vault_query(spark, sf_dir):
     return _vault(spark, sf_dir)
@@ -377,14 +383,15 @@ def restore_query(spark, sf_dir):
     turns = conversations(spark, sf_dir).select(
         F.concat_ws("/", "conv_id", "turn").alias("k"), (F.col("conv_id") % 3).alias("scope"), "text"
     )
-    masked = mask(turns, WORD_RULES, "scope")
+    masked = _stored(mask(turns, WORD_RULES, "scope").select("k", "scope_id", "text"))
     return restore(masked, _word_vault(spark, sf_dir), ["k"]).select("k", "text")
 
 
 @query("restore_roundtrip", "SELECT doc_id, text, true AS same FROM documents")
 def restore_roundtrip(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    masked = mask(docs.withColumn("original", F.col("text")), RULES, "doc_id")
+    both = mask(docs.withColumn("original", F.col("text")), RULES, "doc_id")
+    masked = _stored(both.select("doc_id", "scope_id", "original", "text"))
     back = restore(masked, _vault(spark, sf_dir), ["doc_id"])
     return back.select("doc_id", "text", (F.col("text") == F.col("original")).alias("same"))
 
@@ -413,7 +420,8 @@ def entity_counts_query(spark, sf_dir):
 
 @query("detect_distinct", f"""WITH {DOC_SPANS} SELECT doc_id, s AS "start", type, value FROM rule_spans""")
 def detect_distinct_query(spark, sf_dir):
-    found = detect_distinct(documents(spark, sf_dir), RULES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = detect_distinct(docs, RULES)
     return found.select("doc_id", F.inline("spans")).select(
         "doc_id", F.col("start").cast("bigint").alias("start"), "type", "value"
     )

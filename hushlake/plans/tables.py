@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions.labels import BUILT_IN_TYPES
 from hushlake.operators.rules import Rule
+from hushlake.sources.readers import spread
 
 AS_OF = dt.datetime(2024, 1, 15, 12, 0, 0)
 
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,17 @@ def read_client_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLIENT_LOG).json(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
+
+    A large file that cannot be split would keep one core busy with all of its
+    texts. A scan with enough splits, as any large table has, is left alone.
+    Give it a plain scan: counting the splits runs nothing then.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def texts(df: DataFrame, text_col: str, scope_col: str, keys: list[str] | None = None) -> DataFrame:
     """Any table as texts to be masked: keys, scope_id and text."""
     return df.select(*(keys or []), F.col(scope_col).cast("string").alias("scope_id"), F.col(text_col).alias("text"))
