@@ -6,38 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cache_sessions(
-    df: DataFrame, key: str, ttl_seconds: int, ts: str = "ts", bucket_seconds: int = 3600
-) -> DataFrame:
+def cache_sessions(df: DataFrame, key: str, ttl_seconds: int, ts: str = "ts") -> DataFrame:
     """Hits, misses and hit rate of each key; a hit renews the time to live.
 
     A use is a miss if it is the key's first or comes more than the time to
-    live after the one before. Time is cut to buckets, so one busy key is
-    spread over as many tasks as it has buckets; the buckets, a few numbers
-    each, are then chained by key.
+    live after the one before. Uses within a slot as wide as the time to live
+    can never miss each other, so each slot is reduced, before the shuffle, to
+    its number of uses and its ends. A busy key is then no more rows than
+    there are slots in the time covered, and these are chained.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     ttl = ttl_seconds * 1_000_000
-    placed = df.select(
-        F.col(key),
-        micros.alias("__at"),
-        F.floor(micros / F.lit(bucket_seconds * 1_000_000)).alias("__bucket"),
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    slots = (
+        df.select(F.col(key), at.alias("__at"))
+        .groupBy(key, F.floor(F.col("__at") / F.lit(ttl)).alias("__slot"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"), F.max("__at").alias("__last"))
     )
-    before = F.lag("__at").over(Window.partitionBy(key, "__bucket").orderBy("__at"))
-    buckets = (
-        placed.withColumn("__gap", F.col("__at") - before)
-        .groupBy(key, "__bucket")
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.count_if(F.col("__gap") > ttl).alias("__inner"),
-            F.min("__at").alias("__first"),
-            F.max("__at").alias("__last"),
-        )
-    )
-    chain = F.lag("__last").over(Window.partitionBy(key).orderBy("__bucket"))
-    opened = F.coalesce(F.col("__first") - chain > ttl, F.lit(True)).cast("int")
-    totals = buckets.withColumn("__opened", opened).groupBy(key).agg(
-        F.sum("__n").alias("__n"), F.sum(F.col("__inner") + F.col("__opened")).alias("misses")
+    before = F.lag("__last").over(Window.partitionBy(key).orderBy("__slot"))
+    missed = F.coalesce(F.col("__first") - before > ttl, F.lit(True))
+    totals = slots.withColumn("__missed", missed).groupBy(key).agg(
+        F.sum("__n").alias("__n"), F.count_if("__missed").alias("misses")
     )
     hits = F.col("__n") - F.col("misses")
     return totals.select(key, hits.alias("hits"), "misses", (hits / F.col("__n")).alias("hit_rate"))

@@ -55,6 +55,11 @@ def with_spans(df: DataFrame, rules: list[Rule], text: str = "text", into: str =
     return compute_once(out, {into: found}, drop=[segments, todo, *hits, *jobs])
 
 
+def has_placeholder(text: str) -> str:
+    """SQL: whether a text holds a placeholder."""
+    return f"({may_match(text, PLACEHOLDER)} and {text} rlike {quoted(PLACEHOLDER)})"
+
+
 def _segments(text: str) -> str:
     """The pieces between placeholders, each with its place in the text."""
     shape = quoted(PLACEHOLDER)
@@ -69,7 +74,7 @@ def _segments(text: str) -> str:
         f"zip_with({places}, pieces, (at, body) -> named_struct('at', at, 'body', body))",
     )
     return (
-        f"if(contains({text}, ':') and {text} rlike {shape}, {split}, "
+        f"if({has_placeholder(text)}, {split}, "
         f"array(named_struct('at', 0, 'body', {text})))"
     )
 

@@ -79,12 +79,13 @@ def set_switch(types: DataFrame, changes: DataFrame, keys: list[str] | None = No
 
     ``changes`` has the keys, type and enabled, one row for each type.
     """
-    keys = keys or []
-    new = changes.select(*keys, "type", F.col("enabled").alias("__enabled"))
-    joined = types.join(new, [*keys, "type"], "full")
-    return joined.select(
-        *keys, "pos", "type", F.coalesce("__enabled", "enabled").alias("enabled")
-    )
+    on = [*(keys or []), "type"]
+    new = changes.select(*on, F.col("enabled").alias("__enabled"))
+    # Two joins instead of a full one, which could not split a hot type.
+    kept = types.join(new, on, "left").select(*on, "pos", F.coalesce("__enabled", "enabled").alias("enabled"))
+    absent = new.join(types.select(*on).distinct(), on, "left_anti")
+    added = absent.select(*on, F.lit(None).cast(types.schema["pos"].dataType).alias("pos"), F.col("__enabled").alias("enabled"))
+    return kept.unionByName(added)
 
 
 def patch_policy(current: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:

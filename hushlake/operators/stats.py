@@ -72,7 +72,8 @@ def audit_stats(requests: DataFrame, range_name: str, as_of: dt.datetime, tz: st
 def entity_distribution(detail: DataFrame, range_name: str, as_of: dt.datetime, tz: str = "UTC") -> DataFrame:
     """Entities of each type found in a range."""
     kept = in_range(detail, range_bounds(range_name, as_of, tz))
-    types = kept.select(F.explode(F.flatten(F.col("fields.entities"))).alias("__entity"))
+    lists = F.filter(F.col("fields.entities"), lambda e: e.isNotNull())
+    types = kept.select(F.explode(F.flatten(lists)).alias("__entity"))
     return types.groupBy(F.col("__entity.type").alias("type")).agg(F.count(F.lit(1)).alias("n_entities"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.arrays import interleave, name, quoted
-from hushlake.operators.detect import PLACEHOLDER
+from hushlake.operators.detect import PLACEHOLDER, has_placeholder
 from hushlake.operators.mask import with_islands
 from hushlake.operators.rules import Rule
 
@@ -68,7 +68,7 @@ def restore(df: DataFrame, vault: DataFrame, keys: list[str], *, text: str = "te
     """
     col = name(text)
     marks = f"regexp_extract_all({col}, {quoted(PLACEHOLDER)}, 0)"
-    has = F.contains(text, F.lit(":")) & F.col(text).rlike(PLACEHOLDER)
+    has = F.expr(has_placeholder(col))
     marked, plain = df.filter(has), df.filter(~F.coalesce(has, F.lit(False)))
     wanted = marked.select(
         *keys,

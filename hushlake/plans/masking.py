@@ -10,6 +10,7 @@ from hushlake.operators.annotate import annotate_all, annotate_first
 from hushlake.operators.detect import chunk_text, detect_distinct, detect_rules, rebase_spans
 from hushlake.operators.fields import OPENAI_PATHS, extract_fields, field_audit
 from hushlake.operators.mask import Policy, entity_counts, mask, mask_conversations, mask_fast, residual_matches
+from hushlake.operators.rules import Rule
 from hushlake.operators.spans import detect_external, filter_types, merge_spans
 from hushlake.operators.vault import build_vault, islands_table, restore, vault_collisions
 from hushlake.plans.registry import query
@@ -168,16 +169,19 @@ _DETECTORS = [
 
 
 def external(docs: DataFrame) -> DataFrame:
-    """A detector's span table made from the texts."""
-    from hushlake.operators.rules import Rule
-
-    parts = None
-    for source, type_, confidence, pattern in _DETECTORS:
-        part = detect_rules(docs, [Rule(type_, pattern)], ["doc_id"]).select(
-            "doc_id", "start", "end", "type", F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), "value"
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """A detector's span table made from the texts, in one pass over them."""
+    found = detect_rules(docs, [Rule(t, p) for _, t, _, p in _DETECTORS], ["doc_id"])
+    sources = F.array(*[F.lit(s) for s, *_ in _DETECTORS])
+    confidences = F.array(*[F.lit(c) for _, _, c, _ in _DETECTORS])
+    return found.select(
+        "doc_id",
+        "start",
+        "end",
+        "type",
+        sources[F.col("pos")].alias("source"),
+        confidences[F.col("pos")].alias("confidence"),
+        "value",
+    )
 
 
 _EXTERNAL = ",\n".join(
