@@ -45,10 +45,15 @@ def detect_external(rule_spans: DataFrame, external: DataFrame, keys: list[str])
 
 
 def filter_types(spans: DataFrame, types: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Drop external spans of switched-off types. Rules obey their own switch only."""
+    """Drop external spans of switched-off types. Rules obey their own switch only.
+
+    A detector's own table, without the column ``external``, is external as a whole.
+    """
     on = [*(keys or []), "type"]
-    off = types.filter(~F.col("enabled")).select(*on).withColumn("external", F.lit(True)).distinct()
-    return spans.join(measured(off), [*on, "external"], "left_anti").select(*spans.columns)
+    off = types.filter(~F.col("enabled")).select(*on).distinct()
+    if "external" in spans.columns:
+        off, on = off.withColumn("external", F.lit(True)), [*on, "external"]
+    return spans.join(measured(off), on, "left_anti").select(*spans.columns)
 
 
 def _rank(start: Column, end: Column, external: Column, pos: Column, type_: Column) -> Column:

@@ -147,6 +147,7 @@ def test_type_switches_spare_rules(spark):
     both = detect_external(detect_rules(df, RULES, ["id"]), external, ["id"])
     types = spark.createDataFrame([("EMAIL_ADDRESS", False)], "type string, enabled boolean")
     assert [r.external for r in filter_types(both, types).collect()] == [False]
+    assert filter_types(external, types).count() == 0
     assert both.columns == ["id", *SPAN_COLUMNS]
 
 
