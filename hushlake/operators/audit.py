@@ -13,6 +13,9 @@ from hushlake.operators.ranges import day_bounds, instant
 # Fixed value: requests on a page.
 PAGE_SIZE = 50
 
+# From here on, a page looks for its place by minutes first.
+DEEP_OFFSET = 10_000
+
 
 def request_detail(requests: DataFrame, request_id: str) -> DataFrame:
     """One request with everything recorded about it. The filter reaches the scan."""
@@ -88,9 +91,11 @@ def page(requests: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFr
     """A page in order of time, newest first, with has_more and next_offset on each row.
 
     One row more than the page is read, by a top-k that needs no full sort; the
-    window below sees those rows only.
+    window below sees those rows only. A top-k keeps all rows before the page
+    as well, so a deep page first skips the minutes that lie before it.
     """
-    ahead = requests.orderBy(F.col("timestamp").desc(), F.col("id")).offset(offset).limit(limit + 1)
+    rest, skip = (_from_minute_of(requests, offset) if offset > DEEP_OFFSET else (requests, 0))
+    ahead = rest.orderBy(F.col("timestamp").desc(), F.col("id")).offset(offset - skip).limit(limit + 1)
     everything = Window.partitionBy(F.lit(1))
     order = everything.orderBy(F.col("timestamp").desc(), F.col("id"))
     numbered = ahead.withColumn("__n", F.row_number().over(order)).withColumn(
@@ -103,6 +108,26 @@ def page(requests: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFr
     )
 
 
+def _from_minute_of(requests: DataFrame, offset: int) -> tuple[DataFrame, int]:
+    """Requests from the minute that holds the row at ``offset`` on, and how many are newer.
+
+    Counting reads one column and gives one row for each minute of the log.
+    """
+    minute = F.date_trunc("minute", "timestamp").alias("minute")
+    newer = Window.orderBy(F.col("minute").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = requests.groupBy(minute).agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    holds = (F.col("before") <= offset) & (F.col("before") + F.col("n") > offset)
+    found = placed.filter(holds).select(F.unix_micros("minute").alias("minute"), "before").first()
+    if found is None:
+        return requests.filter(F.lit(False)), offset
+    untimed = F.col("timestamp").isNull()
+    if found.minute is None:
+        return requests.filter(untimed), found.before
+    end = F.timestamp_micros(F.lit(found.minute + 60_000_000))
+    return requests.filter((F.col("timestamp") < end) | untimed), found.before
+
+
 def request_properties(requests: DataFrame) -> DataFrame:
     """What the detail view shows of a request. Missing token usage counts as zero."""
     disabled = F.coalesce(F.col("protection_mode") == "disabled", F.lit(False)) | F.coalesce(

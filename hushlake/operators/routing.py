@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.operators.mask import Policy
-from hushlake.operators.sides import measured
+from hushlake.operators.sides import byte_count, measured
 
 # A host name has at most 127 labels; two kinds of pattern, with or without port.
 MAX_SHAPES = 4 * 127
@@ -48,14 +48,18 @@ def match_targets(requests: DataFrame, targets: DataFrame, host: str = "target_h
     """
     patterns = host_patterns(targets)
     wildcard = F.col("pattern").startswith("*.")
-    shape = patterns.select(
-        F.when(wildcard, F.size(F.split("pattern", r"\.")) - 1).otherwise(0).alias("labels"),
-        F.contains("pattern", F.lit(":")).alias("with_port"),
+    labels_of = F.when(wildcard, F.size(F.split("pattern", r"\.")) - 1).otherwise(0)
+    with_port_of = F.contains("pattern", F.lit(":"))
+    # One job tells the shapes and the size. A name has at most 127 labels.
+    shapes = (
+        patterns.groupBy(labels_of.alias("labels"), with_port_of.alias("with_port"))
+        .agg(byte_count().alias("bytes"))
+        .limit(MAX_SHAPES + 1)
+        .collect()
     )
-    shapes = shape.distinct().limit(MAX_SHAPES + 1).collect()
     if len(shapes) > MAX_SHAPES:
         raise ValueError("host patterns with more labels than a host name can have")
-    lookup = measured(patterns)
+    lookup = measured(patterns, size=sum(s.bytes for s in shapes))
     out = requests.withColumns(
         {
             "__name": F.regexp_replace(F.lower(F.col(host)), r":\d+$", ""),
@@ -63,7 +67,7 @@ def match_targets(requests: DataFrame, targets: DataFrame, host: str = "target_h
         }
     )
     levels: dict[int, list[str]] = {}
-    for i, (labels, with_port) in enumerate(sorted(shapes)):
+    for i, (labels, with_port, _) in enumerate(sorted(shapes)):
         name = F.col("__name")
         if labels:
             deeper = F.size(F.split("__name", r"\.")) > labels

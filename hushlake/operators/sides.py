@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def byte_count() -> Column:
+    """Aggregate: bytes of the rows as text."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+
+
+def measured(df: DataFrame, limit: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
     """Mark a configuration table for broadcast if its rows, as text, are within ``limit`` bytes.
 
     Spark cannot know the size of an aggregated or generated table beforehand
     and would shuffle the large side of the join before finding out. Beyond
     the limit the join is left to Spark, which shuffles both sides and splits
-    hot keys.
+    hot keys. ``size`` saves the measurement where it is known.
     """
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size is None:
+        size = df.agg(byte_count()).first()[0]
     return F.broadcast(df) if size <= limit else df

@@ -18,6 +18,16 @@ def test_equals_sql(spark, con, sf_dir, name):
     assert compare.difference(spark, con, name, sf_dir) == ""
 
 
+SQL_TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
+
+
+@pytest.mark.parametrize("name", sorted(set(TWINS) - STREAMED))
+def test_types_equal_sql(spark, con, sf_dir, name):
+    ours = {c: SQL_TYPES[t] for c, t in QUERIES[name](spark, sf_dir).dtypes}
+    theirs = {row[0]: row[1] for row in con.execute(f"DESCRIBE {TWINS[name]}").fetchall()}
+    assert ours == theirs
+
+
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(TWINS)
 
