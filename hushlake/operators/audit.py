@@ -25,7 +25,8 @@ def request_detail(requests: DataFrame, request_id: str) -> DataFrame:
 def dedupe_requests(requests: DataFrame, pos: str = "pos") -> DataFrame:
     """One row for each id: values of its last occurrence, position of its first.
 
-    Occurrences are combined before the shuffle: a hot id is one row of each task.
+    Occurrences are combined before the shuffle: a hot id is one row of each
+    task. All columns given are kept together, so select those needed before.
     """
     fields = [c for c in requests.columns if c not in ("id", pos)]
     return (
@@ -72,7 +73,12 @@ def search_requests(requests: DataFrame, query: str) -> DataFrame:
 
 
 def on_date(requests: DataFrame, date: dt.date | None, tz: str = "UTC") -> DataFrame:
-    return requests.filter(is_on_date(date, tz))
+    """Requests of a local calendar date. A ``date`` column, if the log has one, prunes folders."""
+    kept = requests.filter(is_on_date(date, tz))
+    if date is None or "date" not in requests.columns:
+        return kept
+    start, end = day_bounds(date, tz)
+    return kept.filter(F.col("date").between(F.lit(start.date()), F.lit(end.date())))
 
 
 def by_protection(requests: DataFrame, which: str = "all") -> DataFrame:
@@ -84,7 +90,7 @@ def filter_requests(
     requests: DataFrame, query: str = "", date: dt.date | None = None, tz: str = "UTC", which: str = "all"
 ) -> DataFrame:
     """Search, date and protection together."""
-    return requests.filter(matches_search(query)).filter(is_on_date(date, tz)).filter(has_protection(which))
+    return on_date(requests, date, tz).filter(matches_search(query)).filter(has_protection(which))
 
 
 def page(requests: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
@@ -124,8 +130,11 @@ def _from_minute_of(requests: DataFrame, offset: int) -> tuple[DataFrame, int]:
     untimed = F.col("timestamp").isNull()
     if found.minute is None:
         return requests.filter(untimed), found.before
-    end = F.timestamp_micros(F.lit(found.minute + 60_000_000))
-    return requests.filter((F.col("timestamp") < end) | untimed), found.before
+    end = dt.datetime.fromtimestamp(found.minute // 1_000_000, dt.timezone.utc) + dt.timedelta(minutes=1)
+    rest = requests.filter((F.col("timestamp") < F.lit(end)) | untimed)
+    if "date" in requests.columns:
+        rest = rest.filter((F.col("date") <= F.lit(end.date())) | F.col("date").isNull())
+    return rest, found.before
 
 
 def request_properties(requests: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def test_masking_is_idempotent_and_leaves_nothing(spark):
 
 
 def test_sample_sentence(spark):
-    text = "write to jordan.patel@example.org or call +1 (212) 555-0164 from 198.51.100.64."
+    text = "write to kim.lee+x@mail.example.com or call +44 (020) 555-0199 from 203.0.113.9."
     row = mask(spark.createDataFrame([(1, text)], "id long, text string"), RULES, "id").first()
     assert re.fullmatch(
         r"write to <MASK_EMAIL_ADDRESS:[0-9A-F]{4}> or call <MASK_PHONE_NUMBER:[0-9A-F]{4}> from <MASK_IP_ADDRESS:[0-9A-F]{4}>\.",

@@ -1,5 +1,6 @@
 """Hot keys: one key with a third of all rows must neither change results nor end in one task."""
 
+import datetime as dt
 import random
 from collections import Counter
 
@@ -98,12 +99,13 @@ def test_hot_text_is_detected_once_and_its_copies_are_split(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def test_stored_log_is_pruned_by_date(spark, sf_dir, tmp_path):
-    from hushlake.operators.audit import apply_retention
+def test_stored_log_is_pruned_by_date(spark, sf_dir, tmp_path, monkeypatch):
+    from hushlake.operators.audit import apply_retention, on_date, page
     from hushlake.operators.stats import audit_stats
     from hushlake.plans.tables import AS_OF, requests
     from hushlake.sources.writers import write_requests
 
+    monkeypatch.setattr("hushlake.operators.audit.DEEP_OFFSET", 1000)
     log = requests(spark, sf_dir)
     write_requests(log, str(tmp_path / "log"))
     schema = StructType([*log.schema.fields, StructField("date", DateType())])
@@ -112,6 +114,11 @@ def test_stored_log_is_pruned_by_date(spark, sf_dir, tmp_path):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
     assert kept.count() == apply_retention(log, AS_OF, 7).count()
+    for tz in ("UTC", "Asia/Tokyo", "America/New_York"):
+        day = on_date(stored, dt.date(2024, 1, 10), tz)
+        assert "PartitionFilters: [isnotnull(date" in day._jdf.queryExecution().executedPlan().toString()
+        assert day.count() == on_date(log, dt.date(2024, 1, 10), tz).count() > 0
+    assert [r.id for r in page(stored, 5000).collect()] == [r.id for r in page(log, 5000).collect()]
     narrow = audit_stats(stored, "7d", AS_OF)
     assert narrow.collect() == audit_stats(log, "7d", AS_OF).collect()
     assert "raw_request" not in narrow._jdf.queryExecution().executedPlan().toString()
