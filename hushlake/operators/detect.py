@@ -18,10 +18,9 @@ from hushlake.operators.spans import NO_SPANS
 # masked text again changes nothing.
 PLACEHOLDER = r"<(?:MASK_)?[A-Z][A-Z0-9_]*:[0-9A-F]{4}>"
 
-# Fixed value: white space between tokens.
+# White space between tokens, and a token with what follows it.
+WHITE_SPACE = " \t\n\r\f\x0b"
 TOKEN = r"[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]*"
-_LEADING = r"^[ \t\n\r\f\x0B]+"
-_TRAILING = r"[ \t\n\r\f\x0B]+$"
 
 RULE_CONFIDENCE = 1.0
 
@@ -150,37 +149,23 @@ def chunk_text(
     if not 0 <= stride < max_tokens:
         raise ValueError("need 0 <= stride < max_tokens")
     step = max_tokens - stride
-    tokens = df.select(
-        *keys,
-        F.length(F.regexp_extract(text, _LEADING, 0)).alias("__lead"),
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("__tokens"),
-    ).filter(F.size("__tokens") > 0)
-    n = F.size("__tokens")
-    last = F.greatest(F.ceil((n - max_tokens) / F.lit(step)), F.lit(0)).cast("int")
+    col, blank = name(text), quoted(WHITE_SPACE)
+    starts = f"sequence(0, int(greatest(ceil((size(ts) - {max_tokens}) / {step}), 0)))"
     # Lengths of the blocks between window starts give the window places.
-    blocks = tokens.withColumn("__starts", F.sequence(F.lit(0), last)).withColumn(
-        "__lengths",
-        F.transform(
-            "__starts",
-            lambda k: F.length(F.array_join(F.slice("__tokens", k * step + 1, step), "")),
-        ),
+    lengths = f"transform(ks, k -> length(array_join(slice(ts, k * {step} + 1, {step}), '')))"
+    window = (
+        f"named_struct('chunk', k, 'n_tokens', least(size(ts) - k * {step}, {max_tokens}), "
+        f"'at', length({col}) - length(trim(LEADING {blank} FROM {col})) + before, "
+        f"'text', trim(TRAILING {blank} FROM array_join(slice(ts, k * {step} + 1, {max_tokens}), '')))"
     )
-    placed = blocks.withColumn(
-        "__at", F.expr(scan_before("__lengths", "0", lambda a, b: f"{a} + {b}"))
+    placed = f"zip_with(ks, {scan_before(lengths, '0', lambda a, b: f'{a} + {b}')}, (k, before) -> {window})"
+    windows = let(
+        f"regexp_extract_all({col}, {quoted(TOKEN)}, 0)",
+        "ts",
+        f"if(size(ts) > 0, {let(starts, 'ks', placed)}, null)",
     )
-    windows = F.zip_with(
-        "__starts",
-        "__at",
-        lambda k, at: F.struct(
-            k.alias("chunk"),
-            F.least(n - k * step, F.lit(max_tokens)).alias("n_tokens"),
-            (F.col("__lead") + at).alias("at"),
-            F.regexp_replace(
-                F.array_join(F.slice("__tokens", k * step + 1, max_tokens), ""), _TRAILING, ""
-            ).alias("text"),
-        ),
-    )
-    return placed.select(*keys, F.inline(windows))
+    # The outer form computes the windows once; its row for a text without tokens is dropped.
+    return df.select(*keys, F.inline_outer(F.expr(windows))).filter(F.col("chunk").isNotNull())
 
 
 def rebase_spans(chunk_spans: DataFrame, at: str = "at", chunk: str = "chunk") -> DataFrame:
