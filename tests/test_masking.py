@@ -238,3 +238,20 @@ def test_chunks_cover_the_text(spark):
             assert all(text[c["at"] : c["at"] + len(c.text)] == c.text and len(c.text.split()) == c.n_tokens for c in mine)
     with pytest.raises(ValueError):
         chunk_text(df, ["id"], 4, 4)
+
+
+def test_no_rules_and_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "a@b.org `x`", None), (2, None, "s")], "id long, `the text` string, scope_id string")
+    for masked in (mask(df, [], "id", text="the text"), mask_fast(df, [], "id", text="the text")):
+        assert {r.id: r["the text"] for r in masked.collect()} == {1: "a@b.org `x`", 2: None}
+        assert {r.replacement_count for r in masked.collect()} == {0}
+    row = mask(df, RULES, "scope_id", text="the text").filter("id = 1").first()
+    assert row.replacement_count == 1 and row.scope_id is None
+
+
+def test_quotes_and_backslashes_in_patterns(spark):
+    df = spark.createDataFrame([(1, "it's a\\b \"q\" `t`")], "id long, text string")
+    rules = [Rule("Q", r"'s"), Rule("B", r"\\b"), Rule("D", '"q"'), Rule("T", "`t`")]
+    merged, fast = mask(df, rules, "id").first(), mask_fast(df, rules, "id").first()
+    assert [e.type for e in merged.entities] == [e.type for e in fast.entities] == ["Q", "B", "D", "T"]
+    assert merged.text == fast.text
