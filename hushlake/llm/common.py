@@ -12,6 +12,8 @@ from hushlake.session import adopt, work_dir
 
 #: Deleted or split at where a contract speaks of white space: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Texts may be long, so few of them go to a Python worker at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -20,6 +22,8 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return adopt(spark)
 
 

@@ -39,7 +39,9 @@ SAMPLE = 1000
 ROUNDS = 3
 SMOOTHING = 0.05
 #: Words kept with their scores in each Python worker.
-MEMO = 300_000
+MEMO = 250_000
+#: Words of some texts that are scored together.
+FLUSH = 100_000
 _letters = regex.compile(r"\p{L}+").findall
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,27 +220,27 @@ class Scorer:
         new = [w for w in dict.fromkeys(listed) if w not in self.place]
         logs = np.zeros((len(new), self.logs.shape[1]))
         for group in by_length(new):
-            for some in np.array_split(group, len(group) // 20_000 + 1):
+            for some in np.array_split(group, len(group) // 5_000 + 1):
                 logs[some] = np.log(forward(self.lattice.arcs([new[i] for i in some]), self.model.chances)[-1])
         self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
         self.logs = np.vstack([self.logs, logs])
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The log-probability of each text in each language, and its number of words."""
-        split = [words(t or "") for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        out = np.zeros((len(split), self.logs.shape[1]))
-        at = 0
-        while at < len(split):  # some texts at a time, so that the words kept stay bounded
-            to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 200_000)) + at)
-            flat = list(chain.from_iterable(split[at:to]))
-            if flat:
+        out, sizes = np.zeros((len(texts), self.logs.shape[1])), np.zeros(len(texts), np.int64)
+        flat: list[str] = []
+        first = 0
+        for at, text in enumerate(texts):
+            found = words(text or "")
+            sizes[at] = len(found)
+            flat += found
+            if flat and (len(flat) > FLUSH or at == len(texts) - 1):  # so that the words held stay bounded
                 self.add(flat)
                 codes = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-                owner = np.repeat(np.arange(to - at), sizes[at:to])
+                owner = np.repeat(np.arange(at + 1 - first), sizes[first : at + 1])
                 for lang in range(out.shape[1]):
-                    out[at:to, lang] = np.bincount(owner, self.logs[codes, lang], to - at)
-            at = to
+                    out[first : at + 1, lang] = np.bincount(owner, self.logs[codes, lang], at + 1 - first)
+                flat, first = [], at + 1
         return out, sizes
 
 
