@@ -35,8 +35,16 @@ def n_chars(col: Column) -> Column:
 
 
 def limit_field(col: Column, limit: int = FIELD_LIMIT) -> Column:
-    """Cut after ``limit`` characters and append an ellipsis; null stays null."""
-    return F.when(F.length(col) > limit, F.concat(F.substring(col, 1, limit), F.lit("…"))).otherwise(col)
+    """Cut after ``limit`` UTF-16 units and append an ellipsis; null stays null.
+
+    A character outside the basic plane counts as two units, and is left out
+    whole where the limit falls between them. Text within half the limit cannot be too long.
+    """
+    units = F.encode(col, "UTF-16BE")
+    # The high half of a pair begins with D8 to DB.
+    halved = F.hex(F.substring(units, 2 * limit - 1, 1)).between("D8", "DB")
+    kept = F.decode(F.substring(units, F.lit(1), F.when(halved, 2 * limit - 2).otherwise(2 * limit)), "UTF-16BE")
+    return F.when((F.length(col) * 2 > limit) & (F.octet_length(units) > 2 * limit), F.concat(kept, F.lit("…"))).otherwise(col)
 
 
 def sanitize(col: Column) -> Column:

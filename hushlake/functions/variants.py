@@ -23,8 +23,8 @@ def parse(json: Column) -> Column:
 
 
 def open_json(json: Column, names: Iterable[str]) -> Column:
-    """Members of an object given as JSON text, in one pass over the text."""
-    return F.from_json(json, _members(names))
+    """Members of an object given as JSON text. Text that is not JSON to its end gives null."""
+    return open_record(parse(json), names)
 
 
 def open_record(v: Column, names: Iterable[str]) -> Column:

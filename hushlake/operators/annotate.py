@@ -20,10 +20,9 @@ def annotate_all(text: str, entities: str) -> Column:
     col = name(text)
     usable = f"filter({name(entities)}, e -> e.replacement <> '')"
     # Later entries win, as the map keeps the last of equal keys.
-    known = (
-        f"map_from_entries(transform(array_distinct(es.replacement), r -> "
-        "struct(r, element_at(filter(es, e -> e.replacement = r), -1).type)))"
-    )
+    in_order = "sort_array(transform(es, (e, i) -> struct(e.replacement as r, i as i, e.type as t)))"
+    last = "filter(so, (x, i) -> coalesce(get(so, i + 1).r <> x.r, true))"
+    known = let(in_order, "so", f"map_from_entries(transform({last}, x -> struct(x.r, x.t)))")
     longest = (
         "array_sort(map_keys(known), (a, b) -> case when length(a) > length(b) then -1 "
         "when length(a) < length(b) then 1 else 0 end)"

@@ -13,8 +13,8 @@ from hushlake.operators.ranges import day_bounds, instant
 # Fixed value: requests on a page.
 PAGE_SIZE = 50
 
-# From here on, a page looks for its place by minutes first.
-DEEP_OFFSET = 10_000
+# Ever finer units of time in which a page looks for its place, each with its length in microseconds.
+_UNITS = [86_400_000_000, 60_000_000, 100_000, 1_000]
 
 
 def request_detail(requests: DataFrame, request_id: str) -> DataFrame:
@@ -40,9 +40,7 @@ def matches_search(query: str) -> Column:
     """Provider, model, host and path, joined without a separator, contain the query."""
     if not query:
         return F.lit(True)
-    joined = F.concat(
-        "upstream_id", F.coalesce("model", F.lit("")), F.coalesce("target_host", F.lit("")), F.col("path")
-    )
+    joined = F.concat(*(F.coalesce(c, F.lit("")) for c in ("upstream_id", "model", "target_host", "path")))
     return F.contains(F.lower(joined), F.lit(query.lower()))
 
 
@@ -96,11 +94,12 @@ def filter_requests(
 def page(requests: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
     """A page in order of time, newest first, with has_more and next_offset on each row.
 
-    One row more than the page is read, by a top-k that needs no full sort; the
-    window below sees those rows only. A top-k keeps all rows before the page
-    as well, so a deep page first skips the minutes that lie before it.
+    The place of the page is found first: requests are counted by day, then by
+    minute within the day that holds the offset, and on to the millisecond. So
+    the top-k below keeps the page and what shares its first millisecond, however
+    deep the page lies. The window sees one row more than the page.
     """
-    rest, skip = (_from_minute_of(requests, offset) if offset > DEEP_OFFSET else (requests, 0))
+    rest, skip = _from_place_of(requests, offset)
     ahead = rest.orderBy(F.col("timestamp").desc(), F.col("id")).offset(offset - skip).limit(limit + 1)
     everything = Window.partitionBy(F.lit(1))
     order = everything.orderBy(F.col("timestamp").desc(), F.col("id"))
@@ -114,27 +113,41 @@ def page(requests: DataFrame, offset: int = 0, limit: int = PAGE_SIZE) -> DataFr
     )
 
 
-def _from_minute_of(requests: DataFrame, offset: int) -> tuple[DataFrame, int]:
-    """Requests from the minute that holds the row at ``offset`` on, and how many are newer.
+def _from_place_of(requests: DataFrame, offset: int) -> tuple[DataFrame, int]:
+    """Requests from the millisecond on that holds the row at ``offset``, and how many are newer.
 
-    Counting reads one column and gives one row for each minute of the log.
+    Each step counts one unit of the step before, so it gives as many rows as
+    that has parts (the first: days of the log). Rows without a time come last.
     """
-    minute = F.date_trunc("minute", "timestamp").alias("minute")
-    newer = Window.orderBy(F.col("minute").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counted = requests.groupBy(minute).agg(F.count(F.lit(1)).alias("n"))
-    placed = counted.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-    holds = (F.col("before") <= offset) & (F.col("before") + F.col("n") > offset)
-    found = placed.filter(holds).select(F.unix_micros("minute").alias("minute"), "before").first()
-    if found is None:
-        return requests.filter(F.lit(False)), offset
+    micros = F.unix_micros("timestamp")
     untimed = F.col("timestamp").isNull()
-    if found.minute is None:
-        return requests.filter(untimed), found.before
-    end = dt.datetime.fromtimestamp(found.minute // 1_000_000, dt.timezone.utc) + dt.timedelta(minutes=1)
-    rest = requests.filter((F.col("timestamp") < F.lit(end)) | untimed)
-    if "date" in requests.columns:
-        rest = rest.filter((F.col("date") <= F.lit(end.date())) | F.col("date").isNull())
-    return rest, found.before
+    inside, end, newer = requests.filter(~untimed), None, 0
+    for unit in _UNITS:
+        part = F.floor(micros / unit).cast("long")
+        counted = inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("part").desc()).collect()
+        for row in counted:
+            if newer + row.n > offset:
+                break
+            newer += row.n
+        else:
+            return requests.filter(untimed), newer
+        low, end = _instant(row.part * unit), _instant((row.part + 1) * unit)
+        inside = _dated(requests, F.col("timestamp").between(F.lit(low), F.lit(end)) & (F.col("timestamp") < F.lit(end)), low, end)
+    return _dated(requests, (F.col("timestamp") < F.lit(end)) | untimed, None, end), newer
+
+
+def _instant(micros: int) -> dt.datetime:
+    return dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=micros)
+
+
+def _dated(requests: DataFrame, condition: Column, low: dt.datetime | None, end: dt.datetime) -> DataFrame:
+    """Rows that meet the condition; folders by date outside its bounds are not opened."""
+    kept = requests.filter(condition)
+    if "date" not in requests.columns:
+        return kept
+    if low is None:
+        return kept.filter((F.col("date") <= F.lit(end.date())) | F.col("date").isNull())
+    return kept.filter(F.col("date").between(F.lit(low.date()), F.lit(end.date())))
 
 
 def request_properties(requests: DataFrame) -> DataFrame:

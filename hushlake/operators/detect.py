@@ -28,30 +28,26 @@ RULE_CONFIDENCE = 1.0
 def with_spans(df: DataFrame, rules: list[Rule], text: str = "text", into: str = "spans") -> DataFrame:
     """Add an array of all rule matches, sorted by position, overlaps included.
 
-    Each step is a projection of its own, so that what the next step uses
-    twice is computed once.
+    Places come from decoded characters and slices from bytes, so bytes that
+    are no valid UTF-8 are replaced in the text first. Each step is a
+    projection of its own, so that what the next step uses twice is computed once.
     """
     rules = checked(rules)
     col = name(text)
-    segments, todo = f"__{into}_segments", f"__{into}_todo"
-    hits = [f"__{into}_hits{i}" for i in range(len(rules))]
-    jobs = [f"__{into}_jobs{i}" for i in range(len(rules))]
-    out = df.withColumn(segments, F.expr(_segments(col)))
-    out = out.withColumns({h: F.expr(_hits(name(segments), r.pattern)) for h, r in zip(hits, rules)})
-    out = out.withColumns(
-        {
-            j: F.expr(_jobs(name(segments), name(h), r.pattern, i, r.id))
-            for i, (j, h, r) in enumerate(zip(jobs, hits, rules))
-        }
-    )
-    # Rules without a hit are null here; most rows have none at all.
-    out = out.withColumn(todo, F.filter(F.array(*jobs), lambda j: j.isNotNull()) if jobs else F.lit(None))
-    if jobs:
+    segments, hits, todo = (f"__{into}_{part}" for part in ("segments", "hits", "todo"))
+    out = df.withColumn(text, F.make_valid_utf8(text)).withColumn(segments, F.expr(_segments(col)))
+    if rules:
+        # One column whatever the number of rules.
+        listed = ", ".join(_hits(name(segments), r.pattern) for r in rules)
+        out = out.withColumn(hits, F.expr(f"array({listed})"))
+        jobs = ", ".join(_jobs(name(segments), f"get({name(hits)}, {i})", r.pattern, i, r.id) for i, r in enumerate(rules))
+        # Rules without a hit are null here; most rows have none at all.
+        out = out.withColumn(todo, F.expr(f"filter(array({jobs}), j -> j is not null)"))
         placed = f"if(size({name(todo)}) > 0, sort_array(flatten(transform(flatten({name(todo)}), job -> {_PLACED}))), null)"
         found = F.expr(f"coalesce(cast({placed} as {NO_SPANS}), cast(array() as {NO_SPANS}))")
     else:
         found = F.array().cast(NO_SPANS)
-    return compute_once(out, {into: found}, drop=[segments, todo, *hits, *jobs])
+    return compute_once(out, {into: found}, drop=[segments, hits, todo])
 
 
 def has_placeholder(text: str) -> str:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from hushlake.functions.arrays import interleave, let, name, quoted
 from hushlake.functions.once import compute_once
 from hushlake.operators.detect import PLACEHOLDER, RULE_CONFIDENCE, with_spans
-from hushlake.operators.rules import Rule, checked, group_count, may_match
+from hushlake.operators.rules import Rule, checked, group_count, group_names, may_match, refers_to_groups
+from hushlake.operators.sides import measured
 from hushlake.operators.spans import (
     NO_SPANS,
     SPAN,
@@ -84,10 +85,12 @@ def with_islands(
         given = external_spans(external, keys).groupBy(*keys).agg(
             F.collect_list(F.struct(*SPAN_COLUMNS).cast(SPAN)).alias("__external")
         )
-        # Spans past the end of the text cannot belong to it.
-        fitting = F.filter("__external", lambda s: s["end"] <= F.length(text))
+        # Spans that reach past the end of the text are cut there.
+        cut = F.transform("__external", lambda s: s.withField("end", F.least(s["end"], F.length(text))))
+        fitting = F.filter(cut, lambda s: s["end"] > s["start"])
         both = F.sort_array(F.concat(F.col(spans), F.coalesce(fitting, F.array().cast(NO_SPANS))))
-        out = out.join(given, keys, "left").withColumn(spans, both).drop("__external")
+        # Texts stay where they are if the spans are small enough to go to them.
+        out = out.join(measured(given), keys, "left").withColumn(spans, both).drop("__external")
     out = out.withColumn(
         bounds, F.expr(f"if(size({name(spans)}) > 0, {island_bounds(name(spans))}, null)")
     ).withColumn(
@@ -182,8 +185,13 @@ def mask_fast(df: DataFrame, rules: list[Rule], scope: str, *, text: str = "text
 
     A match that starts inside an earlier one is skipped, so the rest of it
     stays readable. Use it for one rule, or for rules that cannot overlap.
+    Patterns with back-references, and names of groups used twice, are refused.
     """
     rules = checked(rules)
+    names = [n for r in rules for n in group_names(r.pattern)]
+    if any(refers_to_groups(r.pattern) for r in rules) or len(set(names)) < len(names):
+        raise ValueError("a joint pattern would break references to groups: use mask")
+    df = df.withColumn(text, F.make_valid_utf8(text))
     pattern = "|".join(f"({r.pattern})" for r in rules)
     firsts, group = [], 1
     for rule in rules:
@@ -244,11 +252,11 @@ def entity_counts(spans: DataFrame) -> DataFrame:
 
 
 def residual_matches(masked: DataFrame, rules: list[Rule], text: str = "text", into: str = "residual") -> DataFrame:
-    """Add the number of rule matches left outside placeholders."""
-    counts = " + ".join(
-        f"if({may_match('piece', r.pattern)}, regexp_count(piece, {quoted(r.pattern)}), 0)"
-        for r in checked(rules)
-    )
-    pieces = f"split({name(text)}, {quoted(PLACEHOLDER)}, -1)"
+    """Add the number of rule matches left outside placeholders.
+
+    It runs every pattern on every piece, so that it depends on no test the masking relies on.
+    """
+    counts = " + ".join(f"regexp_count(piece, {quoted(r.pattern)})" for r in checked(rules))
+    pieces = f"split(make_valid_utf8({name(text)}), {quoted(PLACEHOLDER)}, -1)"
     total = f"aggregate(transform({pieces}, piece -> {counts or '0'}), 0, (a, n) -> a + n)"
     return compute_once(masked, {into: F.expr(f"coalesce({total}, 0)")})

@@ -1,9 +1,7 @@
 """Which protected target or provider governs a request.
 
-Requests are the large side. Each shape of host pattern is one equality join
-with the table of patterns, broadcast if its measured size allows and shuffled
-otherwise. No pattern is compared with every host, and streams use the same
-plan.
+Requests are the large side. Distinct hosts are resolved by one equality join
+with the table of patterns; no pattern is compared with every host.
 """
 
 from __future__ import annotations
@@ -11,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushlake.functions.arrays import name
 from hushlake.operators.mask import Policy
-from hushlake.operators.sides import byte_count, measured
-
-# A host name has at most 127 labels; two kinds of pattern, with or without port.
-MAX_SHAPES = 4 * 127
+from hushlake.operators.sides import measured
 
 
 def url_host(url: Column) -> Column:
@@ -36,53 +32,44 @@ def host_patterns(targets: DataFrame) -> DataFrame:
     return named.filter(F.col("pattern") != "").groupBy("pattern").agg(F.min("target").alias("target"))
 
 
+# For a host h: each pattern that could match it, with the number of labels it leaves open (0: exact).
+_CANDIDATES = """flatten(transform(array(named_struct('name', regexp_replace(lower({h}), ':\\\\d+$', ''),
+  'port', regexp_extract(lower({h}), ':\\\\d+$', 0), 'labels', split(regexp_replace(lower({h}), ':\\\\d+$', ''), '[.]', -1))),
+  x -> flatten(transform(sequence(0, size(x.labels) - 1), i -> transform(if(x.port = '', array(''), array('', x.port)),
+    p -> named_struct('open', i, 'pattern', concat(if(i = 0, x.name, concat('*.', array_join(slice(x.labels, i + 1, size(x.labels)), '.'))), p)))))))"""
+
+
+def _candidates(host: str) -> Column:
+    return F.expr(_CANDIDATES.format(h=name(host)))
+
+
 def match_targets(requests: DataFrame, targets: DataFrame, host: str = "target_host") -> DataFrame:
     """Add target_id, target_profile and route to each request.
 
     An exact host wins over a wildcard, a longer suffix over a shorter one,
     then the lower target id. Requests without a match pass through.
 
-    All patterns of one shape (exact or a suffix of n labels, with or without
-    port) are looked up by one key made from the host. The patterns are the
-    same table in each join, so Spark prepares it once.
+    Every distinct host is resolved once: the patterns that could match it are
+    made from its labels and looked up by one equality join. The answer is
+    joined back by host, a join that adaptive execution can broadcast or split.
+    A stream has no distinct hosts; there, the patterns are one row of measured
+    size that goes to every request.
     """
     patterns = host_patterns(targets)
-    wildcard = F.col("pattern").startswith("*.")
-    labels_of = F.when(wildcard, F.size(F.split("pattern", r"\.")) - 1).otherwise(0)
-    with_port_of = F.contains("pattern", F.lit(":"))
-    # One job tells the shapes and the size. A name has at most 127 labels.
-    shapes = (
-        patterns.groupBy(labels_of.alias("labels"), with_port_of.alias("with_port"))
-        .agg(byte_count().alias("bytes"))
-        .limit(MAX_SHAPES + 1)
-        .collect()
-    )
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError("host patterns with more labels than a host name can have")
-    lookup = measured(patterns, size=sum(s.bytes for s in shapes))
-    out = requests.withColumns(
-        {
-            "__name": F.regexp_replace(F.lower(F.col(host)), r":\d+$", ""),
-            "__port": F.regexp_extract(F.lower(F.col(host)), r":\d+$", 0),
-        }
-    )
-    levels: dict[int, list[str]] = {}
-    for i, (labels, with_port, _) in enumerate(sorted(shapes)):
-        name = F.col("__name")
-        if labels:
-            deeper = F.size(F.split("__name", r"\.")) > labels
-            name = F.when(deeper, F.concat(F.lit("*."), F.substring_index("__name", ".", -labels)))
-        key = F.when(F.col("__port") != "", F.concat(name, "__port")) if with_port else name
-        side = lookup.select(F.col("pattern").alias("__pattern"), F.col("target").alias(f"__target{i}"))
-        out = out.join(side, key == F.col("__pattern"), "left").drop("__pattern")
-        # Exact names come first, then suffixes from long to short.
-        levels.setdefault(-labels if labels else -MAX_SHAPES, []).append(f"__target{i}")
-    ranked = [
-        F.least(*[F.col(c) for c in found]) if len(found) > 1 else F.col(found[0])
-        for _, found in sorted(levels.items())
-    ]
-    best = F.coalesce(*ranked) if ranked else F.lit(None).cast("struct<target_id string, profile_id string>")
-    return out.withColumn("__best", best).select(
+    if requests.isStreaming:
+        known = patterns.agg(F.map_from_entries(F.collect_list(F.struct("pattern", "target"))).alias("__known"))
+        looked = F.expr(
+            f"transform({_CANDIDATES.format(h=name(host))}, c -> named_struct('open', c.open, 'target', try_element_at(__known, c.pattern)))"
+        )
+        best = F.array_min(F.filter(looked, lambda c: c["target"].isNotNull()))["target"]
+        out = requests.join(measured(known)).withColumn("__best", best)
+    else:
+        hosts = requests.select(F.col(host).alias("__host")).filter("__host IS NOT NULL").distinct()
+        tried = hosts.select("__host", F.inline(_candidates("__host")))
+        found = tried.join(patterns, "pattern").groupBy("__host").agg(F.min(F.struct("open", "target")).alias("__found"))
+        found = found.select("__host", F.col("__found.target").alias("__best"))
+        out = requests.join(found, F.col(host) == F.col("__host"), "left")
+    return out.select(
         *requests.columns,
         F.col("__best.target_id").alias("target_id"),
         F.col("__best.profile_id").alias("target_profile"),
@@ -96,7 +83,7 @@ def route_upstream(requests: DataFrame, upstreams: DataFrame, path: str = "path"
         F.col("id").alias("__id"), F.col("base_url").alias("upstream_url"), F.col("profile_id").alias("upstream_profile")
     )
     wanted = F.nullif(F.regexp_extract(F.col(path), r"^/proxy/([^/?#]+)", 1), F.lit(""))
-    joined = requests.withColumn("__wanted", wanted).join(measured(enabled), F.col("__wanted") == F.col("__id"), "left")
+    joined = requests.withColumn("__wanted", wanted).join(enabled, F.col("__wanted") == F.col("__id"), "left")
     return joined.withColumn("routed_upstream", F.col("__id")).drop("__wanted", "__id")
 
 

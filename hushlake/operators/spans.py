@@ -25,10 +25,14 @@ SPAN_COLUMNS = ["start", "end", "external", "pos", "type", "source", "confidence
 
 
 def external_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Bring a detector's table (keys, start, end, type, source, confidence) to span form."""
+    """Bring a detector's table (keys, start, end, type, source, confidence) to span form.
+
+    A span that begins before the text begins at its first character. What
+    covers no character is left out; ``empty_spans`` counts it.
+    """
     return spans.select(
         *keys,
-        F.col("start").cast("int").alias("start"),
+        F.greatest(F.col("start").cast("int"), F.lit(0)).alias("start"),
         F.col("end").cast("int").alias("end"),
         F.lit(True).alias("external"),
         F.lit(0).alias("pos"),
@@ -36,7 +40,22 @@ def external_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
         F.col("source"),
         F.col("confidence").cast("double").alias("confidence"),
         (F.col("value") if "value" in spans.columns else F.lit(None)).cast("string").alias("value"),
-    ).filter((F.col("start") >= 0) & (F.col("end") > F.col("start")))
+    ).filter(F.col("end") > F.col("start"))
+
+
+def clamp_spans(spans: DataFrame, texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Cut spans in table form to their texts, as ``mask`` does beside the text. Only lengths are joined."""
+    lengths = texts.select(*keys, F.length(F.make_valid_utf8(text)).alias("__length"))
+    cut = spans.join(lengths, keys).withColumn("end", F.least("end", "__length"))
+    return cut.filter(F.col("end") > F.col("start")).select(*spans.columns)
+
+
+def empty_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """For each text, how many of a detector's spans were cut at the beginning and how many cover nothing."""
+    start, end = F.col("start").cast("int"), F.col("end").cast("int")
+    return spans.groupBy(*keys).agg(
+        F.count_if((start < 0) & (end > 0)).alias("clamped"), F.count_if(~(end > F.greatest(start, F.lit(0)))).alias("empty")
+    )
 
 
 def detect_external(rule_spans: DataFrame, external: DataFrame, keys: list[str]) -> DataFrame:

@@ -178,6 +178,22 @@ def requests_filtered(spark, sf_dir):
     return request_rows(audit.filter_requests(requests(spark, sf_dir), "CLICK", dt.date(2024, 1, 12), which="redacted"))
 
 
+@query(
+    "requests_page_deep",
+    f"""WITH {REQUESTS_SQL}, crowded AS (SELECT * REPLACE (date_trunc('day', timestamp) + to_microseconds(event_id % 7 * 1000) AS timestamp) FROM requests),
+page AS (SELECT id, timestamp, upstream_id FROM crowded ORDER BY timestamp DESC, id LIMIT 50 OFFSET 700)
+SELECT id, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS at, upstream_id, true AS has_more, CAST(750 AS BIGINT) AS next_offset FROM page""",
+)
+def requests_page_deep(spark, sf_dir):
+    """A page within a crowded moment: all requests of a day fall into its first seven milliseconds."""
+    moment = F.timestamp_micros(F.unix_micros(F.date_trunc("day", "timestamp")) + F.col("event_id") % 7 * 1000)
+    paged = audit.page(requests(spark, sf_dir).withColumn("timestamp", moment), offset=700)
+    return paged.select(
+        "id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "upstream_id", "has_more",
+        F.col("next_offset").cast("bigint").alias("next_offset"),
+    )
+
+
 @query(
     "requests_page",
     f"WITH {REQUESTS_SQL} SELECT {ROW_SQL}, true AS has_more, CAST(150 AS BIGINT) AS next_offset FROM requests "

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from hushlake.functions.text import hide_value, n_chars
 from hushlake.operators.annotate import annotate_all, annotate_first
+from hushlake.operators.decode import decode
 from hushlake.operators.detect import chunk_text, detect_distinct, detect_rules, rebase_spans
 from hushlake.operators.fields import OPENAI_PATHS, extract_fields, field_audit
 from hushlake.operators.mask import Policy, entity_counts, mask, mask_conversations, mask_fast, residual_matches
+from hushlake.operators.protect import mask_with_policy
 from hushlake.operators.rules import Rule
 from hushlake.operators.spans import detect_external, filter_types, merge_spans
 from hushlake.operators.vault import build_vault, islands_table, restore, vault_collisions
@@ -247,6 +249,78 @@ def mask_documents_external(spark, sf_dir):
     return result(mask(docs, RULES, "doc_id", external=external(docs), keys=["doc_id"]), "doc_id")
 
 
+# The rules' patterns in parts of Java's dialect that a reader of plain patterns may trip over: nested and
+# intersected classes, quoting, octal escapes, back-references.
+_DIALECT = [
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9[._%+-]]+@[A-Za-z0-9.-]+\Q.\E[A-Za-z&&[^_]]{2,}", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("PHONE_NUMBER", r"\053\d{1,3} \Q(\E[0-9[0-4]]{3}\) \d{3}-\d{4}", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"),
+    (
+        "BANK_CARD",
+        r"\b(\d)\d{14}\1\b",
+        r"\b(?:" + "|".join(f"{d}\\d{{14}}{d}" for d in range(10)) + r")\b",
+    ),
+    ("SECRET", r"(?i)TOKEN(?-i)\s*[:=]\s*[\S&&[^,;]]+", r"[Tt][Oo][Kk][Ee][Nn]\s*[:=]\s*[^\s,;]+"),
+]
+_PLAIN = spans_sql("documents", "doc_id", [Rule(i, plain) for i, _, plain in _DIALECT])
+
+
+@query(
+    "mask_dialect",
+    f"""WITH {_PLAIN}, {islands_sql('rule_spans', 'documents', 'doc_id')}, {masked_sql('documents', 'doc_id')}
+SELECT doc_id, text, replacement_count, entities FROM masked""",
+)
+def mask_dialect(spark, sf_dir):
+    rules = [Rule(i, java) for i, java, _ in _DIALECT]
+    return result(mask(documents(spark, sf_dir), rules, "doc_id"), "doc_id")
+
+
+@query(
+    "mask_external_clamped",
+    f"""WITH {DOC_SPANS}, all_spans AS (SELECT * FROM rule_spans UNION ALL BY NAME
+SELECT doc_id, true AS external, 0 AS pos, 'EDGE' AS type, 'model:e' AS source, 0.5::DOUBLE AS confidence,
+       unnest([greatest(-4, 0), greatest(length(text) - 6, 0)]) AS s, unnest([least(5, length(text)), length(text)]) AS e FROM documents
+WHERE doc_id % 3 = 0), {islands_sql('all_spans', 'documents', 'doc_id')}, {masked_sql('documents', 'doc_id')}
+SELECT doc_id, text, replacement_count, entities FROM masked""",
+)
+def mask_external_clamped(spark, sf_dir):
+    """A detector's spans that reach past both ends of every third text."""
+    docs = documents(spark, sf_dir)
+    edges = F.array(
+        F.struct(F.lit(-4).alias("start"), F.lit(5).alias("end")),
+        F.struct((F.length("text") - 6).alias("start"), (F.length("text") + 9).alias("end")),
+    )
+    given = docs.filter("doc_id % 3 = 0").select("doc_id", F.inline(edges)).withColumns(
+        {"type": F.lit("EDGE"), "source": F.lit("model:e"), "confidence": F.lit(0.5)}
+    )
+    return result(mask(docs, RULES, "doc_id", external=given, keys=["doc_id"]), "doc_id")
+
+
+# A policy document as it is stored: a rule switched off, a type switched off and on again, which has no effect.
+_POLICY = """{"enabled": true, "redact_ai_answers": true,
+ "entity_types": [{"type": "PERSON", "enabled": false}, {"type": "PERSON", "enabled": true}, {"type": "URL"}],
+ "rules": [{"id": "email_address", "pattern": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"},
+  {"id": "PHONE_NUMBER", "pattern": "[+]", "enabled": false}, {"id": "BLANK", "pattern": " "},
+  {"id": "IP_ADDRESS", "pattern": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"}]}"""
+_USED = [
+    Rule("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
+    Rule("IP_ADDRESS", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"),
+]
+
+
+@query(
+    "mask_with_policy",
+    f"""WITH {spans_sql('documents', 'doc_id', _USED)}, {_EXTERNAL},
+kept AS (SELECT * FROM all_spans WHERE NOT (external AND type = 'PERSON')),
+{islands_sql('kept', 'documents', 'doc_id')}, {masked_sql('documents', 'doc_id')}
+SELECT doc_id, text, replacement_count, entities FROM masked""",
+)
+def mask_with_policy_query(spark, sf_dir):
+    """From the policy's text to masked documents."""
+    docs = documents(spark, sf_dir)
+    policy = decode(spark.range(1).select(F.lit(_POLICY).alias("json")), "policy")
+    return result(mask_with_policy(docs, policy, "doc_id", external=external(docs), keys=["doc_id"]), "doc_id")
+
+
 # ------------------------------------------------------- conversations, fields
 
 _CONV = (

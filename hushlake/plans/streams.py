@@ -1,8 +1,4 @@
-"""Streaming queries: each table as a file stream, run until nothing is left.
-
-Windows and sessions still open at the end have not been emitted, so the SQL
-twin keeps what the watermark has closed.
-"""
+"""Streaming queries: each table as a file stream, run until nothing is left."""
 
 from __future__ import annotations
 
@@ -30,7 +26,6 @@ def _times(df):
     return df.withColumns({c: F.date_format(c, shape) for c in ("start", "end")})
 
 
-_CLOSED = "date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE"
 _SHOWN = """strftime("start", '%Y-%m-%d %H:%M:%S') AS "start", strftime("end", '%Y-%m-%d %H:%M:%S') AS "end\""""
 
 
@@ -50,20 +45,20 @@ def route_stream(spark, sf_dir):
     "activity_stream",
     f"""WITH {REQUESTS_SQL}, windows AS (SELECT date_trunc('hour', timestamp) AS "start", date_trunc('hour', timestamp) + INTERVAL 1 HOUR AS "end",
   count(*) AS requests, CAST(sum(entity_count) AS BIGINT) AS entities FROM requests GROUP BY ALL)
-SELECT {_SHOWN}, requests, entities FROM windows WHERE "end" <= {_CLOSED}""",
+SELECT {_SHOWN}, requests, entities FROM windows""",
 )
 def activity_stream(spark, sf_dir):
-    return _times(S.run_available(S.activity_stream(_requests(spark, sf_dir)), "activity"))
+    return _times(S.run_bounded(S.activity_stream(_requests(spark, sf_dir)), "activity"))
 
 
 @query(
     "tpm_stream",
     f"""WITH {REQUESTS_SQL}, placed AS (SELECT date_trunc('minute', timestamp) - CAST(unnest(range(5)) AS INTEGER) * INTERVAL 1 MINUTE AS "start", token_total FROM requests),
 windows AS (SELECT "start", "start" + INTERVAL 5 MINUTE AS "end", CAST(sum(token_total) AS BIGINT) AS tokens FROM placed GROUP BY "start")
-SELECT {_SHOWN}, tokens, tokens / 5 AS tokens_per_minute FROM windows WHERE "end" <= {_CLOSED}""",
+SELECT {_SHOWN}, tokens, tokens / 5 AS tokens_per_minute FROM windows""",
 )
 def tpm_stream(spark, sf_dir):
-    return _times(S.run_available(S.tpm_stream(_requests(spark, sf_dir)), "tpm"))
+    return _times(S.run_bounded(S.tpm_stream(_requests(spark, sf_dir)), "tpm"))
 
 
 @query(
@@ -72,11 +67,11 @@ def tpm_stream(spark, sf_dir):
   WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 lives AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM gaps),
 sessions AS (SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 900 SECOND AS "end", count(*) - 1 AS hits FROM lives GROUP BY user_id, life)
-SELECT user_id, {_SHOWN}, CAST(1 AS BIGINT) AS misses, hits FROM sessions WHERE "end" <= {_CLOSED}""",
+SELECT user_id, {_SHOWN}, CAST(1 AS BIGINT) AS misses, hits FROM sessions""",
 )
 def cache_stream(spark, sf_dir):
     uses = as_events(_stream(spark, sf_dir, "events")).select("user_id", "ts")
-    return _times(S.run_available(S.cache_stream(uses, "user_id"), "cache"))
+    return _times(S.run_bounded(S.cache_stream(uses, "user_id"), "cache"))
 
 
 @query("dedupe_stream", f"WITH {REQUESTS_SQL} SELECT id, path FROM requests")

@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # The last of two equal JSON keys wins instead of voiding the document.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Sessions of a hot key are merged in each task before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Streaming state lies on disk instead of in the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

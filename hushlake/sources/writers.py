@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_requests(requests: DataFrame, path: str, mode: str = "append") -> None:
@@ -27,13 +28,18 @@ def write_entities(masked: DataFrame, keys: list[str], path: str, mode: str = "a
 
 
 def write_vault(vault: DataFrame, path: str, masked_path: str, mode: str = "append") -> None:
-    """Write raw values, to a place of their own."""
-    if path.rstrip("/").startswith(masked_path.rstrip("/")):
+    """Write raw values, to a place of their own: neither folder may lie in the other."""
+    vault_parts, masked_parts = (p.rstrip("/").split("/") for p in (path, masked_path))
+    shared = min(len(vault_parts), len(masked_parts))
+    if vault_parts[:shared] == masked_parts[:shared]:
         raise ValueError("the vault must not lie with the masked texts")
     vault.write.mode(mode).parquet(path)
 
 
 def purge(requests: DataFrame, path: str) -> None:
-    """Replace the stored log by an empty one of the same schema."""
-    empty = requests.sparkSession.createDataFrame([], requests.schema)
-    empty.write.mode("overwrite").parquet(path)
+    """Replace the stored log by an empty one of the same schema; ``write_requests`` may append to it again.
+
+    A log laid out by date stays without a ``date`` column in its files, as its folders give it.
+    """
+    kept = [f for f in requests.schema.fields if f.name != "date"]
+    requests.sparkSession.createDataFrame([], StructType(kept)).write.mode("overwrite").parquet(path)

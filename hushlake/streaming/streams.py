@@ -82,7 +82,8 @@ def run_available(stream: DataFrame, name: str, path: str | None = None) -> Data
     """Process what is there, append it to Parquet and read that back.
 
     Sink and checkpoint lie in the shared folder, so the run survives the loss
-    of executors and of the driver.
+    of executors and of the driver. Windows that the watermark has not closed
+    stay in the state; ``run_bounded`` gives them too.
     """
     spark = stream.sparkSession
     base = path or work_dir(spark, name)
@@ -96,3 +97,30 @@ def run_available(stream: DataFrame, name: str, path: str | None = None) -> Data
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+
+def run_bounded(windows: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Process what is there and give every window, those still open at its end included.
+
+    For grouped streams. Each batch writes the windows as they stand to a folder of its own;
+    the last one is read back. A batch that is repeated overwrites its folder.
+    """
+    spark = windows.sparkSession
+    base = path or work_dir(spark, name)
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data/{number}")
+        last[:] = [number]
+
+    query = (
+        windows.writeStream.foreachBatch(keep)
+        .outputMode("complete")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], windows.schema)
+    return spark.read.schema(windows.schema).parquet(f"{base}/data/{last[0]}")

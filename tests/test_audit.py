@@ -72,12 +72,11 @@ def test_dedupe_and_page(spark):
     assert [(r.id, r.has_more, r.next_offset) for r in audit.page(once, 2, 2).collect()] == [("b", False, None)]
 
 
-def test_deep_pages_equal_a_full_sort(spark, monkeypatch):
+def test_deep_pages_equal_a_full_sort(spark):
     rng = random.Random(4)
     moments = [None if i % 40 == 0 else dt.datetime(2024, 1, 1, 0, rng.randint(0, 20), rng.randint(0, 3), tzinfo=UTC) for i in range(400)]
     df = log(spark, [{"id": f"r{i:03}", "timestamp": t} for i, t in enumerate(moments)])
     order = sorted(range(400), key=lambda i: (moments[i] is None, -moments[i].timestamp() if moments[i] else 0, i))
-    monkeypatch.setattr(audit, "DEEP_OFFSET", 20)
     for offset in (0, 50, 199, 380, 391, 399, 400, 900):
         rows = sorted(audit.page(df, offset, 9).collect(), key=lambda r: order.index(int(r.id[1:])))
         assert [int(r.id[1:]) for r in rows] == order[offset : offset + 9]
