@@ -245,3 +245,9 @@ def decode_list(df: DataFrame, kind: str, member: str, json: str = "json", keep:
     items = opened.select(*kept, F.posexplode(V.records(F.col("__opened")[member])).alias("pos", "__item"))
     apart = items.select(*kept, "pos", V.open_record(F.col("__item"), shape).alias("__opened"))
     return apart.select(*kept, "pos", *[read(F.col("__opened"), name).alias(name) for name, read in shape.items()])
+
+
+def redact_result(df: DataFrame, source: str, json: str = "json", keep: list[str] | None = None) -> DataFrame:
+    """Results of masking calls. Where an answer has no text, the text that was sent stands in for it."""
+    decoded = decode(df, "result", json, [*(keep or []), source])
+    return decoded.withColumn("text", F.coalesce("text", source)).drop(*({source} - set(keep or [])))

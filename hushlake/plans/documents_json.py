@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hushlake.operators.decode import decode
+from hushlake.operators.decode import decode, redact_result
 from hushlake.plans.registry import query
 from hushlake.plans.tables import events
 from hushlake.sources.readers import spread
@@ -101,6 +101,12 @@ DOCUMENTS = {
         token_total=_choice("'9'", "'null'"),
         granularity=_choice("'\"hour\"'", "'\"day\"'", "'\"week\"'", "'1'"),
     ),
+    "result": _document(
+        text=_choice("concat('\"masked ', event_type, '\"')", "'null'", "'5'"),
+        scope_id=_choice("'\"s\"'", "'1'"),
+        replacement_count=_choice(_N, "'\"2\"'"),
+        entities=_ENTITIES,
+    ),
     "profiles": _document(
         id=_ID, name=_choice("'\"n\"'", "'5'"), operations=_choice("'[1]'", "'{}'"),
         header_templates=_choice("'{\"a\": \"b\", \"c\": 1}'", "'[]'"),
@@ -300,6 +306,19 @@ _TEMPLATES = (
 )
 
 
+@query(
+    "decode_result",
+    f"""WITH {docs_sql('result')} SELECT event_id, {_t('text', "'sent ' || event_id")} AS text, {_t('scope_id')} AS scope_id,
+{_n('replacement_count')} AS replacement_count, len({_list('entities', 'OBJECT')}) AS n_entities FROM docs""",
+)
+def decode_result(spark, sf_dir):
+    sent = json_documents(spark, sf_dir, "result").withColumn("sent", F.concat(F.lit("sent "), F.col("event_id").cast("string")))
+    found = redact_result(sent, "sent", keep=["event_id"])
+    return found.select(
+        "event_id", "text", "scope_id", "replacement_count", F.size("entities").cast("bigint").alias("n_entities")
+    )
+
+
 @query(
     "decode_profiles",
     f"""WITH {docs_sql('profiles')} SELECT event_id, {_t('id')} AS id, {_t('name', _t('id'))} AS name,
