@@ -39,9 +39,9 @@ SAMPLE = 1000
 ROUNDS = 3
 SMOOTHING = 0.05
 #: Words kept with their scores in each Python worker.
-MEMO = 250_000
+MEMO = 150_000
 #: Words of some texts that are scored together.
-FLUSH = 100_000
+FLUSH = 60_000
 _letters = regex.compile(r"\p{L}+").findall
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,6 +103,11 @@ def by_length(listed: list[str]) -> Iterator[np.ndarray]:
         yield np.flatnonzero(sizes == n)
 
 
+def parts(group: np.ndarray) -> list[np.ndarray]:
+    """The group in parts whose lattices take little memory."""
+    return np.array_split(group, len(group) // 4_000 + 1)
+
+
 @dataclass(frozen=True)
 class Model:
     """chances[piece, language]; a last row stands for any single character that is no piece."""
@@ -165,18 +170,30 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together to ``size`` rows or a little more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expectations(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model.vocabulary)
         counts = np.zeros_like(model.chances)
-        for batch in batches:
-            langs, listed = (np.array(batch.column(i).to_pylist(), object) for i in (0, 1))
-            times = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+        for rows in together(batches, FLUSH):
+            langs, listed = (np.array(rows.column(i).to_pylist(), object) for i in (0, 1))
+            times = rows.column(2).to_numpy().astype(float)
             for at, lang in enumerate(model.languages):
                 own = np.flatnonzero(langs == lang)
                 for group in by_length([listed[i] for i in own]):
-                    some = own[group]
-                    counts[:, at] += expected(lattice.arcs(list(listed[some])), model.chances[:, [at]], times[some])
+                    for some in parts(own[group]):
+                        counts[:, at] += expected(lattice.arcs(list(listed[some])), model.chances[:, [at]], times[some])
         piece, lang = np.nonzero(counts)
         yield pa.record_batch(
             [pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(counts[piece, lang], pa.float64())],
@@ -220,7 +237,7 @@ class Scorer:
         new = [w for w in dict.fromkeys(listed) if w not in self.place]
         logs = np.zeros((len(new), self.logs.shape[1]))
         for group in by_length(new):
-            for some in np.array_split(group, len(group) // 5_000 + 1):
+            for some in parts(group):
                 logs[some] = np.log(forward(self.lattice.arcs([new[i] for i in some]), self.model.chances)[-1])
         self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
         self.logs = np.vstack([self.logs, logs])

@@ -35,7 +35,7 @@ PATTERN = (
 )
 SPECIAL = {"<|endoftext|>": 50256}
 #: Split pieces kept with their ids in each Python worker; the memory this takes is bounded.
-MEMO = 400_000
+MEMO = 200_000
 MEMO_PIECE = 48
 
 
