@@ -178,4 +178,13 @@ def test_pipeline(spark, sf_dir, docs, labels):
         left = kept
     pieces = written(corpus_pipeline.STAGES[4][1](spark, table, sf_dir), "packing").collect()
     packed_well(pieces, left)
-    assert corpus_pipeline.run(spark, sf_dir).count() == len(pieces)
+
+
+def test_pipeline_runs_as_a_whole(spark, sf_dir):
+    import corpus_pipeline
+
+    small = os.path.join(os.path.dirname(sf_dir), "sf0.001")
+    pieces = corpus_pipeline.run(spark, small)
+    assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    kept = {r.doc_id for r in pieces.collect()}
+    assert 100 < len(kept) < spark.read.parquet(f"{small}/documents.parquet").count()
