@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from hushlake.llm.common import in_third
 
 #: Bytes of a text that are compressed together, so that a long text does not become its own dictionary.
-BLOCK = 2048
+BLOCK = 4096
 #: Blocks per label that a dictionary is built from, and documents these are taken from.
-BLOCKS, DOCUMENTS = 3000, 2000
+BLOCKS, DOCUMENTS = 6000, 2000
 #: Documents per label that the curve is fitted on.
 CURVE = 4000
-DICTIONARY = 48 << 10
+DICTIONARY = 112 << 10
 LEVEL = 3
 
 
