@@ -19,7 +19,7 @@ def cache_sessions(df: DataFrame, key: str, ttl_seconds: int, ts: str = "ts") ->
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     slots = (
         df.select(F.col(key), at.alias("__at"))
-        .groupBy(key, F.floor(F.col("__at") / F.lit(ttl)).alias("__slot"))
+        .groupBy(key, F.floor(F.col("__at") / F.lit(max(ttl, 1))).alias("__slot"))
         .agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"), F.max("__at").alias("__last"))
     )
     before = F.lag("__last").over(Window.partitionBy(key).orderBy("__slot"))

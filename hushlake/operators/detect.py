@@ -120,12 +120,15 @@ def detect_rules(
 def detect_distinct(df: DataFrame, rules: list[Rule], text: str = "text", into: str = "spans") -> DataFrame:
     """Detect once for each distinct text and give every copy the result.
 
-    Copies are collapsed before the shuffle (the text is the grouping key), so
-    a text that fills a third of the table costs one detection. Only the hash
-    of the text, never the text, is shuffled to join results back; a hot hash
-    is split by the adaptive skew join. Texts without a hit are not joined.
+    Only texts in which some rule matches are collapsed, so few are shuffled,
+    and copies are combined before that: a text that fills a third of the table
+    costs one detection. To join results back, the hash of the text is
+    shuffled, never the text; a hot hash is split by the adaptive skew join.
     """
-    found = with_spans(df.select(text).filter(F.col(text).isNotNull()).distinct(), rules, text, into)
+    df = df.withColumn(text, F.make_valid_utf8(text))
+    tests = [f"({may_match(name(text), r.pattern)} and {name(text)} rlike {quoted(r.pattern)})" for r in checked(rules)]
+    hit = df.select(text).filter(" or ".join(tests) or "false")
+    found = with_spans(hit.distinct(), rules, text, into)
     key = F.sha2(F.col(text), 256)
     results = found.filter(F.size(into) > 0).select(key.alias("__key"), into)
     others = [c for c in df.columns if c != text]

@@ -213,7 +213,7 @@ def requests_page(spark, sf_dir):
 min(pos) AS pos FROM redelivered GROUP BY id""",
 )
 def requests_dedupe(spark, sf_dir):
-    return audit.dedupe_requests(redelivered(spark, sf_dir)).select("id", "status_code", "path", "pos")
+    return audit.dedupe_requests(redelivered(spark, sf_dir).select("id", "status_code", "path", "pos"))
 
 
 @query("request_detail", f"WITH {REQUESTS_SQL} SELECT {ROW_SQL} FROM requests WHERE id = 'r77'")
