@@ -17,26 +17,31 @@ ROUNDS = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a, b: long); root is the smallest node reachable.
+    """(node, root) for each node of ``edges`` (a, b); root is the smallest node reachable.
 
-    Sums and minima combine before the shuffle, joins start from files, so a
-    node or component of any size is split over tasks.
+    Sums and minima combine before the shuffle, and a node with many edges is
+    a hot key only of joins, which adaptive execution splits.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     parents = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("parent")), "parents")
+    before = _mark(parents)
     for _ in range(ROUNDS):
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        now = written(parents.join(up, "parent").select("node", "parent", "grand"), "grand")
-        offers = both.join(now.select(F.col("node").alias("b"), "grand"), "b").select(F.col("a").alias("node"), "grand")
-        offers = written(offers.groupBy("node").agg(F.min("grand").alias("offer")), "offers")
-        joined = now.join(offers, "node")
-        best = F.least("parent", "grand", "offer")
-        hooked = joined.select("node", best.alias("parent"), F.lit(0).alias("hook")).union(
-            joined.select(F.col("parent"), F.col("offer"), F.lit(1))
-        )
-        after = written(hooked.groupBy("node").agg(F.min("parent").alias("parent")), "parents")
-        moved = after.join(now.select("node", F.col("parent").alias("was"), "grand"), "node")
-        if moved.filter("parent != was OR parent != grand").isEmpty():
-            return after.select("node", F.col("parent").alias("root"))
-        parents = after
+        now = parents.join(up, "parent").select("node", "parent", "grand")
+        offered = both.join(now.select(F.col("node").alias("b"), "grand"), "b")
+        offers = offered.groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("offer"))
+        # A node takes the best it knows of, and hands its best offer to its parent.
+        taken = F.struct(F.col("node"), F.least("parent", "grand", "offer").alias("parent"))
+        handed = F.struct(F.col("parent").alias("node"), F.col("offer").alias("parent"))
+        hooked = now.join(offers, "node").select(F.inline(F.array(taken, handed)))
+        parents = written(hooked.groupBy("node").agg(F.min("parent").alias("parent")), "parents")
+        # Parents only get smaller; a round that changes none has found the roots.
+        before, last = _mark(parents), before
+        if before == last:
+            return parents.select("node", F.col("parent").alias("root"))
     raise RuntimeError("the components did not settle")
+
+
+def _mark(parents: DataFrame):
+    """A number that tells two states of the table apart."""
+    return parents.agg(F.bit_xor(F.xxhash64("node", "parent")), F.count("*")).first()
