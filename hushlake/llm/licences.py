@@ -2,9 +2,10 @@
 
 A template is a licence's own wording with the key phrases it cannot do without.
 The index lists, for each word of the templates, where it stands in them. A word's
-weight is its inverse document frequency over the whole corpus. Each file looks
-up its heaviest licence words; a word at place p of the file and q of a template
-speaks for the template beginning at p - q. Where several agree, the wording is
+weight is its inverse document frequency over the whole corpus. Of each template
+the heaviest places are looked up, so many that no file with the least share in
+place can be without all of them, whatever else it holds; a word at place p of the
+file and q of a template speaks for the template beginning at p - q. The wording is
 compared place by place around there, and the key phrases are verified word for word.
 
 Three phrases are the base: wherever their words stand one after another, their
@@ -86,8 +87,8 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 ]
-#: Heaviest licence words of a file that are looked up, and the share of a wording's weight that must be in place.
-LOOKED_UP, LEAST = 12, 0.6
+#: The share of a wording's weight that must be in place.
+LEAST = 0.6
 
 _KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789"
 #: Bytes of words, with A-Z in lower case; all other ASCII becomes a blank, all else is part of words.
@@ -132,12 +133,17 @@ class Index:
 
     def __init__(self, listed: list[Template], weights: dict[bytes, float]) -> None:
         self.templates, self.weights = listed, weights
+        self.total = [sum(weights[w] for w in t.words) for t in listed]
+        self.vocabulary = frozenset(w for t in listed for w in t.words)
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for number, template in enumerate(listed):
-            for place, word in enumerate(template.words):
+            # More than 1 - LEAST of the weight lies on these places, so a wording found has one of them in place.
+            rest = (1 - LEAST + 1e-9) * self.total[number]
+            for place, word in sorted(enumerate(template.words), key=lambda x: (-weights[x[1]], x)):
+                if rest < 0:
+                    break
                 self.postings[word].append((number, place))
-        self.total = [sum(weights[w] for w in t.words) for t in listed]
-        self.vocabulary = frozenset(self.postings)
+                rest -= weights[word]
         # A template whose phrase words are not all in a file cannot be verified there.
         self.needed = [frozenset(w for p in t.phrases for w in p) for t in listed]
 
@@ -147,20 +153,14 @@ class Index:
         open_ = {i for i, needed in enumerate(self.needed) if needed <= present}
         if not open_:
             return {}
-        usable = {w for i in open_ for w in self.templates[i].words if w in present}
-        heavy = sorted(usable, key=lambda w: (-self.weights[w], w))[:LOOKED_UP]
-        chosen = set(heavy)
-        begins: dict[tuple[int, int], set[bytes]] = defaultdict(set)
+        begins: set[tuple[int, int]] = set()
+        looked_up = present.intersection(self.postings)
         for place, word in enumerate(listed):
-            if word in chosen:
-                for number, at in self.postings[word]:
-                    if number in open_:
-                        begins[number, place - at].add(word)
+            if word in looked_up:
+                begins.update((number, place - at) for number, at in self.postings[word] if number in open_)
         found: dict[str, float] = {}
-        for (number, begin), agreeing in begins.items():
+        for number, begin in begins:
             template = self.templates[number]
-            if len(agreeing) < min(2, len(chosen.intersection(template.words))):
-                continue
             held = sum(
                 self.weights[w] for q, w in enumerate(template.words) if 0 <= begin + q < len(listed) and listed[begin + q] == w
             )

@@ -296,6 +296,22 @@ def test_licence_values(spark):
     assert found[6].score == 0 and found[4].score > 0.9
 
 
+def test_licences_beside_others(spark):
+    """A file with a full wording, whose words are rarer, still shows every other licence it holds."""
+    common = [(-i, "licensed under the gnu general public license version 3 or any other") for i in range(1, 60)]
+    whole = [text for label, text, _ in licences.TEMPLATES if label in ("mit", "bsd")]
+    texts, wanted = [], {}
+    for first in [whole[1], whole[2]]:
+        held = next(label for label, text, _ in licences.TEMPLATES if text == first)
+        for label, text, _ in licences.TEMPLATES:
+            texts.append((len(texts), f"{first}. Parts: {text}."))
+            wanted[len(texts) - 1] = {held, label}
+    texts.append((len(texts), ".\n".join(text for _, text, _ in licences.TEMPLATES)))
+    wanted[len(texts) - 1] = {label for label, _, _ in licences.TEMPLATES}
+    found = licences.scan(spark.createDataFrame(texts + common, "doc_id long, text string")).filter("doc_id >= 0").collect()
+    assert {r.doc_id: set(r.labels.split(",")) for r in found} == wanted
+
+
 def test_near_lines(spark):
     base = "the quick brown fox jumps over the lazy dog while the other animals of the forest look on in wonder and say nothing at all"
     rng = random.Random(7)
