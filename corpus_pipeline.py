@@ -39,9 +39,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, cut into sequences of 1024 tokens."""
+    """The pieces of all documents left, cut into sequences of 1024 tokens: their ids, and crc32 of these."""
     ready(spark)
-    return packing.pack(docs, digest=True)
+    return packing.pack(docs, both=True)
 
 
 STAGES = [
@@ -56,9 +56,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written to the shared folder before the next reads them."""
     docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query: the rows of ``packed``, whose ids are in the written table, with the columns of op10_packing."""
+    return packed(spark, sf_dir).drop("ids")

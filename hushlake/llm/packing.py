@@ -113,12 +113,13 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> D
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 DIGEST = PIECES.replace("ids binary", "ids_crc32 long")
+BOTH = PIECES.replace("ids binary", "ids binary, ids_crc32 long")
 
 
-def _cut(starts: dict[int, int], size: int, digest: bool):
-    kind = pa.int64() if digest else pa.binary()
-    names = [x.split()[0] for x in (DIGEST if digest else PIECES).split(", ")]
-    schema = pa.schema([(name, kind if name.startswith("ids") else pa.int64()) for name in names])
+def _cut(starts: dict[int, int], size: int, columns: str):
+    names = [x.split()[0] for x in columns.split(", ")]
+    schema = pa.schema([(name, pa.binary() if name == "ids" else pa.int64()) for name in names])
+    own = [name for name in names if name.startswith("ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +132,8 @@ def _cut(starts: dict[int, int], size: int, digest: bool):
                     sequence, offset = divmod(first + at, size)
                     length = min(size - offset, n - at)
                     piece = wide[at : at + length].tobytes()
-                    row = (doc, at, length, zlib.crc32(piece) if digest else piece, n, sequence, offset)
+                    shown = (piece if name == "ids" else zlib.crc32(piece) for name in own)
+                    row = (doc, at, length, *shown, n, sequence, offset)
                     for column, value in zip(made, row, strict=True):
                         column.append(value)
                     at += length
@@ -140,13 +142,16 @@ def _cut(starts: dict[int, int], size: int, digest: bool):
     return run
 
 
-def pack(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None, end: int = END, digest: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None, end: int = END, digest: bool = False, both: bool = False
+) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (32 bits each), doc_tokens, sequence_id, offset.
 
-    With ``digest``, the column ids_crc32 stands in place of the ids.
+    With ``digest``, the column ids_crc32 stands in place of the ids; with ``both``, it stands behind them.
     """
+    columns = BOTH if both else DIGEST if digest else PIECES
     stored = written(encoded(docs, vocabulary, end), "tokens")
     totals = sorted(stored.groupBy("part").sum("n").collect())  # a number for each partition
     before = accumulate((n for _, n in totals), initial=0)
     starts = {part: at for (part, _), at in zip(totals, before, strict=False)}
-    return stored.mapInArrow(_cut(starts, size, digest), DIGEST if digest else PIECES)
+    return stored.mapInArrow(_cut(starts, size, columns), columns)

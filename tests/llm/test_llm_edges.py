@@ -4,6 +4,7 @@ import os
 import random
 import re
 import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -221,6 +222,26 @@ def test_packing_of_odd_rows(odd):
     assert all(len(r.ids) == 4 * r.length for r in pieces)
 
 
+def test_pipeline_gives_token_ids(spark, odd, tmp_path, monkeypatch):
+    """The last stage writes the ids themselves, in the order of the one long stream; the query has their digests."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    wanted = sorted([*library.encode(text or "", add_special_tokens=False).ids, packing.END] for _, text in TEXTS)
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[4:])
+    pieces = sorted(corpus_pipeline.packed(spark, str(tmp_path)).collect(), key=lambda r: (r.sequence_id, r.offset))
+    docs: list[list[int]] = []
+    for r in pieces:
+        if r.start == 0:
+            docs.append([])
+        docs[-1] += np.frombuffer(r.ids, "<u4").tolist()
+        assert len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids)
+    assert sorted(docs) == wanted
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == [c for c in pieces[0].asDict() if c != "ids"]
+
+
 def test_classifier_without_labels(odd, labels):
     model = compression.fit(odd, labels.filter("quality = 5"))
     assert {(r.score, r.predicted) for r in compression.score(odd, model).collect()} == {(0.5, 1)}
