@@ -349,6 +349,16 @@ def test_near_lines(spark):
     assert texts == sorted((d, "\n".join(line for n, line in enumerate(t) if n not in x)) for d, t, x in numbered)
 
 
+@pytest.mark.parametrize("size", [15, 50, 100])
+def test_bands_hold_pairs_at_the_threshold(size):
+    """Lines that lost a fifth of their shingles share a band with the whole ones."""
+    rng = random.Random(3)
+    whole = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=size + lines.SHINGLE - 1)) for _ in range(20_000)]
+    cut = [line[: len(line) - size // 5] for line in whole]
+    assert len(lines.shingles(cut[0]) & lines.shingles(whole[0])) / len(lines.shingles(whole[0])) == lines.SIMILAR
+    assert (~(lines.bands(whole) == lines.bands(cut)).any(1)).sum() <= 2
+
+
 def test_package_stands_alone():
     """Nothing outside the package imports it, but for the entry and the pipeline."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
