@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm import compression, exact, html_text, language, licences, lines, packing, rules, simhash, tokenization
+from hushlake.llm import compression, divergence, exact, html_text, language, licences, lines, packing, rules, simhash, tokenization
 from hushlake.llm.common import in_third, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,37 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+TWINS["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+           FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+lang_sums AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                  1 + 1000000000 * (coalesce(c.n, 0) + 5) // (coalesce(s.total, 0) + 5 * l.v) AS p,
+                  1 + 1000000000 * (k.n + 5) // (l.total + 5 * l.v) AS q
+           FROM groups g JOIN kept k USING (lang) JOIN lang_sums l USING (lang)
+           LEFT JOIN counts c USING (lang, source, term) LEFT JOIN sums s USING (lang, source)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+          GROUP BY ALL),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
