@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm import compression, divergence, exact, html_text, language, licences, lines, packing, rules, simhash, tokenization
+from hushlake.llm import compression, divergence, exact, html_text, language, licences, lines, packing, rules, sharding, simhash, tokenization
 from hushlake.llm.common import in_third, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,10 @@ SELECT lang, source, part, item, value::BIGINT AS value,
        row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
 FROM parts QUALIFY part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "virtual_slot")
