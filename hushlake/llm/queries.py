@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm import compression, divergence, exact, html_text, language, licences, lines, packing, rules, sharding, simhash, tokenization
+from hushlake.llm import compression, divergence, exact, html_text, language, licences, lines, packing, resampling, rules, sharding, simhash, tokenization
 from hushlake.llm.common import in_third, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,38 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign(table(spark, sf_dir, "documents"))
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "virtual_slot")
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TWINS["op13_resampling"] = r"""
+WITH crc_table AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))),
+texts AS (SELECT 'd' AS kind, row_number() OVER () AS row, doc_id, text FROM documents
+          UNION ALL SELECT 'b', 0, NULL, text FROM benchmark),
+found AS (SELECT kind, row, unnest(regexp_extract_all(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+spelled AS (SELECT word, list_transform(range(0, strlen(word)), lambda k: ('0x' || substr(hex(word), 2 * k + 1, 2))::BIGINT) AS bytes
+            FROM (SELECT DISTINCT word FROM found)),
+bucketed AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+             FROM spelled, crc_table),
+occurs AS (SELECT kind, row, bucket FROM found JOIN bucketed USING (word)),
+sums AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM occurs GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+          FROM sums, totals),
+weights AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS weight FROM occurs JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY row),
+scored AS (SELECT row, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+                                                              + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+           FROM (SELECT * FROM texts WHERE kind = 'd') LEFT JOIN weights USING (row)),
+placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (row)
+"""
