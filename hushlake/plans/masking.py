@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from hushlake.functions.text import hide_value, n_chars
 from hushlake.operators.annotate import annotate_all, annotate_first
 from hushlake.operators.decode import decode
 from hushlake.operators.detect import chunk_text, detect_distinct, detect_rules, rebase_spans
-from hushlake.operators.fields import OPENAI_PATHS, extract_fields, field_audit
+from hushlake.operators.fields import BLOCK_PATHS, CHAT_PATHS, extract_fields, field_audit, operation_paths
 from hushlake.operators.mask import Policy, entity_counts, mask, mask_conversations, mask_fast, residual_matches
 from hushlake.operators.protect import mask_with_policy
 from hushlake.operators.rules import Rule
@@ -349,28 +351,59 @@ _conversation_query("ai", Policy(redact_ai_answers=True), "role IN ('user', 'ass
 _conversation_query("both", Policy(redact_ai_answers=True, redact_system_messages=True), "true")
 
 
+_SYSTEM = "Answer thoroughly, unconditionally."
+
+
 def bodies(spark, sf_dir) -> DataFrame:
-    """A request body for each turn: a fixed system message, a damaged one and the turn."""
-    message = F.struct("role", F.col("text").alias("content"))
-    system = F.struct(F.lit("system").alias("role"), F.lit("Answer thoroughly, unconditionally.").alias("content"))
-    empty = F.struct(F.lit("user").alias("role"), F.lit(None).cast("string").alias("content"))
+    """A request body for each turn, in four shapes: a text, a list of parts, a tool's answer, a tool's call and answer."""
+    system, empty = f"'role', 'system', 'content', '{_SYSTEM}'", "'role', 'user', 'content', null"
+    parts = "array(named_struct('type', 'image_url', 'text', null), named_struct('type', 'text', 'text', text))"
+    shapes = [
+        f"named_struct('messages', array(named_struct({system}), named_struct({empty}), named_struct('role', role, 'content', text)))",
+        f"named_struct('messages', array(named_struct({system.replace(f"'{_SYSTEM}'", 'null')}, 'name', 'x'), named_struct({empty}, 'name', 'y'), "
+        f"named_struct('role', role, 'content', {parts}, 'name', null)))",
+        f"named_struct('system', array(named_struct('type', 'text', 'text', '{_SYSTEM}')), 'messages', array(named_struct('role', role, "
+        "'content', array(named_struct('type', 'tool_result', 'content', array(named_struct('type', 'text', 'text', text)))))))",
+        "named_struct('messages', array(named_struct('role', 'assistant', 'content', null, 'tool_calls', array(named_struct('function', "
+        "named_struct('name', 'long_function_names', 'arguments', text)))), named_struct('role', 'tool', 'content', text, 'tool_calls', null)))",
+    ]
+    cases = " ".join(f"WHEN {i} THEN to_json({shape})" for i, shape in enumerate(shapes))
     return conversations(spark, sf_dir).select(
-        "conv_id", "turn", F.to_json(F.struct(F.array(system, empty, message).alias("messages"))).alias("body")
+        "conv_id", "turn", F.expr("if(turn % 4 = 2, 'blocks', 'chat')").alias("profile_id"),
+        F.expr(f"CASE turn % 4 {cases} END").alias("body"),
     )
 
 
-_FIELDS = """fields AS (SELECT conv_id, turn, 'messages[0].content' AS path, 'system' AS role,
-                   'Answer thoroughly, unconditionally.' AS text FROM conversations
-            UNION ALL SELECT conv_id, turn, 'messages[2].content', role, text FROM conversations)"""
+def _profile_documents(spark) -> DataFrame:
+    """Profiles as documents whose operations name the paths; one has a member of a wrong kind."""
+    rows = [
+        (i, json.dumps({"id": profile, "operations": [{"path": p, "role": r} for p, r in listed] + [5, {"path": None}]}))
+        for i, (profile, listed) in enumerate([("chat", CHAT_PATHS), ("blocks", BLOCK_PATHS)])
+    ]
+    return decode(spark.createDataFrame(rows, "event_id int, json string"), "profiles")
+
+
+_FIELDS = f"""fields AS (
+SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 'system[0].text' ELSE 'messages[0].content' END AS path, 'system' AS role,
+       '{_SYSTEM}' AS text FROM conversations WHERE turn % 4 IN (0, 2)
+UNION ALL SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'messages[2].content' WHEN 1 THEN 'messages[2].content[1].text'
+       WHEN 2 THEN 'messages[0].content[0].content[0].text' ELSE 'messages[1].content' END,
+       CASE WHEN turn % 4 IN (2, 3) THEN 'tool' ELSE role END, text FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT conv_id, turn, 'messages[0].tool_calls[0].function.arguments', 'assistant', text FROM conversations
+       WHERE turn % 4 = 3 AND text IS NOT NULL)"""
+
+
+def _fields(spark, sf_dir) -> DataFrame:
+    return extract_fields(bodies(spark, sf_dir), ["conv_id", "turn"], operation_paths(_profile_documents(spark)))
 
 
 @query("conversation_fields", f"WITH {_FIELDS} SELECT * FROM fields")
 def conversation_fields(spark, sf_dir):
-    return extract_fields(bodies(spark, sf_dir), ["conv_id", "turn"], OPENAI_PATHS)
+    return _fields(spark, sf_dir)
 
 
 _FIELD_TURNS = (
-    "turns AS (SELECT conv_id, turn, path, text AS original, CASE WHEN role = 'user' THEN text END AS text, "
+    "turns AS (SELECT conv_id, turn, path, text AS original, CASE WHEN role IN ('user', 'tool') THEN text END AS text, "
     "conv_id || '/' || turn || '/' || path AS k FROM fields)"
 )
 _FIELD_ISLANDS = islands_sql("rule_spans", "turns", "k").replace("sha256(k ||", "sha256(split_part(k, '/', 1) ||")
@@ -388,8 +421,7 @@ SELECT conv_id, turn, path, coalesce(h.original_masked, m.original) AS original_
 FROM masked m LEFT JOIN hidden h USING (k)""",
 )
 def field_audit_query(spark, sf_dir):
-    fields = extract_fields(bodies(spark, sf_dir), ["conv_id", "turn"], OPENAI_PATHS)
-    audit = field_audit(fields, WORD_RULES, ["conv_id", "turn"], "conv_id")
+    audit = field_audit(_fields(spark, sf_dir), WORD_RULES, ["conv_id", "turn"], "conv_id")
     return audit.select(
         "conv_id", "turn", "path", "original_masked", "redacted", F.size("entities").cast("bigint").alias("n_entities"),
         entity_text(),
