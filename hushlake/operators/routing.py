@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from hushlake.functions.arrays import name
 from hushlake.operators.mask import Policy
-from hushlake.operators.sides import measured
 
 
 def url_host(url: Column) -> Column:
@@ -52,23 +51,14 @@ def match_targets(requests: DataFrame, targets: DataFrame, host: str = "target_h
     Every distinct host is resolved once: the patterns that could match it are
     made from its labels and looked up by one equality join. The answer is
     joined back by host, a join that adaptive execution can broadcast or split.
-    A stream has no distinct hosts; there, the patterns are one row of measured
-    size that goes to every request.
+    A stream is routed batch by batch, see ``route_available``.
     """
     patterns = host_patterns(targets)
-    if requests.isStreaming:
-        known = patterns.agg(F.map_from_entries(F.collect_list(F.struct("pattern", "target"))).alias("__known"))
-        looked = F.expr(
-            f"transform({_CANDIDATES.format(h=name(host))}, c -> named_struct('open', c.open, 'target', try_element_at(__known, c.pattern)))"
-        )
-        best = F.array_min(F.filter(looked, lambda c: c["target"].isNotNull()))["target"]
-        out = requests.join(measured(known)).withColumn("__best", best)
-    else:
-        hosts = requests.select(F.col(host).alias("__host")).filter("__host IS NOT NULL").distinct()
-        tried = hosts.select("__host", F.inline(_candidates("__host")))
-        found = tried.join(patterns, "pattern").groupBy("__host").agg(F.min(F.struct("open", "target")).alias("__found"))
-        found = found.select("__host", F.col("__found.target").alias("__best"))
-        out = requests.join(found, F.col(host) == F.col("__host"), "left")
+    hosts = requests.select(F.col(host).alias("__host")).filter("__host IS NOT NULL").distinct()
+    tried = hosts.select("__host", F.inline(_candidates("__host")))
+    found = tried.join(patterns, "pattern").groupBy("__host").agg(F.min(F.struct("open", "target")).alias("__found"))
+    found = found.select("__host", F.col("__found.target").alias("__best"))
+    out = requests.join(found, F.col(host) == F.col("__host"), "left")
     return out.select(
         *requests.columns,
         F.col("__best.target_id").alias("target_id"),

@@ -8,6 +8,7 @@ from hushlake.plans.masking import DOC_MASKED, result
 from hushlake.plans.registry import query
 from hushlake.plans.routes import ROUTES_SQL, as_calls, shown, targets
 from hushlake.plans.tables import REQUESTS_SQL, RULES, as_events, as_requests, table
+from hushlake.session import work_dir
 from hushlake.streaming import streams as S
 
 
@@ -37,8 +38,13 @@ def mask_stream(spark, sf_dir):
 
 @query("route_stream", f"WITH {ROUTES_SQL} SELECT * FROM routed")
 def route_stream(spark, sf_dir):
+    """Targets from a versioned table; the first version, which routes nothing, is not the latest."""
+    path = work_dir(spark, "targets")
+    S.store_targets(targets(spark, sf_dir).limit(0), path, 0)
+    S.store_targets(targets(spark, sf_dir), path, 1)
     calls = as_calls(_stream(spark, sf_dir, "pages"))
-    return S.run_available(shown(S.route_stream(calls, targets(spark, sf_dir), "host")), "route")
+    schema = "page_id bigint, host string, target_id string, target_profile string, route string"
+    return shown(S.route_available(calls, path, schema, host="host"))
 
 
 @query(
@@ -48,7 +54,7 @@ def route_stream(spark, sf_dir):
 SELECT {_SHOWN}, requests, entities FROM windows""",
 )
 def activity_stream(spark, sf_dir):
-    return _times(S.run_bounded(S.activity_stream(_requests(spark, sf_dir)), "activity"))
+    return _times(S.run_bounded(S.activity_stream(_requests(spark, sf_dir)), S.open_activity, "activity"))
 
 
 @query(
@@ -58,7 +64,7 @@ windows AS (SELECT "start", "start" + INTERVAL 5 MINUTE AS "end", CAST(sum(token
 SELECT {_SHOWN}, tokens, tokens / 5 AS tokens_per_minute FROM windows""",
 )
 def tpm_stream(spark, sf_dir):
-    return _times(S.run_bounded(S.tpm_stream(_requests(spark, sf_dir)), "tpm"))
+    return _times(S.run_bounded(S.tpm_stream(_requests(spark, sf_dir)), S.open_tpm, "tpm"))
 
 
 @query(
@@ -71,12 +77,12 @@ SELECT user_id, {_SHOWN}, CAST(1 AS BIGINT) AS misses, hits FROM sessions""",
 )
 def cache_stream(spark, sf_dir):
     uses = as_events(_stream(spark, sf_dir, "events")).select("user_id", "ts")
-    return _times(S.run_bounded(S.cache_stream(uses, "user_id"), "cache"))
+    return _times(S.run_bounded(S.cache_stream(uses, "user_id"), lambda s: S.open_cache(s, "user_id"), "cache"))
 
 
 @query("dedupe_stream", f"WITH {REQUESTS_SQL} SELECT id, path FROM requests")
 def dedupe_stream(spark, sf_dir):
     """Every fiftieth request is delivered twice."""
     deliveries = F.explode(F.expr("if(event_id % 50 = 0, array(1, 2), array(1))"))
-    delivered = _requests(spark, sf_dir).select("*", deliveries.alias("delivery"))
-    return S.run_available(S.dedupe_stream(delivered).select("id", "path"), "dedupe")
+    delivered = _requests(spark, sf_dir).select("*", deliveries.alias("delivery")).select("id", "path", "timestamp")
+    return S.dedupe_available(delivered, "id string, path string, timestamp timestamp").select("id", "path")
