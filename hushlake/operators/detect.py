@@ -50,6 +50,12 @@ def with_spans(df: DataFrame, rules: list[Rule], text: str = "text", into: str =
     return compute_once(out, {into: found}, drop=[segments, hits, todo])
 
 
+def has_match(text: str, rules: list[Rule]) -> str:
+    """SQL: whether some rule matches a text."""
+    tests = [f"({may_match(name(text), r.pattern)} and {name(text)} rlike {quoted(r.pattern)})" for r in checked(rules)]
+    return " or ".join(tests) or "false"
+
+
 def has_placeholder(text: str) -> str:
     """SQL: whether a text holds a placeholder."""
     return f"({may_match(text, PLACEHOLDER)} and {text} rlike {quoted(PLACEHOLDER)})"
@@ -124,10 +130,10 @@ def detect_distinct(df: DataFrame, rules: list[Rule], text: str = "text", into:
     and copies are combined before that: a text that fills a third of the table
     costs one detection. To join results back, the hash of the text is
     shuffled, never the text; a hot hash is split by the adaptive skew join.
+    Results that outlive a run are kept by ``detection_cache``.
     """
     df = df.withColumn(text, F.make_valid_utf8(text))
-    tests = [f"({may_match(name(text), r.pattern)} and {name(text)} rlike {quoted(r.pattern)})" for r in checked(rules)]
-    hit = df.select(text).filter(" or ".join(tests) or "false")
+    hit = df.select(text).filter(has_match(text, rules))
     found = with_spans(hit.distinct(), rules, text, into)
     key = F.sha2(F.col(text), 256)
     results = found.filter(F.size(into) > 0).select(key.alias("__key"), into)

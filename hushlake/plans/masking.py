@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from hushlake.functions.text import hide_value, n_chars
 from hushlake.operators.annotate import annotate_all, annotate_first
 from hushlake.operators.decode import decode
 from hushlake.operators.detect import chunk_text, detect_distinct, detect_rules, rebase_spans
+from hushlake.operators.detection_cache import cache_runs, detect_cached
 from hushlake.operators.fields import BLOCK_PATHS, CHAT_PATHS, extract_fields, field_audit, operation_paths
 from hushlake.operators.mask import Policy, entity_counts, mask, mask_conversations, mask_fast, residual_matches
 from hushlake.operators.protect import mask_with_policy
@@ -537,6 +539,44 @@ def detect_distinct_query(spark, sf_dir):
     )
 
 
+_CACHED_AT = dt.datetime(2024, 1, 15, 12, 0, tzinfo=dt.timezone.utc)
+
+
+def _cached_runs(spark, sf_dir, path: str) -> DataFrame:
+    """Documents, then turns and documents within the time to live, then both after it: the last run's spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = docs.unionByName(conversations(spark, sf_dir).select(F.lit(-1).cast("bigint").alias("doc_id"), "text"))
+    detect_cached(docs, RULES, path, _CACHED_AT)
+    detect_cached(both, RULES, path, _CACHED_AT + dt.timedelta(seconds=900))
+    return detect_cached(both, RULES, path, _CACHED_AT + dt.timedelta(seconds=1801))
+
+
+_BOTH = "both_texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, text FROM conversations)"
+
+
+@query("detect_cached", f"""WITH {DOC_SPANS} SELECT doc_id, s AS "start", type, value FROM rule_spans""")
+def detect_cached_query(spark, sf_dir):
+    """What cached results give for the documents is what searching them gives."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = work_dir(spark, "detection-cache")
+    detect_cached(docs, RULES, path, _CACHED_AT)
+    found = detect_cached(docs, RULES, path, _CACHED_AT + dt.timedelta(seconds=60))
+    return found.select("doc_id", F.inline("spans")).select("doc_id", F.col("start").cast("bigint").alias("start"), "type", "value")
+
+
+@query(
+    "cache_runs",
+    f"""WITH {_BOTH}, n AS (SELECT count(DISTINCT text) AS texts, count(DISTINCT CASE WHEN doc_id <> -1 THEN text END) AS old FROM both_texts)
+SELECT unnest([0, 900, 1801]) AS seconds, unnest([old, texts, texts]) AS texts, unnest([old, texts - old, texts]) AS searched FROM n""",
+)
+def cache_runs_query(spark, sf_dir):
+    """The second run searches the turns alone and renews the documents; the third comes a second too late for both."""
+    path = work_dir(spark, "detection-cache")
+    _cached_runs(spark, sf_dir, path)
+    seconds = (F.col("at") - int(_CACHED_AT.timestamp())).cast("int")
+    return cache_runs(spark, path).select(seconds.alias("seconds"), "texts", "searched")
+
+
 _MAX, _STRIDE = 512, 128
 _TOKEN = literal(r"[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]*")
 _CHUNKS = f"""tokens AS (SELECT doc_id, length(regexp_extract(text, '^[ \\t\\n\\r\\f\\x0B]+')) AS lead,
