@@ -18,11 +18,10 @@ from hushlake.operators.mask import Policy, entity_counts, mask, mask_conversati
 from hushlake.operators.protect import mask_with_policy
 from hushlake.operators.rules import Rule
 from hushlake.operators.spans import detect_external, filter_types, merge_spans
-from hushlake.operators.vault import build_vault, islands_table, restore, vault_collisions
+from hushlake.operators.vault import build_vault, islands_table, protect, restore, vault_collisions
 from hushlake.plans.registry import query
 from hushlake.plans.tables import RULES, WORD_RULES, conversations, documents, literal, rules_sql, table
 from hushlake.session import work_dir
-from hushlake.sources.writers import write_masked
 
 # ---------------------------------------------------------------- SQL parts
 
@@ -447,13 +446,6 @@ def _vault(spark, sf_dir) -> DataFrame:
     return build_vault(islands_table(documents(spark, sf_dir), RULES, "doc_id"))
 
 
-def _stored(masked: DataFrame) -> DataFrame:
-    """Masked texts as they are kept: written once, read where they are needed."""
-    path = work_dir(masked.sparkSession, "masked")
-    write_masked(masked, path)
-    return masked.sparkSession.read.schema(masked.schema).parquet(path)
-
-
 @query("vault", f"WITH {DOC_ISLANDS}, {_VAULT.format(scope='CAST(doc_id AS VARCHAR)')} SELECT * FROM vault")
 def vault_query(spark, sf_dir):
     return _vault(spark, sf_dir)
@@ -495,17 +487,17 @@ def restore_query(spark, sf_dir):
     turns = conversations(spark, sf_dir).select(
         F.concat_ws("/", "conv_id", "turn").alias("k"), (F.col("conv_id") % 3).alias("scope"), "text"
     )
-    masked = _stored(mask(turns, WORD_RULES, "scope").select("k", "scope_id", "text"))
-    return restore(masked, _word_vault(spark, sf_dir), ["k"]).select("k", "text")
+    masked, vault = protect(turns, WORD_RULES, "scope", ["k"], work_dir(spark, "protected"))
+    return restore(masked, vault, ["k"], entities="entities").select("k", "text")
 
 
 @query("restore_roundtrip", "SELECT doc_id, text, true AS same FROM documents")
 def restore_roundtrip(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    both = mask(docs.withColumn("original", F.col("text")), RULES, "doc_id")
-    masked = _stored(both.select("doc_id", "scope_id", "original", "text"))
-    back = restore(masked, _vault(spark, sf_dir), ["doc_id"])
-    return back.select("doc_id", "text", (F.col("text") == F.col("original")).alias("same"))
+    masked, vault = protect(docs, RULES, "doc_id", ["doc_id"], work_dir(spark, "protected"))
+    back = restore(masked, vault, ["doc_id"]).select("doc_id", "text")
+    originals = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
+    return back.join(originals, "doc_id").select("doc_id", "text", F.col("text").eqNullSafe(F.col("original")).alias("same"))
 
 
 @query("residual_matches", "SELECT doc_id, CAST(0 AS BIGINT) AS residual FROM documents")

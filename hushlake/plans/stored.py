@@ -61,6 +61,7 @@ def stored_client_log(spark, sf_dir):
 
 @query("stored_vault", f"WITH {DOC_ISLANDS} SELECT DISTINCT CAST(doc_id AS VARCHAR) AS scope_id, replacement AS placeholder, type, value FROM islands")
 def stored_vault(spark, sf_dir):
+    """Raw values go to a place of their own."""
     path, apart = work_dir(spark, "masked"), work_dir(spark, "vault")
     docs = documents(spark, sf_dir)
     writers.write_vault(build_vault(islands_table(docs, RULES, "doc_id")), apart, path)

@@ -12,7 +12,7 @@ from hushlake.operators.cache import cache_sessions
 from hushlake.operators.detect import detect_distinct
 from hushlake.operators.mask import mask
 from hushlake.operators.rules import Rule
-from hushlake.operators.vault import build_vault, islands_table, restore, vault_collisions
+from hushlake.operators.vault import build_vault, islands_table, protect, restore, vault_collisions
 from hushlake.plans.tables import RULES
 
 WORDS = [Rule("WORD", r"[a-z]{6}")]
@@ -134,3 +134,33 @@ def test_detail_lookup_and_list_queries_prune(spark, tmp_path):
     assert "EqualTo(id,r1)" in request_detail(detail, "r1")._jdf.queryExecution().executedPlan().toString()
     listed = search_requests(detail, "x").select("id", "path")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:string,upstream_id:string,model:string,target_host:string,path:string>" in listed
+
+
+def test_protect_searches_once_and_keeps_raw_values_in_the_vault(spark, tmp_path):
+    rows = [(1, 7, "a@b.org and a@b.org, c@d.org"), (2, 7, "a@b.org"), (3, 8, "nothing"), (4, None, None), (5, 9, "")]
+    texts = spark.createDataFrame(rows, "id long, scope long, text string")
+    rules = [Rule("EMAIL", r"[a-z]@[a-z]\.org")]
+    before = set(_stage_ids(spark))
+    masked, vault = protect(texts, rules, "scope", ["id"], f"{tmp_path}/p")
+    assert len(set(_stage_ids(spark)) - before) == 1
+    assert {r.value for r in vault.collect()} == {"a@b.org", "c@d.org"}
+    assert build_vault(vault).count() == 2 and masked.columns == ["id", "scope_id", "text", "entities", "replacement_count"]
+    everything = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/p/kind=masked")
+    assert not any("@" in str(r) for r in everything.collect())
+    for back in (restore(masked, vault, ["id"]), restore(masked, vault, ["id"], entities="entities")):
+        assert {r.id: r.text for r in back.collect()} == {i: t for i, _, t in rows}
+
+
+def _stage_ids(spark):
+    from measure import _stages
+
+    return _stages(spark)
+
+
+def test_ambiguous_placeholders_stay_within_their_scope(spark):
+    vault = spark.createDataFrame(
+        [("1", "<A:0001>", "A", "x"), ("1", "<A:0001>", "A", "y"), ("2", "<A:0001>", "A", "z"), ("2", "<A:0001>", "A", "z")],
+        "scope_id string, placeholder string, type string, value string",
+    )
+    df = spark.createDataFrame([(1, "1", "<A:0001>!"), (2, "2", "<A:0001>!")], "id long, scope_id string, text string")
+    assert {r.id: r.text for r in restore(df, vault, ["id"]).collect()} == {1: "<A:0001>!", 2: "z!"}
