@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -627,6 +628,64 @@ def annotate_first_query(spark, sf_dir):
     return _parts(masked, annotate_first("text", "entities"))
 
 
+# Lists whose replacements repeat with other types, and lists whose replacements lie within each other: a number is
+# the place of one of the text's own entities, a pair a type and a replacement or the place of one.
+_LISTS = {
+    "repeated": [0, ("AGAIN", 0), 2, ("THIRD", 0), 1],
+    "nested": [0, ("WORD", "the"), ("LETTER", "e"), 1, ("WORD", "the"), ("MARK", "MASK_")],
+}
+
+
+def _listed(shape: list, entity: Callable[[str, str], str], own: Callable[[int, str], str]) -> str:
+    """SQL of a list's entities, in the dialect that ``entity`` and ``own`` write."""
+    parts = []
+    for item in shape:
+        type_, what = (None, item) if isinstance(item, int) else item
+        replacement = own(what, "replacement") if isinstance(what, int) else f"'{what}'"
+        parts.append(entity(f"'{type_}'" if type_ else own(what, "type"), replacement))
+    return ", ".join(parts)
+
+
+def _duck_list(kind: str) -> str:
+    members = {"type": "type", "replacement": "r"}
+    return _listed(_LISTS[kind], lambda t, r: f"{{'type': {t}, 'r': {r}}}", lambda i, m: f"entities[{i + 1}].{members[m]}")
+
+
+def _spark_list(kind: str) -> str:
+    return _listed(
+        _LISTS[kind], lambda t, r: f"named_struct('type', {t}, 'replacement', {r})", lambda i, m: f"get(entities, {i}).{m}"
+    )
+
+
+_LISTED = DOC_MASKED.replace(
+    "string_agg(type || '=' || replacement || '(' || sources || ')', ' ' ORDER BY i.s) AS entities",
+    "list({'type': type, 'r': replacement} ORDER BY i.s) AS entities",
+).replace("coalesce(r.entities, '')", "r.entities")
+_MIXED = f"""WITH RECURSIVE {_LISTED},
+lists AS (SELECT doc_id, text, unnest(['repeated', 'nested']) AS kind, unnest([[{_duck_list('repeated')}], [{_duck_list('nested')}]]) AS listed FROM masked),
+start AS (SELECT doc_id, kind, list_filter(listed, lambda e: e.r IS NOT NULL) AS es, [{{'part': text, 'type': ''}}] AS parts FROM lists),
+steps AS (SELECT doc_id, kind, es, parts, 1 AS step FROM start
+  UNION ALL SELECT doc_id, kind, es, flatten(list_transform(parts, lambda p: CASE WHEN p.type <> '' OR strpos(p.part, es[step].r) = 0 THEN [p]
+    ELSE [{{'part': substr(p.part, 1, strpos(p.part, es[step].r) - 1), 'type': ''}}, {{'part': es[step].r, 'type': es[step].type}},
+          {{'part': substr(p.part, strpos(p.part, es[step].r) + length(es[step].r)), 'type': ''}}] END)), step + 1 FROM steps WHERE step <= len(es)),
+ended AS (SELECT doc_id, kind, unnest(range(len(parts))) AS i, unnest(parts) AS p FROM steps WHERE step = len(es) + 1)
+SELECT doc_id, kind, i, p.part AS part, p.type AS type FROM ended"""
+
+
+@query("annotate_mixed", _MIXED)
+def annotate_mixed(spark, sf_dir):
+    """The sequential rule on lists that repeat a replacement, and on replacements that overlap."""
+    masked = mask(documents(spark, sf_dir), RULES, "doc_id")
+    lists = ", ".join(
+        f"named_struct('kind', '{kind}', 'listed', filter(array({_spark_list(kind)}), e -> e.replacement is not null))" for kind in _LISTS
+    )
+    both = masked.select("doc_id", "text", F.inline(F.expr(f"array({lists})")))
+    cut = both.select("doc_id", "kind", F.posexplode(annotate_first("text", "listed")).alias("i", "p"))
+    return cut.select(
+        "doc_id", "kind", F.col("i").cast("bigint").alias("i"), "p.part", F.coalesce("p.type", F.lit("")).alias("type")
+    )
+
+
 @query("text_length", "SELECT doc_id, length(text) AS n_chars FROM documents")
 def text_length(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", n_chars(F.col("text")).cast("bigint").alias("n_chars"))

@@ -1,5 +1,8 @@
 """Log texts, labels, annotation: hand-computed cases."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,53 @@ def test_parts_put_together_are_the_text(spark):
     text, entities = "ab<A:1>ba<A:1>", [("A", "<A:1>"), ("B", "b")]
     for function in (annotate_all, annotate_first):
         assert "".join(p for p, _ in marks(spark, function, text, entities)) == text
+
+
+def one_by_one(text, entities):
+    """The rule as it is stated."""
+    parts = [(text, None)]
+    for type_, replacement in entities:
+        if replacement:
+            cut = []
+            for part, mark in parts:
+                at = part.find(replacement) if mark is None else -1
+                cut += [(part, mark)] if at < 0 else [(part[:at], None), (replacement, type_), (part[at + len(replacement) :], None)]
+            parts = cut
+    return parts
+
+
+@pytest.mark.parametrize(
+    "words, replacements",
+    [
+        (["<A:1>", "<B:2>", "<C:3>", "<D>", "x", "<", "> "], ["<A:1>", "<B:2>", "<C:3>", "<D>", ""]),
+        (["cc+", "q.", "z", " ", "é\n"], ["cc+", "q.", "z", "é"]),
+        (["ab", "ba", "c", "+(", "q"], ["ab", "ba", "a", "bb", "c", "+("]),
+    ],
+)
+def test_annotate_first_equals_the_stated_rule(spark, words, replacements):
+    """Closed shapes, open ones that cannot overlap, and ones that do; lists too short, too long and with other types."""
+    rng = random.Random(len(words))
+    rows = []
+    for i in range(500):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        rows.append((i, text, [(f"T{rng.randint(0, 3)}", rng.choice(replacements)) for _ in range(rng.randint(0, 12))]))
+    schema = "i int, text string, entities array<struct<type string, replacement string>>"
+    found = spark.createDataFrame(rows, schema).select("i", annotate_first("text", "entities").alias("parts")).collect()
+    assert {r.i: [tuple(p) for p in r.parts] for r in found} == {i: one_by_one(text, listed) for i, text, listed in rows}
+
+
+def test_annotate_first_is_nearly_linear(spark):
+    """Eight times the entities take nowhere near sixty-four times as long."""
+    schema = "text string, entities array<struct<type string, replacement string>>"
+
+    def seconds(n):
+        listed = [("E", f"<E:{i:04X}>") for i in range(n)]
+        df = spark.createDataFrame([(" and here ".join(r for _, r in listed), listed)], schema)
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert df.select(F.size(annotate_first("text", "entities"))).first()[0] == 2 * n + 1
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(4000) < 4 * seconds(500) + 0.5
