@@ -11,7 +11,7 @@ from hushlake.functions.arrays import interleave, let, name, quoted
 from hushlake.functions.once import compute_once
 from hushlake.operators.detect import PLACEHOLDER, RULE_CONFIDENCE, with_spans
 from hushlake.operators.rules import Rule, checked, group_count, group_names, may_match, refers_to_groups
-from hushlake.operators.sides import measured
+from hushlake.operators.sides import split_by_keys
 from hushlake.operators.spans import (
     NO_SPANS,
     SPAN,
@@ -77,20 +77,23 @@ def with_islands(
     """Add the merged spans of each text with their values and placeholders.
 
     Also leaves ``<into>_blocks`` for rewriting. With ``external``, spans of a
-    detector are joined by ``keys``, which must name one text.
+    detector are joined by ``keys``, which must name one text; ``df`` is read
+    twice then, for texts with such spans and for the others.
     """
     spans, bounds, blocks = f"__{into}_spans", f"__{into}_bounds", f"{into}_blocks"
+    if external is not None:
+        given = external_spans(external, keys)
+        some, none = split_by_keys(df, given, keys)
+        listed = given.groupBy(*keys).agg(F.collect_list(F.struct(*SPAN_COLUMNS).cast(SPAN)).alias("__external"))
+        # Only texts that have spans of the detector meet them in a shuffle; the others stay where they are.
+        df = some.join(listed, keys, "left").unionByName(none.withColumn("__external", F.lit(None).cast(NO_SPANS)))
     out = with_spans(df, rules, text, spans)
     if external is not None:
-        given = external_spans(external, keys).groupBy(*keys).agg(
-            F.collect_list(F.struct(*SPAN_COLUMNS).cast(SPAN)).alias("__external")
-        )
         # Spans that reach past the end of the text are cut there.
         cut = F.transform("__external", lambda s: s.withField("end", F.least(s["end"], F.length(text))))
         fitting = F.filter(cut, lambda s: s["end"] > s["start"])
         both = F.sort_array(F.concat(F.col(spans), F.coalesce(fitting, F.array().cast(NO_SPANS))))
-        # Texts stay where they are if the spans are small enough to go to them.
-        out = out.join(measured(given), keys, "left").withColumn(spans, both).drop("__external")
+        out = out.withColumn(spans, both).drop("__external")
     out = out.withColumn(
         bounds, F.expr(f"if(size({name(spans)}) > 0, {island_bounds(name(spans))}, null)")
     ).withColumn(
@@ -148,7 +151,7 @@ def mask(
     """Replace found values in ``text``; add scope_id, replacement_count and entities.
 
     Rows where ``where`` is not true, and all rows when the policy is off,
-    pass unchanged. Without ``external`` no row leaves its task.
+    pass unchanged. No row leaves its task but for texts with ``external`` spans.
     """
     scoped = df.withColumn("scope_id", F.col(scope).cast("string"))
     if not policy.enabled:

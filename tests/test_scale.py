@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from measure import shuffled
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
@@ -12,6 +13,7 @@ from hushlake.operators.cache import cache_sessions
 from hushlake.operators.detect import detect_distinct
 from hushlake.operators.mask import mask
 from hushlake.operators.rules import Rule
+from hushlake.operators.sides import split_by_keys
 from hushlake.operators.vault import build_vault, islands_table, protect, restore, vault_collisions
 from hushlake.plans.tables import RULES
 
@@ -164,3 +166,36 @@ def test_ambiguous_placeholders_stay_within_their_scope(spark):
     )
     df = spark.createDataFrame([(1, "1", "<A:0001>!"), (2, "2", "<A:0001>!")], "id long, scope_id string, text string")
     assert {r.id: r.text for r in restore(df, vault, ["id"]).collect()} == {1: "<A:0001>!", 2: "z!"}
+
+
+def test_only_texts_with_outside_spans_are_shuffled(spark, tmp_path):
+    """A detector found something in every hundredth text; its table is no small one as far as the plan knows."""
+    wide = F.concat(F.col("id").cast("string"), F.lit(" some longer text with an a@b.org " * 20))
+    spark.range(5000).select("id", wide.alias("text")).repartition(6).write.parquet(f"{tmp_path}/t")
+    texts = spark.read.parquet(f"{tmp_path}/t")
+    spans = spark.range(0, 5000, 100).selectExpr(
+        "int(id) AS id", "0 AS start", "1 AS end", "'D' AS type", "'m' AS source", "0.5D AS confidence"
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = set(_stage_ids(spark))
+        masked = mask(texts, [Rule("EMAIL", r"[a-z]@[a-z]\.org")], "id", external=spans, keys=["id"])
+        assert set(_stage_ids(spark)) == before  # nothing runs while the plan is made
+        rows = []
+        sent, _ = shuffled(spark, lambda: rows.extend(masked.select("id", "replacement_count", "text").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.id: r.replacement_count for r in rows} == {i: 20 + (i % 100 == 0) for i in range(5000)}
+    # The fifty texts; and of the detector, its fifty spans, twice, and the blocks of the filter.
+    assert sent <= 50 + 3 * 50
+
+
+def test_split_by_keys_loses_no_key(spark):
+    df = spark.createDataFrame([(i, f"k{i % 50}") for i in range(1000)] + [(None, "k1"), (5, None)], "a long, b string")
+    other = spark.createDataFrame([(i, f"k{i % 50}") for i in range(0, 1000, 7)] + [(None, "k1")], "a int, b string")
+    wanted = {(i, f"k{i % 50}") for i in range(0, 1000, 7)}
+    for bits in (1 << 29, 64):  # a filter that is full lets all pass
+        some, none = split_by_keys(df, other, ["a", "b"], bits)
+        found, rest = ({tuple(r) for r in x.collect()} for x in (some, none))
+        assert wanted <= found and not found & rest and len(found | rest) == 1002
+        assert bits == 64 or found == wanted | {(None, "k1")}
