@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions.text import format_bytes, format_headers
 from hushlake.operators.ranges import day_bounds, instant
+from hushlake.operators.sides import measured
 
 # Fixed value: requests on a page.
 PAGE_SIZE = 50
@@ -17,9 +18,14 @@ PAGE_SIZE = 50
 _UNITS = [86_400_000_000, 60_000_000, 100_000, 1_000]
 
 
-def request_detail(requests: DataFrame, request_id: str) -> DataFrame:
-    """One request with everything recorded about it. The filter reaches the scan."""
-    return requests.filter(F.col("id") == request_id)
+def request_detail(requests: DataFrame, request_id: str, date: dt.date | None = None) -> DataFrame:
+    """One request with everything recorded about it.
+
+    The filter reaches the scan; in a log that ``write_requests`` wrote, it
+    leaves one row group. Who knows the UTC date opens one folder.
+    """
+    found = requests.filter(F.col("id") == request_id)
+    return found.filter(F.col("date") == F.lit(date)) if date is not None and "date" in requests.columns else found
 
 
 def dedupe_requests(requests: DataFrame, pos: str = "pos") -> DataFrame:
@@ -213,9 +219,27 @@ def apply_retention(requests: DataFrame, as_of: dt.datetime, days: int = 30) ->
     return kept.filter(F.col("date") >= F.lit(limit.date())) if "date" in requests.columns else kept
 
 
+# What each setting covers.
+RECORDED = {"record_request_content": ["fields"], "record_raw_request": ["raw_request", "raw_response"]}
+
+
 def apply_recording(detail: DataFrame, record_request_content: bool, record_raw_request: bool) -> DataFrame:
     """Keep field contents and raw exchanges only where recording them is on; the rest always stays."""
-    gates = {"fields": record_request_content, "raw_request": record_raw_request, "raw_response": record_raw_request}
-    return detail.withColumns(
-        {c: F.when(F.lit(on), F.col(c)) for c, on in gates.items() if c in detail.columns}
-    )
+    on = {"record_request_content": F.lit(record_request_content), "record_raw_request": F.lit(record_raw_request)}
+    return _recorded(detail, on)
+
+
+def apply_recording_settings(detail: DataFrame, settings: DataFrame, tenant: str) -> DataFrame:
+    """The same by a table of decoded settings, one row for each ``tenant``.
+
+    A tenant without settings, and a flag that is null, record nothing but what
+    always stays. What a query does not select is not read.
+    """
+    flags = settings.select(F.col(tenant).alias("__tenant"), *[F.col(f).alias(f"__{f}") for f in RECORDED])
+    joined = detail.join(measured(flags), F.col(tenant) == F.col("__tenant"), "left")
+    on = {f: F.coalesce(f"__{f}", F.lit(False)) for f in RECORDED}
+    return _recorded(joined, on).select(*detail.columns)
+
+
+def _recorded(detail: DataFrame, on: dict[str, Column]) -> DataFrame:
+    return detail.withColumns({c: F.when(on[f], F.col(c)) for f, covered in RECORDED.items() for c in covered if c in detail.columns})

@@ -6,10 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from hushlake.functions.labels import LABELS, LOCALES, label_types
+from hushlake.functions.labels import BUILT_IN_TYPES, LABELS, LOCALES, label_types
 from hushlake.functions.text import format_bytes, format_headers, limit_field, sanitize
 from hushlake.operators import audit
 from hushlake.operators.client_log import sanitize_client_log
+from hushlake.operators.decode import decode
 from hushlake.plans.registry import query
 from hushlake.plans.tables import (
     AS_OF,
@@ -23,10 +24,12 @@ from hushlake.plans.tables import (
     redelivered,
     requests,
 )
+from hushlake.session import work_dir
+from hushlake.sources.writers import write_requests
 
 # ---------------------------------------------------------------- sanitising
 
-# White space as ECMAScript has it, in RE2's notation.
+# White space as ECMAScript has it, in RE2's notation.
 _W = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
@@ -144,6 +147,44 @@ def request_rows(df):
     )
 
 
+# Everything recorded about a request, nested members as text.
+_TYPES = "[" + ", ".join(literal(t) for t in BUILT_IN_TYPES) + "]"
+_HEADER_PAIRS = "'content-type=application/json;x-user=' || user_id || ',' || profile_id"
+_ENTITY_LIST = (
+    f"array_to_string(list_transform(range(1, entity_count + 1), lambda i: {_TYPES}[(event_id + i) % {len(BUILT_IN_TYPES)} + 1] "
+    "|| '/<E:' || lpad(CAST(i AS VARCHAR), 4, '0') || '>/x***/0.9/model:a'), ' ')"
+)
+FIELDS_SQL = f"CASE WHEN event_id % 2 = 0 THEN 'messages[0].content|' || path || '|' || path || '|' || {_ENTITY_LIST} ELSE '-' END"
+REQUEST_SQL = f"CASE WHEN event_id % 4 <> 3 THEN 'POST https://api.example.com' || path || ' ' || {_HEADER_PAIRS} || ' {{}}' ELSE '-' END"
+RESPONSE_SQL = f"""CASE WHEN event_id % 5 <> 4 THEN status_code || ' ' || CASE WHEN event_id % 3 = 0 THEN '' ELSE {_HEADER_PAIRS} END || ' -'
+ELSE '-' END"""
+DETAIL_SQL = f"""{ROW_SQL}, coalesce(model, '-') AS model, profile_id, coalesce(protection_mode, '-') AS protection_mode, gateway_type,
+coalesce(target_host, '-') AS target_host, method, duration_ms, streaming, request_bytes, response_bytes,
+token_input || '/' || token_output || '/' || token_total || '/' || coalesce(CAST(token_cached AS VARCHAR), '-') AS usage,
+coalesce(error_code, '-') AS error_code, {FIELDS_SQL} AS fields, {REQUEST_SQL} AS raw_request, {RESPONSE_SQL} AS raw_response"""
+
+_HEADER_TEXT = "array_join(transform(array_sort(map_entries({}.headers)), e -> concat(e.key, '=', array_join(e.value, ','))), ';')"
+NESTED = {
+    "fields": """coalesce(array_join(transform(fields, f -> concat_ws('|', f.path, f.original_masked, f.redacted, coalesce(array_join(transform(
+        f.entities, e -> concat_ws('/', e.type, e.replacement, e.masked, e.confidence, array_join(e.sources, ','))), ' '), ''))), '||'), '-')""",
+    "raw_request": f"coalesce(concat(raw_request.method, ' ', raw_request.url, ' ', {_HEADER_TEXT.format('raw_request')}, ' ', raw_request.body), '-')",
+    "raw_response": f"""if(raw_response is null, '-', concat(raw_response.status, ' ', {_HEADER_TEXT.format('raw_response')}, ' ',
+        coalesce(raw_response.body, '-')))""",
+}
+
+
+def detail_rows(df):
+    """All columns of a request with its detail."""
+    dash = lambda *names: [F.coalesce(n, F.lit("-")).alias(n) for n in names]
+    usage = "concat_ws('/', token_usage.input, token_usage.output, token_usage.total, coalesce(string(token_usage.cached), '-'))"
+    return df.select(
+        "id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "upstream_id", "operation_id", "path", "status_code",
+        "entity_count", *dash("model"), "profile_id", *dash("protection_mode"), "gateway_type", *dash("target_host"), "method",
+        "duration_ms", "streaming", "request_bytes", "response_bytes", F.expr(usage).alias("usage"), *dash("error_code"),
+        *[F.expr(text).alias(n) for n, text in NESTED.items()],
+    )
+
+
 # The hit lies across two columns: the model's last digit and the host.
 @query("requests_search", f"WITH {REQUESTS_SQL} SELECT {ROW_SQL} FROM requests WHERE {_SEARCHED.format(literal('m0h3.ex'))}")
 def requests_search(spark, sf_dir):
@@ -216,9 +257,13 @@ def requests_dedupe(spark, sf_dir):
     return audit.dedupe_requests(redelivered(spark, sf_dir).select("id", "status_code", "path", "pos"))
 
 
-@query("request_detail", f"WITH {REQUESTS_SQL} SELECT {ROW_SQL} FROM requests WHERE id = 'r77'")
+@query("request_detail", f"WITH {REQUESTS_SQL} SELECT {DETAIL_SQL} FROM requests WHERE id = 'r78'")
 def request_detail(spark, sf_dir):
-    return request_rows(audit.request_detail(details(spark, sf_dir), "r77"))
+    """One request out of the stored log."""
+    path, log = work_dir(spark, "log"), details(spark, sf_dir)
+    write_requests(log, path)
+    stored = spark.read.schema(log.schema.add("date", "date")).parquet(path)
+    return detail_rows(audit.request_detail(stored, "r78"))
 
 
 def _bytes_sql(column: str) -> str:
@@ -285,15 +330,24 @@ def retention(spark, sf_dir):
     return request_rows(audit.apply_retention(requests(spark, sf_dir), AS_OF, 7))
 
 
+# Settings as documents: both on, one on, the other on, none given.
+_SETTINGS = [
+    ("up0", '{"record_request_content": true, "record_raw_request": true}'),
+    ("up1", '{"record_request_content": true, "record_raw_request": "true"}'),
+    ("up2", '{"record_request_content": null, "record_raw_request": true}'),
+    ("up3", "{}"),
+]
+
+
 @query(
     "recording_gate",
-    f"""WITH {REQUESTS_SQL} SELECT id, event_id % 2 = 0 AS has_fields, false AS has_request, false AS has_response FROM requests""",
+    f"""WITH {REQUESTS_SQL} SELECT id, status_code, CASE WHEN upstream_id IN ('up0', 'up1') THEN {FIELDS_SQL} ELSE '-' END AS fields,
+CASE WHEN upstream_id IN ('up0', 'up2') THEN {REQUEST_SQL} ELSE '-' END AS raw_request,
+CASE WHEN upstream_id IN ('up0', 'up2') THEN {RESPONSE_SQL} ELSE '-' END AS raw_response FROM requests""",
 )
 def recording_gate(spark, sf_dir):
-    kept = audit.apply_recording(details(spark, sf_dir), record_request_content=True, record_raw_request=False)
-    return kept.select(
-        "id",
-        F.col("fields").isNotNull().alias("has_fields"),
-        F.col("raw_request").isNotNull().alias("has_request"),
-        F.col("raw_response").isNotNull().alias("has_response"),
-    )
+    """Each provider's settings, decoded from its document, decide what stays of its requests."""
+    documents_ = spark.createDataFrame(_SETTINGS, "upstream_id string, json string")
+    settings = decode(documents_, "settings", keep=["upstream_id"])
+    kept = audit.apply_recording_settings(details(spark, sf_dir), settings, "upstream_id")
+    return kept.select("id", "status_code", *[F.expr(text).alias(n) for n, text in NESTED.items()])

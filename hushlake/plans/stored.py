@@ -9,7 +9,7 @@ from hushlake.operators.mask import mask
 from hushlake.operators.routing import url_host
 from hushlake.operators.vault import build_vault, islands_table
 from hushlake.plans.documents_json import docs_sql, json_documents, one_of_sql
-from hushlake.plans.logs import ROW_SQL, request_rows
+from hushlake.plans.logs import DETAIL_SQL, ROW_SQL, detail_rows, request_rows
 from hushlake.plans.masking import DOC_ISLANDS
 from hushlake.plans.registry import query
 from hushlake.plans.tables import AS_OF, REQUESTS_SQL, RULES, details, documents, requests
@@ -31,12 +31,12 @@ def stored_requests(spark, sf_dir):
     return request_rows(audit.apply_retention(stored, AS_OF, 7))
 
 
-@query("stored_detail", f"WITH {REQUESTS_SQL} SELECT {ROW_SQL} FROM requests")
+@query("stored_detail", f"WITH {REQUESTS_SQL} SELECT {DETAIL_SQL} FROM requests")
 def stored_detail(spark, sf_dir):
     """Typed JSON lines."""
     path = work_dir(spark, "detail")
     details(spark, sf_dir).write.json(path)
-    return request_rows(readers.read_requests(spark, path, "json", detail=True))
+    return detail_rows(readers.read_requests(spark, path, "json", detail=True))
 
 
 @query(

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from hushlake.operators import audit
 from hushlake.operators.mask import mask
 from hushlake.operators.rules import Rule
 from hushlake.schemas import REQUESTS
@@ -119,3 +120,48 @@ def test_working_folder_needs_a_shared_place(spark, monkeypatch):
     made = work_dir(spark, "x")
     assert base is None or made.startswith(base)
     assert work_dir(spark, "x") != made
+
+
+def _rows_scanned(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_one_request_is_found_in_one_row_group(spark, tmp_path):
+    """Small row groups: all but the one with the id are left out by its order and its Bloom filter."""
+    import hashlib
+
+    path, day = str(tmp_path / "log"), dt.datetime(2024, 1, 1, tzinfo=UTC)
+    name = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [(name(i), day + dt.timedelta(hours=i % 72), "x" * 50) for i in range(30_000)]
+    log = spark.createDataFrame(rows, "id string, timestamp timestamp, path string")
+    # Two appends: each date has two files whose ids lie in the same range.
+    for part in (log.filter("substring(id, 64, 1) < '8'"), log.filter("substring(id, 64, 1) >= '8'")):
+        writers.write_requests(part, path, **{"parquet.block.size": "65536", "parquet.page.row.count.limit": "200", "parquet.block.row.count.limit": "1000"})
+    stored = spark.read.schema(log.schema.add("date", "date")).parquet(path)
+    found = audit.request_detail(stored, name(77))
+    assert [r.path for r in found.collect()] == ["x" * 50]
+    assert 1 <= _rows_scanned(found) <= 1000
+    missing = audit.request_detail(stored, name(99_999))
+    assert missing.collect() == [] and _rows_scanned(missing) <= 1000
+    dated = audit.request_detail(stored, name(77), (day + dt.timedelta(hours=77 % 72)).date())
+    assert dated.count() == 1 and "PartitionFilters: [isnotnull(date" in dated._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recording_by_settings(spark):
+    detail = spark.createDataFrame(
+        [("r1", "a"), ("r2", "b"), ("r3", "c"), ("r4", None)], "id string, tenant string"
+    ).selectExpr("id", "tenant", "array(named_struct('path', id)) AS fields", "id AS raw_request", "id AS raw_response")
+    settings = spark.createDataFrame([("a", True, False), ("b", None, True)], "tenant string, record_request_content boolean, record_raw_request boolean")
+    kept = {r.id: (r.fields is not None, r.raw_request, r.raw_response) for r in audit.apply_recording_settings(detail, settings, "tenant").collect()}
+    assert kept == {"r1": (True, None, None), "r2": (False, "r2", "r2"), "r3": (False, None, None), "r4": (False, None, None)}
+    assert audit.apply_recording_settings(detail.select("id", "tenant"), settings, "tenant").columns == ["id", "tenant"]
+
+
+def test_recording_reads_what_is_selected(spark, tmp_path):
+    detail = spark.range(9).selectExpr("string(id) AS id", "'a' AS tenant", "array('f') AS fields", "'q' AS raw_request", "'p' AS raw_response")
+    detail.write.parquet(str(tmp_path / "d"))
+    settings = spark.createDataFrame([("a", True, True)], "tenant string, record_request_content boolean, record_raw_request boolean")
+    kept = audit.apply_recording_settings(spark.read.parquet(str(tmp_path / "d")), settings, "tenant").select("id", "raw_request")
+    assert "ReadSchema: struct<id:string,tenant:string,raw_request:string>" in kept._jdf.queryExecution().executedPlan().toString()
