@@ -18,8 +18,17 @@ def _members(names: Iterable[str]) -> str:
 
 
 def parse(json: Column) -> Column:
-    """JSON text to VARIANT; null for invalid text."""
-    return F.try_parse_json(json)
+    """JSON text to VARIANT; null for text that is not JSON to its end.
+
+    The parser stops after the first value, whatever follows. So the text is
+    parsed as the first of two elements, the second being its own hash: both
+    come out only if the text is one value and nothing else.
+    """
+    mark = F.xxhash64(json)
+    whole = F.try_parse_json(F.concat(F.lit("["), json, F.lit(","), mark.cast("string"), F.lit("]")))
+    element = lambda both, i: F.get(both, F.lit(i))
+    fits = lambda both: (F.size(both) == 2) & (F.try_variant_get(element(both, 1), "$", "bigint") == mark)
+    return bind(F.try_variant_get(whole, "$", "array<variant>"), lambda both: F.when(fits(both), element(both, 0)))
 
 
 def open_json(json: Column, names: Iterable[str]) -> Column:

@@ -24,9 +24,15 @@ def _choice(*values: str, by: str = "event_id") -> str:
 
 
 def _document(**members: str) -> str:
-    """SQL text of a JSON object; every 50th document is broken, every 50th an array."""
+    """SQL text of a JSON object; one in 50 each is an array or not JSON in one of five ways."""
     body = ", ', ', ".join(f"'\"{name}\": ', {value}" for name, value in members.items())
-    return f"CASE event_id % 50 WHEN 17 THEN '{{broken' WHEN 18 THEN '[1, 2]' ELSE concat('{{', {body}, '}}') END"
+    first = next(iter(members))
+    quotes = f"concat('{{', chr(39), '{first}', chr(39), ': ', chr(39), 'x', chr(39), '}}')"
+    return (
+        f"CASE event_id % 50 WHEN 17 THEN '{{broken' WHEN 18 THEN '[1, 2]' WHEN 19 THEN {quotes} "
+        f"WHEN 20 THEN concat('{{', {body}, '}} x') WHEN 21 THEN concat('{{', {body}, ', \"more\": NaN}}') "
+        f"WHEN 22 THEN concat('{{', {body}) ELSE concat('{{', {body}, '}}') END"
+    )
 
 
 _ID = "concat('\"r', CAST(event_id AS STRING), '\"')"
@@ -49,13 +55,22 @@ _ENTITIES = _choice(
     "'null'",
     "'[]'",
 )
-_FIELDS = f"concat('[{{\"path\": \"p', {_N}, '\", \"redacted\": 3, \"entities\": ', {_ENTITIES}, '}}, \"x\"]')"
+_FIELDS = (
+    f"concat('[{{\"path\": \"p', {_N}, '\", \"original_masked\": \"o', event_type, '\", \"redacted\": 3, \"entities\": ', {_ENTITIES}, "
+    "'}, \"x\", {\"original_masked\": null, \"redacted\": \"r\"}]')"
+)
 
 DOCUMENTS = {
     "request": _document(
         id=_ID,
         timestamp=_choice("'\"2024-01-02T03:04:05Z\"'", "'5'"),
         upstream_id=_choice("'\"up\"'", "'true'", "'null'"),
+        profile_id=_choice("'\"openai\"'", "'[]'"),
+        operation_id=_choice("'\"chat\"'", "'{}'", "'\"\"'"),
+        target_host=_choice("'\"h.example.com\"'", "'null'", "'3'"),
+        method=_choice("'\"POST\"'", "'1'"),
+        request_bytes=_choice(_N, "'\"512\"'", "'1e3'"),
+        response_bytes=_choice("'256'", "'null'", _N),
         model=_choice("'\"m\"'", "'7'", "'null'"),
         protection_mode=_choice("'\"redacted\"'", "'\"passthrough\"'", "'\"disabled\"'", "'\"other\"'", "'1'"),
         gateway_type=_choice("'\"proxy_gateway\"'", "'\"api_gateway\"'", "'\"x\"'"),
@@ -68,9 +83,14 @@ DOCUMENTS = {
         error_code=_choice("'\"e\"'", "'{}'"),
         fields=_FIELDS,
         raw_request=_choice(
-            f"concat('{{\"method\": \"POST\", \"headers\": ', {_HEADERS}, ', \"body\": 4}}')", "'\"raw\"'"
+            f"concat('{{\"method\": \"POST\", \"url\": \"u', event_type, '\", \"headers\": ', {_HEADERS}, ', \"body\": 4}}')",
+            "'\"raw\"'",
+            f"concat('{{\"method\": null, \"url\": 5, \"headers\": ', {_HEADERS}, ', \"body\": \"b\"}}')",
+        ),
+        raw_response=_choice(
+            f"concat('{{\"status\": ', {_N}, ', \"headers\": ', {_HEADERS}, ', \"body\": \"ok\"}}')", "'null'", "'[]'",
+            f"concat('{{\"status\": \"200\", \"headers\": ', {_HEADERS}, '}}')",
         ),
-        raw_response=_choice("concat('{\"status\": ', " + _N + ", ', \"body\": \"ok\"}')", "'null'", "'[]'"),
     ),
     "policy": _document(
         enabled=_choice("'false'", "'\"no\"'", "'null'"),
@@ -98,7 +118,13 @@ DOCUMENTS = {
         daily=_choice(
             "concat('[{\"date\": \"2024-01-01\", \"requests\": ', " + _N + ", '}, 4, {\"entities\": 2}]')", "'{}'"
         ),
+        average_latency_ms=_choice("'12.5'", "'\"fast\"'", "'1e1'"),
+        streaming_requests=_choice(_N, "'false'"),
+        token_input=_choice(_N, "'\"1\"'", "'null'"),
+        token_output=_choice("'4'", "'[]'"),
         token_total=_choice("'9'", "'null'"),
+        token_cached=_choice("'2.0'", "'{}'", _N),
+        tokens_per_minute=_choice("'0.25'", "'3'", "'null'"),
         granularity=_choice("'\"hour\"'", "'\"day\"'", "'\"week\"'", "'1'"),
     ),
     "result": _document(
@@ -115,6 +141,8 @@ DOCUMENTS = {
         id=_ID,
         base_url=_choice("'\"http://u\"'", "'1'"),
         credential_mode=_choice("'\"managed\"'", "'\"other\"'", "'null'"),
+        profile_id=_choice("'\"p\"'", "'9'"),
+        header_templates=_choice("'{\"a\": \"b\", \"c\": 1}'", "'[]'", "'{}'"),
         api_key=_choice("'\"k\"'", "'null'"),
         enabled=_choice("'false'", "'\"false\"'", "'null'"),
     ),
@@ -125,9 +153,13 @@ DOCUMENTS = {
     "models": _document(
         id=_ID,
         valid=_choice("'true'", "'1'"),
+        active=_choice("'true'", "'false'", "'\"true\"'"),
+        built_in=_choice("'false'", "'true'", "'null'"),
         manifest=_choice(
-            "concat('{\"name\": \"', event_type, '\", \"max_tokens\": 512, \"stride\": \"x\", \"entity_types\": {\"0\": \"PERSON\", \"1\": 7}}')",
+            "concat('{\"name\": \"', event_type, '\", \"version\": \"1.', " + _N + ", '\", \"quantization\": \"int8\", \"max_tokens\": 512, "
+            "\"stride\": \"x\", \"label_scheme\": \"BIO\", \"entity_types\": {\"0\": \"', event_type, '\", \"1\": 7, \"2\": \"PERSON\"}}')",
             "'[]'",
+            "concat('{\"name\": 1, \"version\": 2, \"max_tokens\": \"512\", \"stride\": ', " + _N + ", ', \"entity_types\": {}}')",
         ),
         errors=_choice("'[\"e\", 1]'", "'{}'"),
     ),
@@ -145,7 +177,8 @@ def docs_sql(kind: str) -> str:
     """CTE ``docs`` with a document ``j`` that is an object or empty."""
     return (
         f"raw AS (SELECT event_id, {DOCUMENTS[kind]} AS d FROM events), "
-        "docs AS (SELECT event_id, CASE WHEN json_valid(d) THEN CAST(d AS JSON) ELSE CAST('{}' AS JSON) END AS j FROM raw)"
+        # NaN is no JSON, though DuckDB takes it.
+        "docs AS (SELECT event_id, CASE WHEN json_valid(d) AND NOT contains(d, 'NaN') THEN CAST(d AS JSON) ELSE CAST('{}' AS JSON) END AS j FROM raw)"
     )
 
 
@@ -180,6 +213,8 @@ def _strings(path: str, j: str = "j") -> str:
 
 
 _REQUEST_SQL = f"""event_id, {_t('id')} AS id, {_t('timestamp')} AS timestamp, {_t('upstream_id')} AS upstream_id, {_t('profile_id')} AS profile_id,
+{_t('operation_id')} AS operation_id, {_t('target_host', "'-'")} AS target_host, {_t('method')} AS method,
+{_n('request_bytes')} AS request_bytes, {_n('response_bytes')} AS response_bytes,
 {_t('model', "'-'")} AS model, {one_of_sql('protection_mode', "'redacted', 'passthrough', 'disabled'", "'-'")} AS protection_mode,
 {one_of_sql('gateway_type', "'proxy_gateway'", "'api_gateway'")} AS gateway_type, {_t('path')} AS path, {_n('status_code')} AS status_code,
 {_n('duration_ms')} AS duration_ms, {_b('streaming')} AS streaming, {_n('entity_count')} AS entity_count, {_t('error_code', "'-'")} AS error_code"""
@@ -188,10 +223,11 @@ _USAGE_SQL = f"""CASE WHEN json_type(j, '$.token_usage') = 'OBJECT' THEN {_n('to
 {_n('token_usage.total')} || '/' || coalesce(CAST(nullif({_n('token_usage.cached')}, 0) AS STRING), '-') ELSE 'none' END AS usage"""
 
 
-def _request_columns():
+def request_columns():
     dash = F.lit("-")
     return [
-        "event_id", "id", "timestamp", "upstream_id", "profile_id",
+        "id", "timestamp", "upstream_id", "profile_id", "operation_id",
+        F.coalesce("target_host", dash).alias("target_host"), "method", "request_bytes", "response_bytes",
         F.coalesce("model", dash).alias("model"),
         F.coalesce("protection_mode", dash).alias("protection_mode"),
         "gateway_type", "path", "status_code", "duration_ms", "streaming", "entity_count",
@@ -199,6 +235,9 @@ def _request_columns():
     ]
 
 
+REQUEST_COLUMNS_SQL = _REQUEST_SQL.removeprefix("event_id, ")
+
+
 @query("decode_requests", f"WITH {docs_sql('request')} SELECT {_REQUEST_SQL}, {_USAGE_SQL} FROM docs")
 def decode_requests(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "request"), "request", keep=["event_id"])
@@ -207,30 +246,36 @@ def decode_requests(spark, sf_dir):
         "if(token_usage is null, null, coalesce(string(token_usage.cached), '-'))), '')"
     )
     shown = F.when(F.col("token_usage").isNull(), F.lit("none")).otherwise(usage)
-    return decoded.select(*_request_columns(), shown.alias("usage"))
+    return decoded.select("event_id", *request_columns(), shown.alias("usage"))
 
 
-_DETAIL_SQL = f"""SELECT event_id, {_t('raw_request.method', "'-'")} AS method,
-CASE WHEN json_type(j, '$.raw_request') = 'OBJECT' THEN 'yes' ELSE 'no' END AS has_request,
-CASE WHEN json_type(j, '$.raw_request.headers') = 'OBJECT' THEN array_to_string(list_transform(list_sort(json_keys(j, '$.raw_request.headers')),
-  lambda k: k || '=' || CASE WHEN json_type(j, '$.raw_request.headers."' || k || '"') = 'ARRAY' THEN array_to_string(list_transform(list_filter(
-  CAST(json_extract(j, '$.raw_request.headers."' || k || '"') AS JSON[]), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), ',') ELSE '' END), ';')
-  ELSE 'none' END AS headers,
-CASE WHEN json_type(j, '$.raw_response') = 'OBJECT' THEN {_n('raw_response.status')} || ' ' || {_t('raw_response.body', "'-'")} ELSE 'none' END AS response
-FROM docs"""
+def _headers_sql(side: str) -> str:
+    path = f"$.{side}.headers"
+    member = f"'{path}.\"' || k || '\"'"
+    listed = f"list_filter(CAST(json_extract(j, {member}) AS JSON[]), lambda x: json_type(x) = 'VARCHAR')"
+    return (
+        f"CASE WHEN json_type(j, '{path}') = 'OBJECT' THEN array_to_string(list_transform(list_sort(json_keys(j, '{path}')), "
+        f"lambda k: k || '=' || CASE WHEN json_type(j, {member}) = 'ARRAY' THEN array_to_string(list_transform({listed}, lambda x: x ->> '$'), ',') "
+        "ELSE '' END), ';') ELSE 'none' END"
+    )
+
+
+_DETAIL_SQL = f"""SELECT event_id,
+CASE WHEN json_type(j, '$.raw_request') = 'OBJECT' THEN {_t('raw_request.method')} || ' ' || {_t('raw_request.url')} || ' ' ||
+  {_t('raw_request.body', "'-'")} ELSE 'none' END AS request, {_headers_sql('raw_request')} AS request_headers,
+CASE WHEN json_type(j, '$.raw_response') = 'OBJECT' THEN {_n('raw_response.status')} || ' ' || {_t('raw_response.body', "'-'")} ELSE 'none' END AS response,
+{_headers_sql('raw_response')} AS response_headers FROM docs"""
 
 
 @query("decode_exchange", f"WITH {docs_sql('request')} {_DETAIL_SQL}")
 def decode_exchange(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "request"), "request_detail", keep=["event_id"])
+    listed = "coalesce(array_join(transform(array_sort(map_entries({0}.headers)), e -> concat(e.key, '=', array_join(e.value, ','))), ';'), 'none')"
+    request = "if(raw_request is null, 'none', concat_ws(' ', raw_request.method, raw_request.url, coalesce(raw_request.body, '-')))"
+    response = "if(raw_response is null, 'none', concat(raw_response.status, ' ', coalesce(raw_response.body, '-')))"
     return decoded.select(
-        "event_id",
-        F.coalesce("raw_request.method", F.lit("-")).alias("method"),
-        F.when(F.col("raw_request").isNull(), "no").otherwise("yes").alias("has_request"),
-        F.expr(
-            "coalesce(array_join(transform(array_sort(map_entries(raw_request.headers)), e -> concat(e.key, '=', array_join(e.value, ','))), ';'), 'none')"
-        ).alias("headers"),
-        F.expr("if(raw_response is null, 'none', concat(raw_response.status, ' ', coalesce(raw_response.body, '-')))").alias("response"),
+        "event_id", F.expr(request).alias("request"), F.expr(listed.format("raw_request")).alias("request_headers"),
+        F.expr(response).alias("response"), F.expr(listed.format("raw_response")).alias("response_headers"),
     )
 
 
@@ -238,14 +283,14 @@ def decode_exchange(spark, sf_dir):
     "decode_fields",
     f"""WITH {docs_sql('request')}, fields AS (SELECT event_id, unnest({_list('fields', 'OBJECT')}) AS f FROM docs),
 counted AS (SELECT event_id, f, {_list('entities', 'OBJECT', 'f')} AS es FROM fields)
-SELECT event_id, {_t('path', j='f')} AS path, {_t('redacted', j='f')} AS redacted, array_to_string(list_transform(es, lambda e:
+SELECT event_id, {_t('path', j='f')} AS path, {_t('original_masked', j='f')} AS original_masked, {_t('redacted', j='f')} AS redacted, array_to_string(list_transform(es, lambda e:
   {_t('type', "'UNKNOWN'", 'e')} || '/' || {_t('replacement', "''", 'e')} || '/' || {_t('masked', "'-'", 'e')} || '/' ||
   {_n('confidence', as_type='DOUBLE', j='e')} || '/' || {_strings('sources', 'e')}), ' ') AS entities FROM counted""",
 )
 def decode_fields(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "request"), "request_detail", keep=["event_id"])
     return decoded.select("event_id", F.inline("fields")).select(
-        "event_id", "path", "redacted",
+        "event_id", "path", "original_masked", "redacted",
         F.expr(
             "array_join(transform(entities, e -> concat_ws('/', e.type, e.replacement, coalesce(e.masked, '-'), "
             "e.confidence, array_join(e.sources, ','))), ' ')"
@@ -285,7 +330,9 @@ def decode_settings_query(spark, sf_dir):
 @query(
     "decode_stats",
     f"""WITH {docs_sql('stats')} SELECT event_id, {_n('requests')} AS requests, {_n('entities')} AS entities, {_n('success_rate', as_type='DOUBLE')} AS success_rate,
-{_n('token_total')} AS token_total, {one_of_sql('granularity', "'hour', 'day'", "'-'")} AS granularity,
+{_n('average_latency_ms', as_type='DOUBLE')} AS average_latency_ms, {_n('streaming_requests')} AS streaming_requests,
+{_n('token_input')} AS token_input, {_n('token_output')} AS token_output, {_n('token_total')} AS token_total, {_n('token_cached')} AS token_cached,
+{_n('tokens_per_minute', as_type='DOUBLE')} AS tokens_per_minute, {one_of_sql('granularity', "'hour', 'day'", "'-'")} AS granularity,
 CASE WHEN json_type(j, '$.entity_types') = 'OBJECT' THEN 'PIN=' || {_n('entity_types.PIN')} || ',URL=' || {_n('entity_types.URL')} ELSE '' END AS entity_types,
 array_to_string(list_transform({_list('daily', 'OBJECT')}, lambda e: {_t('date', j='e')} || '/' || {_n('requests', j='e')} || '/' || {_n('entities', j='e')}), ' ') AS daily
 FROM docs""",
@@ -293,7 +340,8 @@ FROM docs""",
 def decode_stats_query(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "stats"), "stats", keep=["event_id"])
     return decoded.select(
-        "event_id", "requests", "entities", "success_rate", "token_total",
+        "event_id", "requests", "entities", "success_rate", "average_latency_ms", "streaming_requests",
+        "token_input", "token_output", "token_total", "token_cached", "tokens_per_minute",
         F.coalesce("granularity", F.lit("-")).alias("granularity"),
         F.expr("array_join(transform(array_sort(map_entries(entity_types)), e -> concat(e.key, '=', e.value)), ',')").alias("entity_types"),
         F.expr("array_join(transform(daily, e -> concat_ws('/', e.date, e.requests, e.entities)), ' ')").alias("daily"),
@@ -304,6 +352,7 @@ _TEMPLATES = (
     "CASE WHEN json_type(j, '$.header_templates') = 'OBJECT' THEN array_to_string(list_transform(list_filter(json_keys(j, '$.header_templates'), "
     "lambda k: json_type(j, '$.header_templates.' || k) = 'VARCHAR'), lambda k: k || '=' || (j ->> ('$.header_templates.' || k))), ',') ELSE 'none' END"
 )
+_SHOWN_TEMPLATES = "coalesce(array_join(transform(map_entries(header_templates), e -> concat(e.key, '=', e.value)), ','), 'none')"
 
 
 @query(
@@ -327,18 +376,17 @@ CASE WHEN json_type(j, '$.operations') = 'ARRAY' THEN CAST(json_extract(j, '$.op
 )
 def decode_profiles(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "profiles"), "profiles", keep=["event_id"])
-    templates = "coalesce(array_join(transform(map_entries(header_templates), e -> concat(e.key, '=', e.value)), ','), 'none')"
-    return decoded.withColumn("header_templates", F.expr(templates))
+    return decoded.withColumn("header_templates", F.expr(_SHOWN_TEMPLATES))
 
 
 @query(
     "decode_upstreams",
     f"""WITH {docs_sql('upstreams')} SELECT event_id, {_t('id')} AS id, {_t('base_url')} AS base_url, {_t('profile_id')} AS profile_id,
-{one_of_sql('credential_mode', "'managed'", "'passthrough'")} AS credential_mode, {_t('api_key', "'-'")} AS api_key, {_b('enabled', 'true')} AS enabled FROM docs""",
+{one_of_sql('credential_mode', "'managed'", "'passthrough'")} AS credential_mode, {_t('api_key', "'-'")} AS api_key, {_b('enabled', 'true')} AS enabled, {_TEMPLATES} AS header_templates FROM docs""",
 )
 def decode_upstreams(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "upstreams"), "upstreams", keep=["event_id"])
-    return decoded.drop("header_templates").withColumn("api_key", F.coalesce("api_key", F.lit("-")))
+    return decoded.withColumns({"api_key": F.coalesce("api_key", F.lit("-")), "header_templates": F.expr(_SHOWN_TEMPLATES)})
 
 
 @query(
@@ -350,16 +398,24 @@ def decode_targets(spark, sf_dir):
     return decoded.withColumn("hosts", F.array_join("hosts", ","))
 
 
+# The string members of the map, in order of their names.
+_LABELS = """CASE WHEN json_type(j, '$.manifest.entity_types') = 'OBJECT' THEN array_to_string(list_transform(list_filter(
+  list_sort(json_keys(j, '$.manifest.entity_types')), lambda k: json_type(j, '$.manifest.entity_types."' || k || '"') = 'VARCHAR'),
+  lambda k: k || '=' || (j ->> ('$.manifest.entity_types."' || k || '"'))), ',') ELSE 'none' END"""
+
+
 @query(
     "decode_models",
-    f"""WITH {docs_sql('models')} SELECT event_id, {_t('id')} AS id, {_b('valid')} AS valid, {_b('active')} AS active, {_t('manifest.name')} AS name,
-{_n('manifest.max_tokens')} AS max_tokens, {_n('manifest.stride')} AS stride,
-CASE WHEN json_type(j, '$.manifest.entity_types') = 'OBJECT' THEN '0=PERSON' ELSE 'none' END AS entity_types, {_strings('errors')} AS errors FROM docs""",
+    f"""WITH {docs_sql('models')} SELECT event_id, {_t('id')} AS id, {_b('valid')} AS valid, {_b('active')} AS active, {_b('built_in')} AS built_in,
+{_t('manifest.name')} AS name, {_t('manifest.version')} AS version, {_t('manifest.quantization')} AS quantization,
+{_n('manifest.max_tokens')} AS max_tokens, {_n('manifest.stride')} AS stride, {_t('manifest.label_scheme')} AS label_scheme,
+{_LABELS} AS entity_types, {_strings('errors')} AS errors FROM docs""",
 )
 def decode_models(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "models"), "models", keep=["event_id"])
-    labels = "coalesce(array_join(transform(map_entries(manifest.entity_types), e -> concat(e.key, '=', e.value)), ','), 'none')"
+    labels = "coalesce(array_join(transform(array_sort(map_entries(manifest.entity_types)), e -> concat(e.key, '=', e.value)), ','), 'none')"
     return decoded.select(
-        "event_id", "id", "valid", "active", "manifest.name", "manifest.max_tokens", "manifest.stride",
+        "event_id", "id", "valid", "active", "built_in", "manifest.name", "manifest.version", "manifest.quantization",
+        "manifest.max_tokens", "manifest.stride", "manifest.label_scheme",
         F.expr(labels).alias("entity_types"), F.array_join("errors", ",").alias("errors"),
     )

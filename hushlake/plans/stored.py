@@ -8,7 +8,7 @@ from hushlake.operators import audit
 from hushlake.operators.mask import mask
 from hushlake.operators.routing import url_host
 from hushlake.operators.vault import build_vault, islands_table
-from hushlake.plans.documents_json import docs_sql, json_documents, one_of_sql
+from hushlake.plans.documents_json import REQUEST_COLUMNS_SQL, docs_sql, json_documents, request_columns
 from hushlake.plans.logs import DETAIL_SQL, ROW_SQL, detail_rows, request_rows
 from hushlake.plans.masking import DOC_ISLANDS
 from hushlake.plans.registry import query
@@ -41,14 +41,15 @@ def stored_detail(spark, sf_dir):
 
 @query(
     "stored_documents",
-    f"""WITH {docs_sql('request')} SELECT {one_of_sql('gateway_type', "'proxy_gateway'", "'api_gateway'")} AS gateway_type,
-count(*) AS n FROM docs GROUP BY 1""",
+    f"WITH {docs_sql('request')} SELECT {REQUEST_COLUMNS_SQL} FROM docs",
 )
 def stored_documents(spark, sf_dir):
-    """Lines of untrusted JSON, through the strict decoder."""
+    """Lines of untrusted JSON, through the strict decoder; a time that is none is null."""
     path = work_dir(spark, "documents")
     json_documents(spark, sf_dir, "request").select("json").write.text(path)
-    return readers.read_request_documents(spark, path).groupBy("gateway_type").agg(F.count(F.lit(1)).alias("n"))
+    read = readers.read_request_documents(spark, path).select(*request_columns())
+    written = F.coalesce(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    return read.withColumn("timestamp", written)
 
 
 @query("stored_client_log", "SELECT 'query' AS kind, text AS message, source FROM documents")

@@ -118,3 +118,16 @@ def test_lists(spark):
     text = json.dumps({"upstreams": [{"id": "a"}, 5, {"id": "b", "enabled": False}]})
     rows = decode_list(spark.createDataFrame([(text,), ("[]",)], "json string"), "upstreams", "upstreams").collect()
     assert [(r.pos, r.id, r.enabled) for r in rows] == [(0, "a", True), (1, "b", False)]
+
+
+@pytest.mark.parametrize(
+    "json_text, fine",
+    [
+        ('{"id": "x"}', True), (' {"id": "x"}\n', True), ('{"id": "x"} y', False), ('{"id": "x"}{"id": "y"}', False),
+        ('{"id": "x"}, {"id": "y"}', False), ('{"id": "x"}], [2', False), ('{"id": "x"}}, {"a": 1', False), ("{'id': 'x'}", False),
+        ('{"id": "x", "n": NaN}', False), ('{"id": "x"', False), ('{"id": "x",}', False), ("", False), (",", False), (None, False),
+    ],
+)
+def test_only_whole_json_is_decoded(spark, json_text, fine):
+    df = spark.createDataFrame([(json_text,)], "json string")
+    assert decode(df, "upstreams").first().id == ("x" if fine else "")
