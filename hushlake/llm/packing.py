@@ -10,7 +10,7 @@ shuffled, and only the last sequence is not full.
 Null or empty text gives the end mark alone. Repeated rows are packed as often
 as they occur, null ids stay null, an empty table gives no row, other columns
 of the input are not read. A text may have any length: it is held by one task
-as ids, two bytes each, and cut into as many pieces as it needs.
+as ids and cut into as many pieces as it needs.
 """
 
 from __future__ import annotations
@@ -34,50 +34,29 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 SPECIAL = {"<|endoftext|>": 50256}
-#: Split pieces kept with their ids in each Python worker; the memory this takes is bounded.
-MEMO = 200_000
-MEMO_PIECE = 48
-
-
-class PieceIds(dict):
-    """Split piece to its ids in little-endian 32-bit integers, filled as pieces turn up."""
-
-    def __init__(self, path: str) -> None:
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(piece), "<u4").tobytes()
-        if len(piece) <= MEMO_PIECE and len(self) < MEMO:
-            self[piece] = ids
-        return ids
-
-
-_WORKER: dict[str, tuple] = {}
+_WORKER: dict[str, object] = {}
 
 
 def text_encoder(path: str):
-    """Text to its ids as bytes, made once in each Python worker."""
+    """Text to its ids, 32 bits each; the vocabulary is read once in each Python worker."""
     if path not in _WORKER:
         import regex
+        import tiktoken
 
-        _WORKER[path] = PieceIds(path), regex.compile(PATTERN).findall, regex.compile("|".join(map(regex.escape, SPECIAL)))
-    pieces, split, special = _WORKER[path]
-    look = pieces.__getitem__
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _WORKER[path] = encoding.encode_ordinary, regex.compile("|".join(map(regex.escape, SPECIAL)))
+    ordinary, special = _WORKER[path]
 
     def encode(text: str) -> bytes:
-        if len(pieces) >= MEMO:
-            pieces.clear()
         if "<|" not in text or not special.search(text):
-            return b"".join(map(look, split(text)))
+            return np.array(ordinary(text), "<u4").tobytes()
         out, at = [], 0
         for found in special.finditer(text):
-            out += [*map(look, split(text[at : found.start()])), np.array([SPECIAL[found[0]]], "<u4").tobytes()]
+            out += [*ordinary(text[at : found.start()]), SPECIAL[found[0]]]
             at = found.end()
-        return b"".join([*out, *map(look, split(text[at:]))])
+        return np.array([*out, *ordinary(text[at:])], "<u4").tobytes()
 
     return encode
 
@@ -88,18 +67,19 @@ ENCODED = pa.schema(
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """One row for each document: partition, tokens before it there, doc_id, tokens with the end mark, ids (16 bits each)."""
+    """One row for each document: partition, tokens before it there, doc_id, tokens with the end mark, ids.
+
+    Ids have 16 bits each, or 32 in a document with one that is larger.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_encoder(vocabulary or tokenizer_path("byte_bpe_50k.tiktoken"))
         part, base = TaskContext.get().partitionId(), 0
         mark = np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids = [
-                np.frombuffer(encode(text or "") + mark, "<u4").astype("<u2").tobytes()
-                for text in batch.column(1).to_pylist()
-            ]
-            sizes = [len(x) // 2 for x in ids]
+            found = [np.frombuffer(encode(text or "") + mark, "<u4") for text in batch.column(1).to_pylist()]
+            sizes = [len(x) for x in found]
+            ids = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in found]
             *starts, base = accumulate(sizes, initial=base)
             yield pa.record_batch(
                 [pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), batch.column(0).cast(pa.int64()),
@@ -126,7 +106,7 @@ def _cut(starts: dict[int, int], size: int, columns: str):
             made: list[list] = [[] for _ in schema]
             for part, base, doc, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 first = starts[part] + base
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
                 at = 0
                 while at < n:
                     sequence, offset = divmod(first + at, size)
