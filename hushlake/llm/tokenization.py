@@ -1,22 +1,29 @@
-"""BPE by a deterministic automaton over tokens, built merge by merge.
+"""BPE by a deterministic automaton over tokens, built merge by merge, and a table of symbol transitions over it.
 
 At first there is one state, and every symbol's arc leads back to it. Merge
-number r of tokens u and v is a gadget: wherever u's arc leads to a state with
-an arc for v, that state is copied without v's arc, u's arcs go to the copy,
-and an arc for the new token uv goes from where u's arcs began to where v's led. After
-all merges each path spells one text in one way, the way BPE cuts it.
-
-By construction all arcs of a token lead to one state, so the state after a
-token stands for it, and a copy differs from its original by the arc removed and
-the time it was made. ``Automaton`` keeps just that (who was merged, when, and
-which arcs were removed) and answers "does the state after s have an arc for t"
-from it; answers fill the transition table as words need them. A word is
-encoded by carrying the automaton's state along its prefixes; decoding emits the labels
-of the arcs taken.
-
-Null and empty texts have no tokens. Texts are processed whole, at any length; a word
-of n symbols takes n times the longest token's length. Repeated rows and null
-ids come back as they are, an empty table gives no row, other columns are not read.
+number r of tokens u and v is a gadget: if the state that u's arcs lead to has an
+arc for v, that state is copied without v's arc and u's arcs lead to the copy;
+and an arc for the new token uv goes from wherever u's arcs began to where v's
+led. After all merges each path spells one text in one way, the way BPE cuts it.
+
+A state's row of arcs is shared: a copy is its original, the arc it lacks and
+the time it was made; a token's arcs are those of its left half, from the time
+it was born. ``Automaton.arc`` reads a row that way and keeps the answer.
+
+``Machine`` is what words are run through, one look-up of (state, symbol) in a
+table for each symbol. Its states say which token the prefix read so far ends
+with, and which tokens may still be completed behind which earlier one; they are
+made from the automaton and the tree of the tokens' spellings when a word first
+needs them. The tokens are read off the states passed, from the end of the word
+to its beginning, and decoding emits the labels of their arcs.
+
+A character that the oldest and the newest Unicode tables at hand do not agree
+on sends its text through the vocabulary's own normalizer and splitter, as only
+those know what they take it for; the automaton still encodes the words.
+
+Null and empty texts have no tokens. Texts are processed whole, at any length, one
+step a symbol. Repeated rows and null ids come back as they are, an empty table
+gives no row, other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +43,14 @@ from hushlake.llm.common import tokenizer_path
 #: Fixed values of the public vocabulary word_bpe_49k: how it splits a text, and how it marks a word's end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Words kept with their ids in each Python worker, and the longest word kept.
+#: Words, and pieces of text between blanks, kept with their ids in each Python worker, and the longest kept.
 MEMO, MEMO_WORD = 300_000, 48
-#: Entries of the transition table kept in each Python worker.
-TABLE = 1_000_000
+#: States of the machine kept in each Python worker, and answers of the automaton.
+STATES, ARCS = 150_000, 1_000_000
 #: Below U+0378 every code point has been assigned for long.
 _beyond = re.compile("[^\x00-\u0377]").search
+#: Characters that str.split takes for blanks and the vocabulary's splitter does not.
+_blanks = re.compile("[\x1c-\x1f]").search
 
 
 def byte_symbols() -> list[str]:
@@ -51,46 +60,69 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-def unknown_here(text: str) -> bool:
-    """Whether a character is newer than Python's Unicode tables, so that only the vocabulary's library knows how to split it."""
-    return bool(_beyond(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
+class Agreed(set):
+    """Characters beyond U+0377 that Unicode 3.2 and Python's own tables take for the same."""
+
+    def lacks(self, text: str) -> bool:
+        """Whether some character of the text may be another one to the vocabulary's library, whose tables lie between."""
+        new = set(text) - self
+        if not all(ord(c) < 0x378 or _class(unicodedata.ucd_3_2_0, c) == _class(unicodedata, c) != "Cn" for c in new):
+            return True
+        self |= new
+        return False
+
+
+def _class(tables, c: str) -> tuple | str:
+    category = tables.category(c)
+    return category if category == "Cn" else (category, tables.combining(c), tables.decomposition(c))
 
 
 class Automaton:
-    """Token arcs after all merge gadgets."""
+    """States and arcs over tokens after all merge gadgets."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
         self.number = vocabulary
         self.width = max(vocabulary.values(), default=0) + 1
         self.halves: list[tuple[int, int] | None] = [None] * self.width
         self.born = [-1] * self.width
-        self.removed: dict[int, int] = {}
-        self.table: dict[int, bool] = {}
-        self.longest = max(map(len, vocabulary), default=1)
+        #: Copies: the token whose arcs lead to it and the arc it lacks, and when it was made.
+        self.lacks: dict[int, int] = {}
+        self.answers: dict[int, bool] = {}
+        self.machine: Machine | None = None
         for rank, (u, v) in enumerate(merges):
             self.gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
 
+    @property
+    def n_states(self) -> int:
+        return 1 + len(self.lacks)
+
     def gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        """Removes v's arc from the state after u and adds the new token's arcs."""
-        self.removed.setdefault(u * self.width + v, rank)
+        """Copies the state after u without v's arc, and adds the new token's arcs."""
+        self.lacks.setdefault(u * self.width + v, rank)
         if self.halves[uv] is None:
             self.halves[uv], self.born[uv] = (u, v), rank
 
     def arc(self, s: int, t: int) -> bool:
-        """Whether the finished state after s has an arc for t, from the transition table."""
+        """Whether the state that s leads to has an arc for t."""
         key = s * self.width + t
-        known = self.table.get(key)
+        known = self.answers.get(key)
         if known is None:
-            if len(self.table) >= TABLE:
-                self.table.clear()
-            known = self.table[key] = self._compile(s, t)
+            if len(self.answers) >= ARCS:
+                self.answers.clear()
+            known = self.answers[key] = self._row(s, t)
         return known
 
-    def _compile(self, s: int, t: int) -> bool:
-        """Goes back through the gadgets that made the arc and the state."""
+    def path(self, symbols: list[str]) -> list[int]:
+        """The tokens of the one path that spells ``symbols`` (the last one with the word's end)."""
+        if self.machine is None:
+            self.machine = Machine(self, sorted({x for token in self.number for x in spelling(token)}))
+        return self.machine.path([self.machine.symbol[x] for x in symbols])
+
+    def _row(self, s: int, t: int) -> bool:
+        """Goes back through the copies that the row is shared with."""
         until, inclusive = 1 << 60, False  # gadgets that count: those before ``until``, or up to it
         while True:
-            gone = self.removed.get(s * self.width + t)
+            gone = self.lacks.get(s * self.width + t)
             if gone is not None and (gone < until or inclusive and gone == until):
                 return False
             if self.born[t] >= self.born[s] and self.halves[t]:
@@ -100,24 +132,81 @@ class Automaton:
             else:
                 return True
 
-    def path(self, symbols: list[str]) -> list[int]:
-        """The tokens of the one path that spells ``symbols`` (the last one with the word's end)."""
-        n = len(symbols)
-        spelled, last, begin = "".join(symbols), [-1] * (n + 1), [0] * (n + 1)
-        ends = [0]
+
+class Machine:
+    """Transitions by symbol, compiled from an automaton as words need them.
+
+    A state is a tuple of numbers, each a pair (token before, place in the tree
+    of spellings); the last pair's token is the one that the prefix ends with.
+    """
+
+    def __init__(self, automaton: Automaton, symbols: list[str]) -> None:
+        self.automaton = automaton
+        self.symbol = {x: i for i, x in enumerate(x for x in symbols if x in automaton.number)}
+        self.kinds = len(self.symbol)
+        #: The tree: (node, symbol) to node, and the token that ends at a node.
+        self.tree: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        self.length = [0] * automaton.width
+        for token, number in automaton.number.items():
+            spelled = spelling(token)
+            if all(x in self.symbol for x in spelled):
+                self.length[number] = len(spelled)
+                self._add(spelled, number)
+        self.nodes = len(self.token)
+        self._clear()
+
+    def _add(self, spelled: list[str], number: int) -> None:
+        node = 0
+        for x in spelled:
+            key = node * self.kinds + self.symbol[x]
+            if key not in self.tree:
+                self.tree[key] = len(self.token)
+                self.token.append(-1)
+            node = self.tree[key]
+        self.token[node] = number
+
+    def _clear(self) -> None:
+        self.table: dict[int, int] = {}
+        # The first state: no token before, at the tree's root.
+        self.open: list[tuple[int, ...]] = [(self.automaton.width * self.nodes,)]
+        self.last = [-1]
+        self.state: dict[tuple[int, ...], int] = {self.open[0]: 0}
+
+    def _compile(self, state: int, symbol: int) -> int:
+        """The transition of a state by a symbol, and the state it leads to if that is new."""
+        ends, pairs = -1, []
+        for pair in self.open[state]:
+            before, node = divmod(pair, self.nodes)
+            node = self.tree.get(node * self.kinds + symbol)
+            if node is None:
+                continue
+            token = self.token[node]
+            if ends < 0 <= token and (before == self.automaton.width or self.automaton.arc(before, token)):
+                ends = token
+            pairs.append(before * self.nodes + node)
+        key = (*pairs, ends * self.nodes)
+        found = self.state.get(key)
+        if found is None:
+            found = self.state[key] = len(self.open)
+            self.open.append(key)
+            self.last.append(ends)
+        self.table[state * self.kinds + symbol] = found
+        return found
+
+    def path(self, symbols: list[int]) -> list[int]:
+        """The tokens of the one path that spells ``symbols``."""
+        if len(self.open) >= STATES:
+            self._clear()
+        state, passed, table, kinds = 0, [], self.table, self.kinds
         for symbol in symbols:
-            ends.append(ends[-1] + len(symbol))
-        number, arc = self.number, self.arc
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                t = number.get(spelled[ends[i] : ends[j]])
-                if t is not None and (i == 0 or last[i] >= 0 and arc(last[i], t)):
-                    last[j], begin[j] = t, i
-                    break
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j = begin[j]
+            to = table.get(state * kinds + symbol)
+            state = self._compile(state, symbol) if to is None else to
+            passed.append(self.last[state])
+        out, at = [], len(passed)
+        while at:
+            out.append(passed[at - 1])
+            at -= self.length[out[-1]]
         return out[::-1]
 
 
@@ -130,63 +219,95 @@ class Tokenizer:
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
         model = stored["model"]
-        self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        shown = byte_symbols()
+        self.machine = Machine(automaton, [*shown, *(x + WORD_END for x in shown)])
+        of_symbol = self.machine.symbol
+        self.inside, self.end = ([of_symbol.get(x + tail, -1) for x in shown] for tail in ("", WORD_END))
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.labels = {i: t for t, i in {**model["vocab"], **self.special}.items()}
         self.find_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)").finditer
         self.split = regex.compile(SPLIT).findall
+        self.byte = {x: i for i, x in enumerate(shown)}
         self.path, self.library = path, None
-        self.space = regex.compile(r"\s+")
-        self.symbols = byte_symbols()
+        self.agreed = Agreed()
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
 
     def word(self, word: str) -> tuple[bytes, str]:
         """A split word's ids (little-endian, 32 bits) and its labels, joined by blanks."""
         known = self.words.get(word)
         if known is None:
-            known = self.spell([self.symbols[b] for b in word.encode()])
-            if len(word) <= MEMO_WORD:
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[word] = known
+            known = self.spell(word.encode())
+            _keep(self.words, word, known)
         return known
 
-    def spell(self, symbols: list[str]) -> tuple[bytes, str]:
-        symbols[-1] += WORD_END
-        ids = self.automaton.path([x for x in symbols if x in self.automaton.number])
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """The same for what stands between two blanks."""
+        known = self.chunks.get(chunk)
+        if known is None:
+            known = _joined(map(self.word, self.split(chunk)))
+            _keep(self.chunks, chunk, known)
+        return known
+
+    def spell(self, word: bytes) -> tuple[bytes, str]:
+        symbols = [*map(self.inside.__getitem__, word[:-1]), self.end[word[-1]]]
+        ids = self.machine.path([x for x in symbols if x >= 0] if -1 in symbols else symbols)
         return np.array(ids, "<u4").tobytes(), self.decode(ids)
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """The words of a text without special tokens, each encoded."""
-        if not unknown_here(text):
-            return list(map(self.word, self.split(self.normalized(text))))
-        if self.library is None:
-            from tokenizers import Tokenizer as Library
-
-            self.library = Library.from_file(self.path)
-        own = self.library
-        split = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
-        return [self.spell(list(word)) for word, _ in split]
+        """The parts of a text without special tokens, each encoded."""
+        if _beyond(text) and self.agreed.lacks(text):
+            if self.library is None:
+                from tokenizers import Tokenizer as Library
+
+                self.library = Library.from_file(self.path)
+            own = self.library
+            split = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
+            return [self.spell(bytes(map(self.byte.__getitem__, word))) for word, _ in split]
+        # No word holds a blank, so blanks need no normalizing, and texts may be cut there first.
+        lower = self.normalized(text)
+        return list(map(self.word, self.split(lower))) if _blanks(lower) else list(map(self.chunk, lower.split()))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.labels[i] for i in ids])
 
     def normalized(self, text: str) -> str:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids of a whole text as bytes, and the text decoded from them."""
+        if "<|" not in text:
+            return _joined(self.pieces(text))
         found: list[tuple[bytes, str]] = []
         at = 0
-        if "<|" in text:
-            for special in self.find_special(text):
-                found += self.pieces(text[at : special.start()])
-                number = self.special[special[0]]
-                found.append((np.array([number], "<u4").tobytes(), self.labels[number]))
-                at = special.end()
-        found += self.pieces(text[at:])
-        return b"".join([ids for ids, _ in found]), " ".join([label for ids, label in found if ids])
+        for special in self.find_special(text):
+            found += self.pieces(text[at : special.start()])
+            number = self.special[special[0]]
+            found.append((np.array([number], "<u4").tobytes(), self.labels[number]))
+            at = special.end()
+        return _joined(found + self.pieces(text[at:]))
+
+
+def spelling(token: str) -> list[str]:
+    """The symbols of a token; the last one carries the word's end."""
+    if not token.endswith(WORD_END) or token == WORD_END:
+        return list(token)
+    inside = token.removesuffix(WORD_END)
+    return [*inside[:-1], inside[-1] + WORD_END]
+
+
+def _keep(memo: dict, key: str, value: tuple[bytes, str]) -> None:
+    if len(key) <= MEMO_WORD:
+        if len(memo) >= MEMO:
+            memo.clear()
+        memo[key] = value
+
+
+def _joined(parts: Iterable[tuple[bytes, str]]) -> tuple[bytes, str]:
+    parts = list(parts)
+    return b"".join([ids for ids, _ in parts]), " ".join([label for ids, label in parts if ids])
 
 
 _WORKER: dict[str, Tokenizer] = {}
