@@ -7,9 +7,10 @@ product over its words. The probabilities come from expectation-maximisation,
 where a forward-backward pass counts each piece as often as it is expected in
 the words of that language.
 
-Words are runs of letters in lower case, with the vocabulary's mark in front.
-Runs over CHUNK letters are cut into chunks of that length; nothing is left
-out. A text that is null or has no letter is ``und`` with score 0. The score is
+Words are runs of letters in lower case, with the vocabulary's mark in front. All
+of the vocabulary's pieces of letters are used. Words of up to GROUPED letters go
+through the lattice many at a time; longer ones, of any length, one by one, with
+sums scaled as they shrink, so that nothing is cut. A text that is null or has no letter is ``und`` with score 0. The score is
 the posterior of the language named. Only text and language are read: ids,
 sources, other columns and repeated rows make no difference, an empty table gives no row.
 """
@@ -31,15 +32,14 @@ from hushlake.llm.common import in_third, tokenizer_path, written
 
 UNKNOWN = "und"
 MARK = "▁"
-CHUNK = 24
-#: Longest piece of the vocabulary that is used.
-PIECE = 8
+#: Letters up to which words of one length are put together; their sums need no scaling.
+GROUPED = 24
 #: Documents per language that the model is fitted on, chosen by hash.
 SAMPLE = 1000
 ROUNDS = 3
 SMOOTHING = 0.05
-#: Words kept with their scores in each Python worker.
-MEMO = 150_000
+#: Words kept with their scores in each Python worker, and their letters.
+MEMO, MEMO_LETTERS = 150_000, 8_000_000
 #: Words of some texts that are scored together.
 FLUSH = 60_000
 _letters = regex.compile(r"\p{L}+").findall
@@ -47,20 +47,17 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    """Letter runs in lower case, those over CHUNK letters in chunks."""
-    found = _letters(text.lower())
-    if text and len(max(found, key=len, default="")) > CHUNK:
-        found = [w[i : i + CHUNK] for w in found for i in range(0, len(w), CHUNK)]
-    return found
+    """Letter runs in lower case."""
+    return _letters(text.lower())
 
 
 def pieces(path: str | None = None) -> list[str]:
-    """The vocabulary's pieces of letters, with or without the mark, up to PIECE characters."""
+    """The vocabulary's pieces of letters, with or without the mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or tokenizer_path("piece_bpe_32k.model"))
     listed = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    kept = {p.lower() for p in listed if len(p) <= PIECE and p.removeprefix(MARK).isalpha()}
+    kept = {p.lower() for p in listed if p.removeprefix(MARK).isalpha()}
     return sorted(kept | {MARK})
 
 
@@ -80,7 +77,13 @@ class Lattice:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.size = len(vocabulary)
-        self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(PIECE + 1)], np.uint64)
+        self.longest = max(map(len, vocabulary))
+        self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+
+    def _pieces(self, wanted: np.ndarray) -> np.ndarray:
+        """The pieces with these hashes; ``size`` where there is none."""
+        place = np.minimum(np.searchsorted(self.keys, wanted), self.size - 1)
+        return np.where(self.keys[place] == wanted, self.order[place], self.size)
 
     def arcs(self, group: list[str]) -> list[list[np.ndarray]]:
         """arcs[j][k]: for each word, the piece that ends at j and is k + 1 long; ``size`` where there is none."""
@@ -89,13 +92,22 @@ class Lattice:
         out = []
         for j in range(1, prefix.shape[1]):
             row = []
-            for k in range(1, min(j, PIECE) + 1):
-                wanted = prefix[:, j] - prefix[:, j - k] * self.powers[k]
-                place = np.minimum(np.searchsorted(self.keys, wanted), self.size - 1)
-                row.append(np.where(self.keys[place] == wanted, self.order[place], self.size))
+            for k in range(1, min(j, self.longest) + 1):
+                row.append(self._pieces(prefix[:, j] - prefix[:, j - k] * self.powers[k]))
             out.append(row)
         return out
 
+    def arcs_of_one(self, word: str) -> np.ndarray:
+        """For a word of any length: [j, k - 1] is the piece that ends at j and is k long; ``size`` where there is none."""
+        codes, prefix = [ord(c) for c in MARK + word], [0]
+        for code in codes:
+            prefix.append((prefix[-1] * int(BASE) + code + 1) & 0xFFFFFFFFFFFFFFFF)
+        prefix = np.array(prefix, np.uint64)
+        out = np.full((len(prefix), self.longest), self.size)
+        for k in range(1, min(len(codes), self.longest) + 1):
+            out[k:, k - 1] = self._pieces(prefix[k:] - prefix[:-k] * self.powers[k])
+        return out
+
 
 def by_length(listed: list[str]) -> Iterator[np.ndarray]:
     sizes = np.fromiter(map(len, listed), np.int64, len(listed))
@@ -130,6 +142,52 @@ def forward(arcs: list[list[np.ndarray]], chances: np.ndarray) -> list[np.ndarra
     return out
 
 
+#: Sums under this are scaled up by its inverse.
+TINY = 1e-120
+
+
+def forward_of_one(arcs: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For one word, the sum over all segmentations of each prefix as a number and the logarithm of its scale.
+
+    Both are (prefixes, languages); each language has its own scale.
+    """
+    none, (rows, longest) = len(chances) - 1, arcs.shape
+    out, scale = np.zeros((rows, chances.shape[1])), np.zeros((rows, chances.shape[1]))
+    out[0] = 1
+    for j in range(1, rows):
+        found = arcs[j, : min(j, longest)]
+        ks = np.flatnonzero(found != none) + 1
+        if not len(ks) or ks[0] != 1:
+            ks = np.concatenate([[1], ks])  # a single character that is no piece
+        scale[j] = scale[j - 1]
+        out[j] = (out[j - ks] * chances[arcs[j, ks - 1]]).sum(0)
+        small = out[j] < TINY
+        if small.any():
+            # All that later sums may still need gets the new scale.
+            since = max(0, j - longest)
+            out[since : j + 1, small] /= TINY
+            scale[since : j + 1, small] += np.log(TINY)
+    return out, scale
+
+
+def expected_of_one(arcs: np.ndarray, chances: np.ndarray, times: float) -> np.ndarray:
+    """As ``expected``, for one word of any length in one language."""
+    none, (rows, longest) = len(chances) - 1, arcs.shape
+    before, up = forward_of_one(arcs, chances)
+    # The sums from behind are those of the word turned round.
+    turned = np.full_like(arcs, none)
+    for k in range(1, min(rows - 1, longest) + 1):
+        turned[k:, k - 1] = arcs[k:, k - 1][::-1]
+    after, down = (x[::-1] for x in forward_of_one(turned, chances))
+    counts, whole = np.zeros(len(chances)), np.log(before[-1, 0]) + up[-1, 0]
+    for k in range(1, min(rows - 1, longest) + 1):
+        found = arcs[k:, k - 1]
+        hit = np.arange(len(found)) if k == 1 else np.flatnonzero(found != none)
+        shares = before[hit, 0] * chances[found[hit], 0] * after[hit + k, 0] * np.exp(up[hit, 0] + down[hit + k, 0] - whole)
+        counts += times * np.bincount(found[hit], shares, len(chances))
+    return counts
+
+
 def expected(arcs: list[list[np.ndarray]], chances: np.ndarray, times: np.ndarray) -> np.ndarray:
     """How often each piece is expected in words that occur ``times`` often, in one language (``chances`` has one column)."""
     none, n = len(chances) - 1, len(arcs)
@@ -147,11 +205,17 @@ def expected(arcs: list[list[np.ndarray]], chances: np.ndarray, times: np.ndarra
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """(lang, text) of up to ``size`` documents of each language, chosen by hash among those that may be learned from."""
-    ids = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~in_third(1))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= size)
+    ids = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~in_third(1)).select("doc_id", "lang")
+    # A threshold that leaves about three times as many comes first, so that no task ranks a whole language.
+    hashed = F.xxhash64("doc_id")
+    share = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    few = ids.join(sizes, "lang").filter(share < (3.0 * size + 100) / F.col("n"))
+    # The order is that of the share, so what is over the threshold comes behind all that is not.
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(hashed, 11), hashed, "doc_id")
+    few = few.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= size)
     # ``size`` ids for each language at most, so the ids may be broadcast.
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "text")
+    return docs.select("doc_id", "text", "lang").join(F.broadcast(few.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "text")
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -190,10 +254,13 @@ def _expectations(model: Model):
             langs, listed = (np.array(rows.column(i).to_pylist(), object) for i in (0, 1))
             times = rows.column(2).to_numpy().astype(float)
             for at, lang in enumerate(model.languages):
-                own = np.flatnonzero(langs == lang)
+                own, chances = np.flatnonzero(langs == lang), model.chances[:, [at]]
                 for group in by_length([listed[i] for i in own]):
+                    if len(listed[own[group[0]]]) > GROUPED:
+                        counts[:, at] += sum(expected_of_one(lattice.arcs_of_one(listed[i]), chances, times[i]) for i in own[group])
+                        continue
                     for some in parts(own[group]):
-                        counts[:, at] += expected(lattice.arcs(list(listed[some])), model.chances[:, [at]], times[some])
+                        counts[:, at] += expected(lattice.arcs(list(listed[some])), chances, times[some])
         piece, lang = np.nonzero(counts)
         yield pa.record_batch(
             [pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(counts[piece, lang], pa.float64())],
@@ -229,14 +296,20 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.lattice = model, Lattice(model.vocabulary)
         self.place: dict[str, int] = {}
-        self.logs = np.zeros((0, len(model.languages)))
+        self.logs, self.letters = np.zeros((0, len(model.languages))), 0
 
     def add(self, listed: list[str]) -> None:
-        if len(self.place) > MEMO:
-            self.place, self.logs = {}, self.logs[:0]
+        if len(self.place) > MEMO or self.letters > MEMO_LETTERS:
+            self.place, self.logs, self.letters = {}, self.logs[:0], 0
         new = [w for w in dict.fromkeys(listed) if w not in self.place]
+        self.letters += sum(map(len, new))
         logs = np.zeros((len(new), self.logs.shape[1]))
         for group in by_length(new):
+            if len(new[group[0]]) > GROUPED:
+                for i in group:
+                    sums, scale = forward_of_one(self.lattice.arcs_of_one(new[i]), self.model.chances)
+                    logs[i] = np.log(sums[-1]) + scale[-1]
+                continue
             for some in parts(group):
                 logs[some] = np.log(forward(self.lattice.arcs([new[i] for i in some]), self.model.chances)[-1])
         self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
