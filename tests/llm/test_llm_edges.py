@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, hot groups."""
 
+import math
 import os
 import random
 import re
@@ -177,6 +178,51 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((counts * sizes).sum(), 15)  # the pieces expected cover every character once
 
 
+def test_long_words_are_summed_whole():
+    """One word by itself gives what many at once give, and what exact fractions give at any length."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(1)
+    vocabulary = ["a", "b", "ab", "ba", "aab", "abbab", language.MARK, language.MARK + "ab"]
+    chances = rng.random((len(vocabulary) + 1, 2)) * [1, 1e-4]
+    lattice, number = language.Lattice(vocabulary), {p: i for i, p in enumerate(vocabulary)}
+    words = ["".join(random.Random(i).choices("abx", k=n)) for i, n in enumerate((1, 2, 7, 24, 25, 26, 90, 400))]
+    for word in words:
+        whole, exact = language.MARK + word, []
+        for lang in (0, 1):
+            sums = [Fraction(1)]
+            for j in range(1, len(whole) + 1):
+                arcs = ((k, number.get(whole[j - k : j], len(vocabulary) if k == 1 else None)) for k in range(1, min(j, 5) + 1))
+                sums.append(sum(sums[j - k] * Fraction(chances[p, lang]) for k, p in arcs if p is not None))
+            exact.append(math.log(sums[-1].numerator) - math.log(sums[-1].denominator))
+        sums, scale = language.forward_of_one(lattice.arcs_of_one(word), chances)
+        assert np.allclose(np.log(sums[-1]) + scale[-1], exact, rtol=1e-12)
+        own = language.expected_of_one(lattice.arcs_of_one(word), chances[:, [1]], 3.0)
+        lengths = np.array([*map(len, vocabulary), 1])
+        assert np.isclose((own * lengths).sum(), 3 * len(whole))
+        if len(word) <= 90:
+            many = lattice.arcs([word] * 2)
+            assert np.allclose(np.log(language.forward(many, chances)[-1][0, 0]), exact[0], rtol=1e-12)
+            if len(word) <= 26:
+                assert np.allclose(language.expected(many, chances[:, [1]], np.array([1.0, 2.0])), own)
+
+
+def test_all_pieces_of_letters_are_used():
+    listed = language.pieces()
+    assert max(map(len, listed)) == 16 and sum(len(p) > 8 for p in listed) > 2_500
+
+
+def test_sample_of_a_hot_language(spark):
+    """The first ids in order of hash, whatever the number of documents of a language."""
+    ready(spark)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "string(id) AS text", "if(id % 3 = 0, 'rare', 'hot') AS lang")
+    found = language.sample(docs, 40).collect()
+    plan = docs.filter("crc32(cast(string(doc_id) AS binary)) % 3 <> 1")
+    order = plan.withColumn("h", F.expr("shiftrightunsigned(xxhash64(doc_id), 11)")).orderBy("h").collect()
+    wanted = {lang: {r.text for r in [r for r in order if r.lang == lang][:40]} for lang in ("rare", "hot")}
+    assert {lang: {r.text for r in found if r.lang == lang} for lang in wanted} == wanted
+
+
 def test_bpe_on_random_words():
     from tokenizers import Tokenizer
 
@@ -192,6 +238,56 @@ def test_bpe_on_random_words():
         assert decoded == library.decode(wanted, skip_special_tokens=False)
 
 
+def same_as_library(own, library, text):
+    ids, decoded = own.encode(text)
+    wanted = library.encode(text, add_special_tokens=False).ids
+    return np.frombuffer(ids, "<u4").tolist() == wanted and decoded == library.decode(wanted, skip_special_tokens=False)
+
+
+@pytest.fixture(scope="module")
+def word_bpe():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    return tokenization.Tokenizer(path), Tokenizer.from_file(path)
+
+
+def test_bpe_of_every_character(word_bpe):
+    """Each code point between letters, digits, blanks and marks; those that tables agree on apart from the others."""
+    own, library = word_bpe
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    agreed = [c for c in points if ord(c) < 0x378 or not tokenization.Agreed().lacks(c)]
+    for listed in (agreed, sorted(set(points) - set(agreed))):
+        for at in range(0, len(listed), 2048):
+            assert same_as_library(own, library, "".join(f"a{c}b 1{c}. {c} {c}{c}" for c in listed[at : at + 2048]))
+    assert 60_000 < len(agreed) < len(points) / 2
+
+
+def test_bpe_of_all_pairs_of_combining_marks(word_bpe):
+    import unicodedata
+
+    own, library = word_bpe
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    agreed = [c for c in marks if ord(c) < 0x378 or not tokenization.Agreed().lacks(c)]
+    others = [c for c in marks if c not in set(agreed)]
+    assert len(agreed) > 200 and len(others) > 400
+    for first in marks:
+        for listed in (agreed, others):
+            assert same_as_library(own, library, "".join(f"e{first}{second} " for second in listed))
+
+
+def test_a_machine_that_forgets(word_bpe, monkeypatch):
+    """Few states and arcs kept: they are made again, and nothing changes."""
+    own, library = word_bpe
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("etaoinsrhld") for _ in range(rng.randint(1, 15))) for _ in range(50)) for _ in range(30)]
+    assert own.machine.automaton.n_states > 48_000
+    monkeypatch.setattr(tokenization, "STATES", 50)
+    monkeypatch.setattr(tokenization, "ARCS", 10)
+    monkeypatch.setattr(tokenization, "MEMO", 7)
+    assert all(same_as_library(own, library, text) for text in texts)
+
+
 def test_automaton_of_repeats():
     """Merges of equal halves: runs are cut from the left."""
     vocabulary = {"a": 0, "b": 1, "aa": 2, "aab": 3, "aaaa": 4}
@@ -213,6 +309,25 @@ def test_byte_bpe_equals_the_library():
         assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_bpe_of_every_character():
+    """Each code point between letters, digits, blanks and marks, many to a text."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), packing.text_encoder(tokenizer_path("byte_bpe_50k.tiktoken"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1024):
+        text = "".join(f"a{chr(c)}1{chr(c)}. {chr(c)} {chr(c)}{chr(c)}" for c in points[at : at + 1024])
+        assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_over_16_bits_are_kept(spark):
+    """An end mark that takes 17 bits, beside ids that take fewer."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
+    pieces = {(r.doc_id, r.start): r for r in packing.pack(docs, 2, end=70_000).collect()}
+    ids = {doc: sum((np.frombuffer(r.ids, "<u4").tolist() for (d, _), r in sorted(pieces.items()) if d == doc), []) for doc in (1, 2)}
+    assert ids == {1: [64, 275, 70_000], 2: [70_000]}
+
+
 def test_packing_of_odd_rows(odd):
     pieces = packing.pack(odd, size=64).collect()
     assert sum(r.length for r in pieces) == sum({(r.doc_id, r.start, r.sequence_id, r.offset): r.length for r in pieces}.values())
@@ -301,6 +416,61 @@ def test_votes_of_a_host_decide(spark):
     assert found[9] == "tiny"
 
 
+def plain(html):
+    return html_text.extracted(html_text.parse(html), None)
+
+
+def test_headline_and_lead_beside_the_body():
+    post = "<div class=post><h1>Title</h1><p class=lead>The lead.</p><div class=entry><p>First part, long.</p><p>Second part, long.</p></div></div>"
+    whole = "Title\nThe lead.\nFirst part, long.\nSecond part, long."
+    assert plain(f"<body>{post}</body>") == whole
+    links = "<div class=x>" + "<a href=/>Elsewhere on this site</a> " * 9 + "</div>"
+    assert plain(f"<body>{links}{post}{links}</body>") == whole
+    # A wrapper with more text in other containers, or with links for the most part, is not climbed to.
+    column = "<div class=y><p>" + "Words of another column. " * 9 + "</p></div>"
+    long = "<div class=entry><p>" + "The body of it. " * 30 + "</p></div>"
+    assert plain(f"<body><div class=w>{links}Go: {long}</div></body>") == ("The body of it. " * 30).strip()
+    assert "another" not in plain(f"<body><div class=w>{column}{column}<p>x</p>{long}</div></body>")
+
+
+def test_names_within_an_article_need_two_signs():
+    inside = "<article><h1>T</h1><p>Text.</p>{}</article>"
+    kept = '<div class="related-work"><p>Others did this.</p></div><div class="notice-period"><p>Two weeks.</p></div><div class="header-image">A view.</div>'
+    assert plain(inside.format(kept)) == "T\nText.\nOthers did this.\nTwo weeks.\nA view."
+    gone = '<div class="related-links"><a href=/>One</a> <a href=/>Two</a></div><div class="related">More</div><div class="comment-list"><p>I disagree.</p></div>'
+    assert plain(inside.format(gone + '<div class="share-bar"><a href=/>Share</a></div><div class="ad-slot">Buy</div>')) == "T\nText."
+    nested = '<div class="side-note"><div class="side-note"><a href=/>In</a></div><p>A note with words.</p></div>'
+    assert plain(inside.format(nested)) == "T\nText.\nA note with words."
+
+
+def test_a_rarer_template_of_a_host(spark):
+    """A page with a teaser at the winning path and its article at another path that a fifth of the pages use."""
+    story = "<body><div class='story'><p>{}</p></div></body>"
+    review = "<body><div class='story'><p>Teaser {}</p></div><div class='review'><p>{}</p></div></body>"
+    rows = [(i, "http://a.org/", story.format(f"story {i} " * 30)) for i in range(7)]
+    rows += [(10 + i, "http://a.org/", review.format(i, f"review {i} " * 30)) for i in range(3)]
+    rows += [(20, "http://b.org/", "<div class=b><p>one</p></div>"), (20, "http://b.org/", "<div class=b><p>one</p></div>")]
+    rows += [(30, "http://c.org/", "<div class=y><p>a</p></div>"), (31, "http://c.org/", "<div class=x><p>b</p></div>")]  # a tie of votes
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted((r.page_id, r.text) for r in html_text.extract(frame).collect())
+    assert found[:7] == [(i, (f"story {i} " * 30).strip()) for i in range(7)]
+    assert found[7:10] == [(10 + i, (f"review {i} " * 30).strip()) for i in range(3)]
+    assert found[10:] == [(20, "one"), (20, "one"), (30, "a"), (31, "b")]
+    paths = {r.host: r.paths for r in html_text.winning_paths(frame).collect()}
+    assert paths == {"a.org": ["body>div.story", "body>div.review"], "b.org": ["div.b"], "c.org": ["div.x", "div.y"]}
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    deep = "<div class=a>" * 100_000 + "<p>text</p>"
+    tracemalloc.start()
+    assert html_text.extracted(html_text.parse(deep), ["div.a"]) == "text"
+    assert plain(deep) == "text"
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_licence_values(spark):
     texts = {
         1: "x Under the MIT-License, under\nthe mit license", 2: "Apache License, Version 2.0", 3: "cc-by-nc cc by nc",
