@@ -41,6 +41,10 @@ def adopt(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders that ``work_dir`` has named and ``clean`` has not removed.
+_named: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for checkpoints and intermediate tables.
 
@@ -53,4 +57,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="hushlake-")
-    return f"{base.rstrip('/')}/hushlake-{name}-{uuid.uuid4().hex}"
+    _named.append(f"{base.rstrip('/')}/hushlake-{name}-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes all working folders named so far, and says how many there were.
+
+    For when results that were made from them have been written elsewhere:
+    tables that still read them are of no use afterwards.
+    """
+    removed = 0
+    while _named:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_named.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed

@@ -165,3 +165,17 @@ def test_recording_reads_what_is_selected(spark, tmp_path):
     settings = spark.createDataFrame([("a", True, True)], "tenant string, record_request_content boolean, record_raw_request boolean")
     kept = audit.apply_recording_settings(spark.read.parquet(str(tmp_path / "d")), settings, "tenant").select("id", "raw_request")
     assert "ReadSchema: struct<id:string,tenant:string,raw_request:string>" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_working_folders_are_removed_on_demand(spark, tmp_path, monkeypatch):
+    from hushlake import session
+
+    monkeypatch.setattr(session, "_named", [])
+    monkeypatch.setattr(session.tempfile, "mkdtemp", lambda prefix: str(tmp_path))
+    made = session.work_dir(spark, "kept")
+    spark.range(3).write.parquet(made)
+    session.work_dir(spark, "never-written")
+    (tmp_path / "other").mkdir()
+    assert spark.read.parquet(made).count() == 3
+    assert session.clean(spark) == 1 and session.clean(spark) == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
