@@ -8,18 +8,22 @@ agree on all rows of a band are candidates. With independent rows, 24 bands of 4
 miss three pairs in a million at a similarity of 0.8 and compare 18 % at 0.3. Of
 120,000 random pairs at 0.8 (15, 50 and 100 shingles) none was missed.
 
-1. ``occurrences``: one row for each line of each document with its 128-bit
-   digest, and the bands where a batch first shows it.
-2. Chains through the buckets join candidates into groups (no pairs), by
-   distributed union-find.
-3. Each candidate line's text goes to its group once. There, pairs that share
-   a band are verified by exact Jaccard similarity; a tree over each verified
-   part comes out. A group over BLOCK lines is dealt into pairs of blocks.
+1. ``occurrences``: the places of each document's lines with their 128-bit digests.
+2. ``chains``: tasks send the band keys of the lines that a batch first shows, as
+   arrays by range of key. A key that several lines of a batch share is sent once,
+   and a chain through those lines beside it, so a bucket with very many lines
+   is no hot key. Whoever gets a range chains the lines that share a key.
+   Distributed union-find makes groups of candidates out of the chains.
+3. Each candidate line's text goes to its group once; other lines stay where they
+   are, held back by a bitmap of the candidates. In a group pairs are verified
+   by exact Jaccard similarity, in large groups only pairs that share a band; a
+   tree over each verified part comes out. A group over BLOCK lines is dealt into
+   pairs of blocks.
 4. Union-find over those trees gives the components. The line whose place
    (doc_id, row, line number) is first in a component is kept, wherever else it stands.
 
 Lines are split at line feeds; a line of blanks only is neither counted nor dropped. Null and
-empty texts have no lines. Null doc_ids come after all others. Rows with equal doc_id are
+empty texts have no lines; texts and lines of any length are read as a whole. Null doc_ids come after all others. Rows with equal doc_id are
 documents of their own, as are repeated rows: their lines are dropped as copies. An empty table
 gives no row; other columns are not read by ``judge`` and kept by ``deduplicate``.
 """
@@ -30,34 +34,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import written
+from hushlake.llm.common import BLANKS, written
 from hushlake.llm.components import components
+from hushlake.operators.sides import KEY_BITS, split_by_keys
 
 SHINGLE, SIMILAR = 8, 0.8
 BANDS, ROWS = 24, 4
 #: Lines of a group that are compared at once in one task.
 BLOCK = 512
+#: Lines of a group up to which all of its pairs are compared; above, those that share a band.
+FEW = 64
 #: Characters whose shingles are hashed together.
 CHUNK = 1 << 16
+#: Keys that a task chains, on average.
+RANGE = 1 << 21
 LAST_ID = (1 << 63) - 1
 
 
-def normalized(line: str) -> str:
-    return line.strip(" \t\n\x0b\x0c\r").translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
 
 
+def _mixed_once(h: np.ndarray) -> np.ndarray:
+    return h ^ (h >> np.uint64(29))
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """BANDS keys for each line."""
     out, first = [], 0
@@ -74,9 +80,11 @@ def _bands(lines: list[str], sizes: np.ndarray) -> np.ndarray:
     padded = "".join(line + "\0" * (SHINGLE - 1) for line in lines)
     codes = np.frombuffer((padded + "\0" * SHINGLE).encode("utf-32-le"), "<u4").astype(np.uint64)
     n = len(padded)
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    # Hashes of runs twice as long, out of two neighbours each time: 2, 4, 8 characters.
+    h = codes
+    for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
+        h = h[:-step] * np.uint64(factor) + _mixed_once(h[step:])
+    h = h[:n]
     begins = np.concatenate([[0], np.cumsum(sizes + SHINGLE - 1)[:-1]])
     runs = np.maximum(1, sizes - SHINGLE + 1)
     owner = np.repeat(np.arange(len(lines)), runs)
@@ -121,38 +129,32 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _lines(text: str | None) -> list[tuple[int, str]]:
-    """(number, line) of the lines that are not blank."""
-    return [(i, line) for i, line in enumerate(map(normalized, (text or "").split("\n"))) if line]
+    """(number, line) of the lines that are not blank, without blanks at both ends and with A-Z in lower case."""
+    # Bytes are lower-cased in ASCII alone, and no other character has a byte of an ASCII one.
+    lower = (text or "").encode().lower().decode()
+    return [(i, line) for i, line in enumerate(x.strip(BLANKS) for x in lower.split("\n")) if line]
 
 
-def occurrences(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """(doc_id, row, size, places, ids, keys) for each row of ``docs``.
+def _first(texts: list[str | None]) -> dict[bytes, str]:
+    """The lines of some texts by digest, each once."""
+    return {digest(line): line for line in {line: None for text in texts for _, line in _lines(text)}}
 
-    ``places`` are the numbers of the lines that are not blank, ``ids`` their
-    digests, ``keys`` their bands, null where the batch had that line before.
-    """
-    schema = "doc_id long, row long, places array<int>, ids array<binary>, keys array<array<long>>"
+
+def occurrences(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, row, places, ids) for each row of ``docs``: numbers and digests of the lines that are not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = [_lines(text) for text in batch.column(2).to_pylist()]
-            ids = [[digest(line) for _, line in row] for row in listed]
-            first: dict[bytes, str] = {}
-            for row, marks in zip(listed, ids, strict=True):
-                for (_, line), mark in zip(row, marks, strict=True):
-                    first.setdefault(mark, line)
-            found = dict(zip(first, bands(list(first.values())).view(np.int64).tolist(), strict=True))
-            keys = [[found.pop(mark, None) for mark in row] for row in ids]
             columns = [
-                batch.column(0), batch.column(1),
-                pa.array([[i for i, _ in row] for row in listed], pa.list_(pa.int32())),
-                pa.array(ids, pa.list_(pa.binary())), pa.array(keys, pa.list_(pa.list_(pa.int64()))),
+                batch.column(0), batch.column(1), pa.array([[i for i, _ in row] for row in listed], pa.list_(pa.int32())),
+                pa.array([[digest(line) for _, line in row] for row in listed], pa.list_(pa.binary())),
             ]
-            yield pa.record_batch(columns, names=["doc_id", "row", "places", "ids", "keys"])
+            yield pa.record_batch(columns, names=["doc_id", "row", "places", "ids"])
 
     number = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), number.alias("row"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, row long, places array<int>, ids array<binary>")
 
 
 def node(digest_column: str):
@@ -160,33 +162,110 @@ def node(digest_column: str):
     return F.conv(F.hex(F.substring(digest_column, 1, 8)), 16, -10).cast("long")
 
 
-def candidates(places: DataFrame) -> DataFrame:
-    """(node, root): the groups of lines that share a bucket with another, directly or through others."""
-    keyed = places.select(F.explode(F.arrays_zip("ids", "keys")).alias("x")).filter("x.keys IS NOT NULL")
-    keyed = keyed.select(node("x.ids").alias("node"), F.explode("x.keys").alias("key"))
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    pairs = keyed.select("node", before.alias("before")).filter("before IS NOT NULL AND before != node")
-    return components(pairs.select(F.col("before").alias("a"), F.col("node").alias("b")).distinct())
+def _nodes(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x[:8] for x in digests), ">i8").astype(np.int64)
+
+
+def _chained(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In order of keys: where each key begins, and the pairs (a, b) of neighbours that share one."""
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    same = keys[1:] == keys[:-1]
+    pairs = np.stack([nodes[:-1][same], nodes[1:][same]])
+    return order[np.concatenate([[True], ~same])] if len(keys) else order, *pairs[:, pairs[0] != pairs[1]]
+
+
+def chains(docs: DataFrame, n_lines: int, in_range: int = RANGE) -> DataFrame:
+    """(a, b): pairs of nodes that join the lines of each bucket."""
+    ranges = max(1, -(-n_lines * BANDS // in_range))
+    schema = pa.schema([("range", pa.int32()), ("keys", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = _first(batch.column(0).to_pylist())
+            if not first:
+                continue
+            keys, nodes = bands(list(first.values())).ravel(), np.repeat(_nodes(list(first)), BANDS)
+            heads, a, b = _chained(keys, nodes)
+            keys, nodes = keys[heads], nodes[heads]  # in order of keys
+            of_range = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            held, begins = np.unique(of_range, return_index=True)
+            ends = pa.array(np.append(begins, len(keys)), pa.int32())
+            rows = [pa.array(held, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(nodes))]
+            yield pa.record_batch(rows, schema=schema)
+            if len(a):
+                # Pairs that are found already: no keys, and a, b by turns.
+                pairs = np.stack([a, b], axis=1).ravel()
+                yield pa.record_batch(
+                    [pa.array(held[:1], pa.int32()), pa.array([None], schema.field(1).type), pa.array([pairs], schema.field(2).type)], schema=schema
+                )
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        names = ["a", "b"]
+        for batch in batches:
+            for keys, nodes in zip(batch.column(1), batch.column(2), strict=True):
+                found = nodes.values.to_numpy()
+                if keys.is_valid:
+                    held.append((keys.values.to_numpy().view(np.uint64), found))
+                else:
+                    yield pa.record_batch([pa.array(found[0::2]), pa.array(found[1::2])], names=names)
+        if held:
+            _, a, b = _chained(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for i in range(0, len(a), 1 << 16):
+                yield pa.record_batch([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], names=names)
+
+    sent = _texts(docs).select("text").mapInArrow(send, "range int, keys array<long>, nodes array<long>")
+    return sent.repartitionById(ranges, "range").mapInArrow(chain, "a long, b long").distinct()
+
+
+def packed(line: str) -> np.ndarray | frozenset[str]:
+    """The shingles of a line; as sorted 64-bit numbers where each of their characters is one byte of Latin-1."""
+    try:
+        codes = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return shingles(line)
+    if len(codes) < SHINGLE:
+        return shingles(line)
+    # Eight bytes from each byte on, read as one number.
+    runs = np.ndarray(len(codes) - SHINGLE + 1, "<u8", codes, strides=(1,)).copy()
+    runs.sort()
+    return runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
+
+
+def alike(one: tuple, other: tuple, similar: float) -> bool:
+    """Whether two (line, packed shingles) have that Jaccard similarity."""
+    (x, a), (y, b) = one, other
+    if min(len(a), len(b)) < similar * max(len(a), len(b)) - 1e-9:
+        return False
+    if isinstance(a, np.ndarray) and isinstance(b, np.ndarray):
+        both = np.concatenate([a, b])
+        both.sort()
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    else:
+        shared = len(shingles(x) & shingles(y))
+    return shared >= similar * (len(a) + len(b) - shared) - 1e-9
 
 
 def tree(listed: list[tuple[bytes, str]], similar: float = SIMILAR) -> list[tuple[bytes, bytes]]:
-    """Edges that connect lines of which ``similar`` or more of the shingles are shared; lines must share a band."""
-    keys, sets = bands([line for _, line in listed]), [shingles(line) for _, line in listed]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    """Edges that connect lines of which ``similar`` or more of the shingles are shared.
+
+    In a group of more than FEW lines, two that share no band are not compared.
+    """
+    if len(listed) < 2:
+        return []
+    sets = [(line, packed(line)) for _, line in listed]
+    keys = bands([line for _, line in listed]) if len(listed) > FEW else None
     left, edges = np.arange(len(listed)), []
     while len(left):
         part, left, at = [int(left[0])], left[1:], 0
         while at < len(part) and len(left):
             x = part[at]
-            small, large = np.minimum(sizes[left], sizes[x]), np.maximum(sizes[left], sizes[x])
-            near = np.flatnonzero((keys[left] == keys[x]).any(1) & (small >= similar * large - 1e-9))
-            linked = []
-            for i in near.tolist():
-                shared = len(sets[x] & sets[left[i]])
-                if shared >= similar * (sizes[x] + sizes[left[i]] - shared) - 1e-9:
-                    linked.append(i)
-            part += left[linked].tolist()
-            left = np.delete(left, linked)
+            near = left if keys is None else left[(keys[left] == keys[x]).any(1)]
+            linked = [i for i in near.tolist() if alike(sets[x], sets[i], similar)]
+            if linked:
+                part += linked
+                left = left[~np.isin(left, linked)]
             at += 1
         edges += [(listed[part[i]][0], listed[part[(i - 1) // 2]][0]) for i in range(1, len(part))]
     return edges
@@ -207,19 +286,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([e[i] for e in edges], pa.binary()) for i in (0, 1)], schema=schema)
 
 
-def links(docs: DataFrame, places: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, n_lines: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b: digests) whose components are those of all verified pairs."""
-    groups = candidates(places)
+    groups = components(chains(docs, n_lines))
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     groups = written(groups.join(sizes, "root"), "groups")
+    # Sixteen bits a candidate, 64 MB at most: a bitmap of fixed size, which holds back few lines once it is full.
+    bits = min(KEY_BITS, max(1 << 20, 16 * groups.count()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = {digest(line): line for text in batch.column(0).to_pylist() for _, line in _lines(text)}
-            yield pa.record_batch([pa.array(list(first), pa.binary()), pa.array(list(first.values()), pa.string())], names=["id", "line"])
-
-    listed = _texts(docs).select("text").mapInArrow(split, "id binary, line string")
-    shared = listed.withColumn("node", node("id")).join(groups, "node")
+            first = _first(batch.column(0).to_pylist())
+            yield pa.record_batch(
+                [pa.array(_nodes(list(first))), pa.array(list(first), pa.binary()), pa.array(list(first.values()), pa.string())],
+                names=["node", "id", "line"],
+            )
+
+    listed = _texts(docs).select("text").mapInArrow(split, "node long, id binary, line string")
+    shared = split_by_keys(listed, groups, ["node"], bits)[0].join(groups, "node")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "line")
@@ -233,7 +317,8 @@ def judge(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> DataFr
     Rows are numbered by the column ``row``, or as they are read.
     """
     places = written(occurrences(docs, row), "lines")
-    of_line = components(links(docs, places, block)).select(F.col("node").alias("id"), "root")
+    n_lines = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    of_line = components(links(docs, n_lines, block)).select(F.col("node").alias("id"), "root")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("order"), "row", F.col("x.places").alias("line"))
     each = places.select(F.explode(F.arrays_zip("places", "ids")).alias("x"), "doc_id", "row").select(F.col("x.ids").alias("id"), place.alias("place"))
     firsts = written(each.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n")), "firsts")
