@@ -123,6 +123,22 @@ def test_components_of_long_paths_and_stars(spark):
     assert found == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}, 5000: 5000}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    """Sparse graphs of numbers and of digests, with loops and repeated edges, against one union-find."""
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 900), rng.randint(0, 900)) for _ in range(rng.choice([200, 450, 900]))] * 2
+    parts = brute.Union(901)
+    for a, b in edges:
+        parts.join(a, b)
+    wanted = {x: parts.find(x) for e in edges for x in e}
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == wanted
+    name = lambda x: f"{x:04}".encode()
+    named = components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")).collect()
+    assert {int(r.node): int(r.root) for r in named} == wanted
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("capacity", [64, 1000, 64 << 20])
 def test_exact_keeps_one_row_of_each_group(odd, capacity):
     """Small buckets split, and a group larger than a bucket gets overflow pages."""
