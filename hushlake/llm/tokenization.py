@@ -10,12 +10,12 @@ A state's row of arcs is shared: a copy is its original, the arc it lacks and
 the time it was made; a token's arcs are those of its left half, from the time
 it was born. ``Automaton.arc`` reads a row that way and keeps the answer.
 
-``Machine`` is what words are run through, one look-up of (state, symbol) in a
-table for each symbol. Its states say which token the prefix read so far ends
-with, and which tokens may still be completed behind which earlier one; they are
-made from the automaton and the tree of the tokens' spellings when a word first
-needs them. The tokens are read off the states passed, from the end of the word
-to its beginning, and decoding emits the labels of their arcs.
+``Machine`` is what words are run through, many at a time: for each symbol one
+look-up of (state, symbol) in a table. Its states say which token the prefix read so
+far ends with, and which tokens may still be completed behind which earlier one;
+they are made from the automaton and the tree of the tokens' spellings when a
+word first needs them. The tokens are read off the states passed, from the end of
+a word to its beginning, and decoding emits the labels of their arcs.
 
 A character that the oldest and the newest Unicode tables at hand do not agree
 on sends its text through the vocabulary's own normalizer and splitter, as only
@@ -32,7 +32,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,16 @@ from hushlake.llm.common import tokenizer_path
 #: Fixed values of the public vocabulary word_bpe_49k: how it splits a text, and how it marks a word's end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Words, and pieces of text between blanks, kept with their ids in each Python worker, and the longest kept.
-MEMO, MEMO_WORD = 300_000, 48
-#: States of the machine kept in each Python worker, and answers of the automaton.
-STATES, ARCS = 150_000, 1_000_000
+#: Words, and pieces of text between blanks, kept with their ids in each Python worker (twice as many at most), up to some length of their labels.
+MEMO, MEMO_TEXT = 250_000, 100
+#: States of the machine, entries of its table, and answers of the automaton, kept in each Python worker.
+STATES, ENTRIES, ARCS = 200_000, 32_000_000, 1_000_000
+#: Bytes of a word up to which it goes through the machine together with others.
+TOGETHER = 32
 #: Below U+0378 every code point has been assigned for long.
 _beyond = re.compile("[^\x00-\u0377]").search
+#: Ends of chunks that are words of their own behind letters.
+MARKS = frozenset(".,;:!?)")
 #: Characters that str.split takes for blanks and the vocabulary's splitter does not.
 _blanks = re.compile("[\x1c-\x1f]").search
 
@@ -136,78 +141,137 @@ class Automaton:
 class Machine:
     """Transitions by symbol, compiled from an automaton as words need them.
 
-    A state is a tuple of numbers, each a pair (token before, place in the tree
-    of spellings); the last pair's token is the one that the prefix ends with.
+    A state stands for the pairs (token before, place in the tree of spellings)
+    that may still be completed; the last pair's token is the one that the
+    prefix ends with. The table has a row for each state and a column for each
+    symbol met so far.
     """
 
     def __init__(self, automaton: Automaton, symbols: list[str]) -> None:
         self.automaton = automaton
         self.symbol = {x: i for i, x in enumerate(x for x in symbols if x in automaton.number)}
         self.kinds = len(self.symbol)
-        #: The tree: (node, symbol) to node, and the token that ends at a node.
+        #: The tree: place and symbol to place; which token ends at a place, and from which places it goes on.
         self.tree: dict[int, int] = {}
-        self.token: list[int] = [-1]
-        self.length = [0] * automaton.width
+        self.token: dict[int, int] = {}
+        self.inner: set[int] = {0}
+        self.length = np.zeros(automaton.width + 1, np.int32)
         for token, number in automaton.number.items():
             spelled = spelling(token)
             if all(x in self.symbol for x in spelled):
                 self.length[number] = len(spelled)
                 self._add(spelled, number)
-        self.nodes = len(self.token)
+        self.column = np.full(self.kinds, -1, np.int32)
+        self.of_column: list[int] = []
         self._clear()
 
     def _add(self, spelled: list[str], number: int) -> None:
-        node = 0
+        place = 0
         for x in spelled:
-            key = node * self.kinds + self.symbol[x]
-            if key not in self.tree:
-                self.tree[key] = len(self.token)
-                self.token.append(-1)
-            node = self.tree[key]
-        self.token[node] = number
+            self.inner.add(place)
+            place = self.tree.setdefault(place + self.symbol[x], (len(self.tree) + 1) * self.kinds)
+        self.token[place] = number
 
     def _clear(self) -> None:
-        self.table: dict[int, int] = {}
         # The first state: no token before, at the tree's root.
-        self.open: list[tuple[int, ...]] = [(self.automaton.width * self.nodes,)]
-        self.last = [-1]
-        self.state: dict[tuple[int, ...], int] = {self.open[0]: 0}
-
-    def _compile(self, state: int, symbol: int) -> int:
-        """The transition of a state by a symbol, and the state it leads to if that is new."""
-        ends, pairs = -1, []
-        for pair in self.open[state]:
-            before, node = divmod(pair, self.nodes)
-            node = self.tree.get(node * self.kinds + symbol)
-            if node is None:
+        self.open: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.state = {self.open[0]: 0}
+        self.table = np.full((1024, max(1, len(self.of_column))), -1, np.int32)
+        self.last = np.full(1024, -1, np.int32)
+
+    def _columns(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols' columns; new ones get one each."""
+        new = np.unique(symbols[self.column[symbols] < 0])
+        if len(new):
+            self.column[new] = np.arange(len(self.of_column), len(self.of_column) + len(new))
+            self.of_column += new.tolist()
+            more = np.full((len(self.table), len(self.of_column) - self.table.shape[1]), -1, np.int32)
+            self.table = np.hstack([self.table, more])
+        return self.column[symbols]
+
+    def _compile(self, state: int, column: int) -> None:
+        """Enters the transition of a state by a symbol, and the state it leads to if that is new."""
+        symbol, tree, ends, pairs = self.of_column[column], self.tree, -1, []
+        for before, place in self.open[state]:
+            place = tree.get(place + symbol)
+            if place is None:
                 continue
-            token = self.token[node]
-            if ends < 0 <= token and (before == self.automaton.width or self.automaton.arc(before, token)):
-                ends = token
-            pairs.append(before * self.nodes + node)
-        key = (*pairs, ends * self.nodes)
+            if ends < 0:
+                token = self.token.get(place, -1)
+                if token >= 0 and (before < 0 or self.automaton.arc(before, token)):
+                    ends = token
+            if place in self.inner:
+                pairs.append((before, place))
+        key = (*pairs, (ends, 0))
         found = self.state.get(key)
         if found is None:
             found = self.state[key] = len(self.open)
             self.open.append(key)
-            self.last.append(ends)
-        self.table[state * self.kinds + symbol] = found
-        return found
+            if found == len(self.table):
+                self.table = np.vstack([self.table, np.full_like(self.table, -1)])
+                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
+            self.last[found] = ends
+        self.table[state, column] = found
 
     def path(self, symbols: list[int]) -> list[int]:
         """The tokens of the one path that spells ``symbols``."""
-        if len(self.open) >= STATES:
+        return self.paths(np.array(symbols, np.int64), np.array([len(symbols)]))[0].tolist()
+
+    def paths(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of several words' paths one after the other, and how many each word has; words have a symbol or more."""
+        if len(self.open) >= STATES or self.table.size >= ENTRIES:
             self._clear()
-        state, passed, table, kinds = 0, [], self.table, self.kinds
-        for symbol in symbols:
-            to = table.get(state * kinds + symbol)
-            state = self._compile(state, symbol) if to is None else to
-            passed.append(self.last[state])
-        out, at = [], len(passed)
-        while at:
-            out.append(passed[at - 1])
-            at -= self.length[out[-1]]
-        return out[::-1]
+        n, most = len(sizes), int(sizes.max(initial=0))
+        order = np.argsort(-sizes, kind="stable")
+        begins, ordered = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        columns = self._columns(symbols)
+        passed, state = np.zeros((most, n), np.int32), np.zeros(n, np.int32)
+        open_ = np.searchsorted(-ordered, -np.arange(most), side="left")  # words longer than each place
+        for at, some in enumerate(open_):
+            here, by = state[:some], columns[begins[:some] + at]
+            to = self.table[here, by]
+            missing = np.flatnonzero(to < 0)
+            if len(missing):
+                keys = here[missing].astype(np.int64) * self.kinds + by[missing]
+                for key in np.unique(keys).tolist():
+                    self._compile(*divmod(key, self.kinds))
+                to[missing] = self.table[here[missing], by[missing]]
+            state[:some] = passed[at, :some] = to
+        # From each word's end back to its beginning, a token of every word at a time.
+        left, found, steps = ordered.copy(), [], 0
+        while len(own := np.flatnonzero(left)):
+            tokens = self.last[passed[left[own] - 1, own]]
+            left[own] -= self.length[tokens]
+            found.append((own, np.full(len(own), steps), tokens))
+            steps += 1
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        word, step, tokens = (np.concatenate(x) for x in zip(*found, strict=True))
+        word = order[word]
+        return tokens[np.lexsort((-step, word))], np.bincount(word, minlength=n)
+
+
+class Memo:
+    """Results by key. When it is full, what was not asked for since the last time is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        known = self.young.get(key)
+        if known is None and (known := self.old.get(key)) is not None:
+            self.keep(key, known)
+        return known
+
+    def keep(self, key, value) -> None:
+        if len(value[1]) <= MEMO_TEXT:
+            if len(self.young) >= MEMO:
+                self.young, self.old = {}, self.young
+            self.young[key] = value
+
+
+Result = tuple[bytes, str]
 
 
 class Tokenizer:
@@ -223,7 +287,7 @@ class Tokenizer:
         shown = byte_symbols()
         self.machine = Machine(automaton, [*shown, *(x + WORD_END for x in shown)])
         of_symbol = self.machine.symbol
-        self.inside, self.end = ([of_symbol.get(x + tail, -1) for x in shown] for tail in ("", WORD_END))
+        self.inside, self.end = (np.array([of_symbol.get(x + tail, -1) for x in shown]) for tail in ("", WORD_END))
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.labels = {i: t for t, i in {**model["vocab"], **self.special}.items()}
         self.find_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)").finditer
@@ -231,32 +295,48 @@ class Tokenizer:
         self.byte = {x: i for i, x in enumerate(shown)}
         self.path, self.library = path, None
         self.agreed = Agreed()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        """A split word's ids (little-endian, 32 bits) and its labels, joined by blanks."""
-        known = self.words.get(word)
-        if known is None:
-            known = self.spell(word.encode())
-            _keep(self.words, word, known)
-        return known
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The same for what stands between two blanks."""
-        known = self.chunks.get(chunk)
-        if known is None:
-            known = _joined(map(self.word, self.split(chunk)))
-            _keep(self.chunks, chunk, known)
-        return known
-
-    def spell(self, word: bytes) -> tuple[bytes, str]:
-        symbols = [*map(self.inside.__getitem__, word[:-1]), self.end[word[-1]]]
-        ids = self.machine.path([x for x in symbols if x >= 0] if -1 in symbols else symbols)
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
-
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """The parts of a text without special tokens, each encoded."""
+        self.words, self.chunks = Memo(), Memo()
+
+    def spell(self, listed: list[bytes]) -> Iterator[Result]:
+        """Each word's ids (little-endian, 32 bits) and its labels, joined by blanks."""
+        for at in range(0, len(listed), 20_000):
+            yield from self._spell(listed[at : at + 20_000])
+
+    def _spell(self, listed: list[bytes]) -> Iterator[Result]:
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        raw = np.frombuffer(b"".join(listed), np.uint8)
+        symbols = self.inside[raw]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.end[raw[ends]]
+        if (symbols < 0).any():  # bytes that the vocabulary has no symbol for
+            kept = symbols >= 0
+            sizes = np.bincount(np.repeat(np.arange(len(listed)), sizes)[kept], minlength=len(listed))
+            symbols = symbols[kept]
+        ids, counts = self._paths(symbols, sizes)
+        joined, names = ids.astype("<u4").tobytes(), self.decoded(ids.tolist())
+        at = 0
+        for n in counts.tolist():
+            yield joined[4 * at : 4 * (at + n)], " ".join(names[at : at + n])
+            at += n
+
+    def _paths(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As the machine's, but long words go through it by themselves, so that they do not widen the others' tables."""
+        long = sizes > TOGETHER
+        if not long.any():
+            return self.machine.paths(symbols, sizes)
+        begins, of_symbol = np.cumsum(sizes) - sizes, np.repeat(long, sizes)
+        short, counts = self.machine.paths(symbols[~of_symbol], sizes[~long])
+        parts = dict(zip(np.flatnonzero(~long).tolist(), np.split(short, np.cumsum(counts)[:-1]) if len(counts) else [], strict=True))
+        for i in np.flatnonzero(long).tolist():
+            parts[i] = self.machine.paths(symbols[begins[i] : begins[i] + sizes[i]], sizes[i : i + 1])[0]
+        return np.concatenate([parts[i] for i in range(len(sizes))]), np.array([len(parts[i]) for i in range(len(sizes))])
+
+    def decoded(self, ids: list[int]) -> list[str]:
+        """The labels of ids."""
+        return list(map(self.labels.__getitem__, ids))
+
+    def pieces(self, text: str) -> list[str | tuple]:
+        """What a text is encoded by: chunks between blanks, and words as tuples of one."""
         if _beyond(text) and self.agreed.lacks(text):
             if self.library is None:
                 from tokenizers import Tokenizer as Library
@@ -264,30 +344,62 @@ class Tokenizer:
                 self.library = Library.from_file(self.path)
             own = self.library
             split = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
-            return [self.spell(bytes(map(self.byte.__getitem__, word))) for word, _ in split]
+            return [(bytes(map(self.byte.__getitem__, word)),) for word, _ in split]
         # No word holds a blank, so blanks need no normalizing, and texts may be cut there first.
         lower = self.normalized(text)
-        return list(map(self.word, self.split(lower))) if _blanks(lower) else list(map(self.chunk, lower.split()))
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.labels[i] for i in ids])
+        return [(word.encode(),) for word in self.split(lower)] if _blanks(lower) else lower.split()
 
     def normalized(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids of a whole text as bytes, and the text decoded from them."""
+    def parts(self, text: str) -> list[str | tuple]:
+        """The same, with the ids of special tokens among them."""
         if "<|" not in text:
-            return _joined(self.pieces(text))
-        found: list[tuple[bytes, str]] = []
+            return self.pieces(text)
+        found: list = []
         at = 0
         for special in self.find_special(text):
-            found += self.pieces(text[at : special.start()])
-            number = self.special[special[0]]
-            found.append((np.array([number], "<u4").tobytes(), self.labels[number]))
+            found += [*self.pieces(text[at : special.start()]), (self.special[special[0]],)]
             at = special.end()
-        return _joined(found + self.pieces(text[at:]))
+        return found + self.pieces(text[at:])
+
+    def words_of(self, part: str | tuple) -> list[bytes]:
+        if isinstance(part, tuple):
+            return [] if isinstance(part[0], int) else [part[0]]
+        if part.isalpha():
+            return [part.encode()]
+        if part[-1] in MARKS and part[:-1].isalpha():
+            return [part[:-1].encode(), part[-1].encode()]
+        return [word.encode() for word in self.split(part)]
+
+    def encode_batch(self, texts: list[str]) -> list[Result]:
+        """Of each whole text the ids as bytes, and the text decoded from them. Words that several texts share are spelled once."""
+        listed = [self.parts(text) for text in texts]
+        known: dict[str | tuple, Result] = {}
+        new: dict[str | tuple, list[bytes]] = {}
+        for part in dict.fromkeys(chain.from_iterable(listed)):
+            found = self.chunks.get(part)
+            if found is None:
+                new[part] = self.words_of(part)
+            else:
+                known[part] = found
+        words = {word: self.words.get(word) for word in dict.fromkeys(chain.from_iterable(new.values()))}
+        unseen = [word for word, found in words.items() if found is None]
+        for word, found in zip(unseen, self.spell(unseen), strict=True):
+            words[word] = found
+            self.words.keep(word, found)
+        for part, split in new.items():
+            if isinstance(part, tuple) and isinstance(part[0], int):
+                found = (part[0].to_bytes(4, "little"), self.labels[part[0]])
+            else:
+                found = words[split[0]] if len(split) == 1 else _joined([words[word] for word in split])
+            known[part] = found
+            self.chunks.keep(part, found)
+        return [_joined([known[part] for part in parts]) for parts in listed]
+
+    def encode(self, text: str) -> Result:
+        return self.encode_batch([text])[0]
 
 
 def spelling(token: str) -> list[str]:
@@ -298,16 +410,10 @@ def spelling(token: str) -> list[str]:
     return [*inside[:-1], inside[-1] + WORD_END]
 
 
-def _keep(memo: dict, key: str, value: tuple[bytes, str]) -> None:
-    if len(key) <= MEMO_WORD:
-        if len(memo) >= MEMO:
-            memo.clear()
-        memo[key] = value
-
-
-def _joined(parts: Iterable[tuple[bytes, str]]) -> tuple[bytes, str]:
-    parts = list(parts)
-    return b"".join([ids for ids, _ in parts]), " ".join([label for ids, label in parts if ids])
+def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    ids = b"".join([ids for ids, _ in parts])
+    # A part without ids (symbols that the vocabulary lacks) has no labels either.
+    return ids, " ".join([label for _, label in parts if label])
 
 
 _WORKER: dict[str, Tokenizer] = {}
@@ -326,7 +432,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, digest: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary or tokenizer_path("word_bpe_49k.json"))
         for batch in batches:
-            found = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+            found = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             sizes = pa.array([len(ids) // 4 for ids, _ in found], pa.int64())
             if digest:
                 columns = [
