@@ -8,7 +8,8 @@ turns it into the probability of label 1.
 The documents that may be learned from have crc32(doc_id) modulo 3 of 0 or 2:
 the dictionaries come from 0, the curve from 2, so it is fitted on texts the
 dictionaries have not seen. Both samples are bounded (BLOCKS, CURVE) and chosen
-by hash. Null and empty texts have feature 0 and get the curve's value there.
+by hash. Null and empty texts have feature 0 and get the curve's value there; texts
+of any length are compressed whole, block by block. Repeated rows get equal scores.
 Labels with null quality or without document are left out; a document that has
 several labels counts once for each. Without labels of both kinds every score is 0.5. Scores
 read nothing but the text. An empty table gives no row; other columns are not read.

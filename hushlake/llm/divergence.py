@@ -47,7 +47,7 @@ TOP = 50
 #: Sources and terms in a block of the matrix of shares.
 SOURCES, TERMS = 64, 4096
 #: Counts that a task holds before it gives them on.
-HELD = 200_000
+HELD = 400_000
 #: Characters of a text that are cut into terms at a time.
 PIECE = 1 << 22
 #: Upper-case letters to lower case, letters and bytes beyond ASCII as they are, all else to a blank.
@@ -212,21 +212,24 @@ def skyband(high: np.ndarray, low: np.ndarray, order: np.ndarray, k: int, step:
     band = best_first[:0]
     for at in range(0, len(best_first), step):
         new = best_first[at : at + step]
-
-        def dominators(over: np.ndarray, under: np.ndarray) -> np.ndarray:
-            found = high[over][None, :] >= high[under][:, None]
-            found &= low[over][None, :] <= low[under][:, None]
-            found &= order[over][None, :] < order[under][:, None]
-            return found.sum(axis=1)
-
-        by_band = dominators(band, new)
-        open_ = new[by_band < k]
-        counts = by_band[by_band < k]
+        counts = np.zeros(len(new), np.int64)
+        # The best of the band come first and settle most points, which the rest of it need not see.
+        for part in range(0, len(band), step):
+            counts += _dominators(high, low, order, band[part : part + step], new)
+            new, counts = new[counts < k], counts[counts < k]
         # Dominators among the step's own points count whether or not they stay: they have fewer than k, or k dominate both.
-        band = np.concatenate([band, open_[counts + dominators(open_, open_) < k]])
+        band = np.concatenate([band, new[counts + _dominators(high, low, order, new, new) < k]])
     return band
 
 
+def _dominators(high: np.ndarray, low: np.ndarray, order: np.ndarray, over: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """For each point of ``under``, how many points of ``over`` dominate it."""
+    found = high[over][None, :] >= high[under][:, None]
+    found &= low[over][None, :] <= low[under][:, None]
+    found &= order[over][None, :] < order[under][:, None]
+    return found.sum(axis=1)
+
+
 def _band(k: int):
     """Reads rows of groups in any order; gives each group's skyband at the end."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("lang_n", pa.int64())])

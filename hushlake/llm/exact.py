@@ -18,8 +18,9 @@ left.
 
 Which row stays: most code points in the original text, then smallest doc_id
 (null last); among repeated rows with equal doc_id, one. Null counts as empty,
-and all blank texts are one group. An empty table gives no row. Other columns
-are not read.
+and all blank texts are one group. Texts of any length are compared whole; one
+longer than an owner's bytes has an owner of its own. An empty table gives no row.
+Other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ to tasks: every pair still meets. Components then join the trees.
 
 Null, empty and blank texts have fingerprint zero and link like any other. Rows
 with equal doc_id keep their own fingerprints; a null doc_id stays null and is
-no component's smallest unless it has no other. Other columns are not read.
+no component's smallest unless it has no other. Texts of any length are hashed as a
+whole, and repeated rows are one fingerprint. An empty table gives no row. Other
+columns are not read, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
