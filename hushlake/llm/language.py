@@ -210,7 +210,8 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     hashed = F.xxhash64("doc_id")
     share = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    few = ids.join(sizes, "lang").filter(share < (3.0 * size + 100) / F.col("n"))
+    # One row a language, of which a model holds all with a column each, so they may be broadcast.
+    few = ids.join(F.broadcast(sizes), "lang").filter(share < (3.0 * size + 100) / F.col("n"))
     # The order is that of the share, so what is over the threshold comes behind all that is not.
     first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(hashed, 11), hashed, "doc_id")
     few = few.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= size)
