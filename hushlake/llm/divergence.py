@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ TOP = 50
 #: Sources and terms in a block of the matrix of shares.
 SOURCES, TERMS = 64, 4096
 #: Counts that a task holds before it gives them on.
-HELD = 400_000
+HELD = 200_000
 #: Characters of a text that are cut into terms at a time.
 PIECE = 1 << 22
 #: Upper-case letters to lower case, letters and bytes beyond ASCII as they are, all else to a blank.
@@ -230,37 +231,39 @@ def _dominators(high: np.ndarray, low: np.ndarray, order: np.ndarray, over: np.n
     return found.sum(axis=1)
 
 
+#: Rows that a task holds besides its groups' bands.
+WAITING = 200_000
+
+
+def _bands(rows: pa.Table, k: int) -> pa.Table:
+    """The rows of each group's skyband."""
+    order = np.empty(rows.num_rows, np.int64)
+    order[pc.sort_indices(rows, [("term", "ascending")]).to_numpy()] = np.arange(rows.num_rows)
+    lang, source = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    high, low = rows.column("n").to_numpy(), rows.column("lang_n").to_numpy()
+    by_group = np.argsort(group, kind="stable")
+    kept = []
+    for own in np.split(by_group, np.flatnonzero(np.diff(group[by_group])) + 1):
+        kept.append(own[skyband(high[own], low[own], order[own], k)])
+    return rows.take(pa.array(np.sort(np.concatenate(kept))))
+
+
 def _band(k: int):
     """Reads rows of groups in any order; gives each group's skyband at the end."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("lang_n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[list]] = {}
-
-        def shrink(group: list[list]) -> None:
-            named, n, lang_n = group
-            order = np.empty(len(named), np.int64)
-            order[sorted(range(len(named)), key=named.__getitem__)] = np.arange(len(named))
-            kept = skyband(np.array(n, np.int64), np.array(lang_n, np.int64), order, k).tolist()
-            group[:] = [[column[i] for i in kept] for column in group]
-
-        waiting: Counter = Counter()
+        held: list[pa.RecordBatch] = []
+        waiting = 0
         for batch in batches:
-            for lang, source, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                group = held.setdefault((lang, source), [[], [], []])
-                for column, value in zip(group, row, strict=True):
-                    column.append(value)
-                waiting[lang, source] += 1
-                if waiting[lang, source] >= 20_000:
-                    shrink(group)
-                    waiting[lang, source] = 0
-        for (lang, source), group in held.items():
-            shrink(group)
-            yield pa.record_batch(
-                [pa.array([lang] * len(group[0]), pa.string()), pa.array([source] * len(group[0]), pa.string()),
-                 *(pa.array(c, f.type) for c, f in zip(group, list(schema)[2:], strict=True))],
-                schema=schema,
-            )
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting >= WAITING:
+                held, waiting = _bands(pa.Table.from_batches(held), k).to_batches(), 0
+        if held:
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows:
+                yield from _bands(rows, k).to_batches()
 
     return run
 
