@@ -12,7 +12,9 @@ miss three pairs in a million at a similarity of 0.8 and compare 18 % at 0.3. Of
 2. ``chains``: tasks send the band keys of the lines that a batch first shows, as
    arrays by range of key. A key that several lines of a batch share is sent once,
    and a chain through those lines beside it, so a bucket with very many lines
-   is no hot key. Whoever gets a range chains the lines that share a key.
+   is no hot key. Whoever gets a range chains the lines that share a key. Keys go as
+   the 32 bits that do not name the range, lines as 40 bits of their digest: 9 bytes a key.
+   What agrees by chance (512 pairs of keys in a range) makes a few more candidates.
    Distributed union-find makes groups of candidates out of the chains.
 3. Each candidate line's text goes to its group once; other lines stay where they
    are, held back by a bitmap of the candidates. In a group pairs are verified
@@ -51,6 +53,8 @@ FEW = 64
 CHUNK = 1 << 16
 #: Keys that a task chains, on average.
 RANGE = 1 << 21
+#: Bytes of a digest that name a candidate; candidates are verified.
+NODE_BYTES = 5
 LAST_ID = (1 << 63) - 1
 
 
@@ -157,13 +161,19 @@ def occurrences(docs: DataFrame, row: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, places array<int>, ids array<binary>")
 
 
-def node(digest_column: str):
-    """The first half of a digest as a number: enough to name a candidate, as candidates are verified."""
-    return F.conv(F.hex(F.substring(digest_column, 1, 8)), 16, -10).cast("long")
+def _nodes(digests: list[bytes]) -> np.ndarray:
+    """The first NODE_BYTES of digests as numbers: enough to name a candidate, as candidates are verified."""
+    return _wide(b"".join(x[:NODE_BYTES] for x in digests))
 
 
-def _nodes(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(x[:8] for x in digests), ">i8").astype(np.int64)
+def _wide(narrow: bytes) -> np.ndarray:
+    wide = np.zeros((len(narrow) // NODE_BYTES, 8), np.uint8)
+    wide[:, :NODE_BYTES] = np.frombuffer(narrow, np.uint8).reshape(-1, NODE_BYTES)
+    return wide.view("<i8").ravel().astype(np.int64)
+
+
+def _narrow(nodes: np.ndarray) -> bytes:
+    return nodes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES].tobytes()
 
 
 def _chained(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +188,7 @@ def _chained(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def chains(docs: DataFrame, n_lines: int, in_range: int = RANGE) -> DataFrame:
     """(a, b): pairs of nodes that join the lines of each bucket."""
     ranges = max(1, -(-n_lines * BANDS // in_range))
-    schema = pa.schema([("range", pa.int32()), ("keys", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
+    schema = pa.schema([("range", pa.int32()), ("keys", pa.list_(pa.int32())), ("nodes", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +200,15 @@ def chains(docs: DataFrame, n_lines: int, in_range: int = RANGE) -> DataFrame:
             keys, nodes = keys[heads], nodes[heads]  # in order of keys
             of_range = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             held, begins = np.unique(of_range, return_index=True)
-            ends = pa.array(np.append(begins, len(keys)), pa.int32())
-            rows = [pa.array(held, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(nodes))]
-            yield pa.record_batch(rows, schema=schema)
+            ends = np.append(begins, len(keys)).astype(np.int32)
+            low = pa.array(keys.astype(np.uint32).view(np.int32))
+            named = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ends * np.int32(NODE_BYTES)), pa.py_buffer(_narrow(nodes))])
+            yield pa.record_batch([pa.array(held, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), low), named], schema=schema)
             if len(a):
                 # Pairs that are found already: no keys, and a, b by turns.
                 pairs = np.stack([a, b], axis=1).ravel()
                 yield pa.record_batch(
-                    [pa.array(held[:1], pa.int32()), pa.array([None], schema.field(1).type), pa.array([pairs], schema.field(2).type)], schema=schema
+                    [pa.array(held[:1], pa.int32()), pa.array([None], schema.field(1).type), pa.array([_narrow(pairs)], pa.binary())], schema=schema
                 )
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +216,9 @@ def chains(docs: DataFrame, n_lines: int, in_range: int = RANGE) -> DataFrame:
         names = ["a", "b"]
         for batch in batches:
             for keys, nodes in zip(batch.column(1), batch.column(2), strict=True):
-                found = nodes.values.to_numpy()
+                found = _wide(nodes.as_py())
                 if keys.is_valid:
-                    held.append((keys.values.to_numpy().view(np.uint64), found))
+                    held.append((keys.values.to_numpy(), found))
                 else:
                     yield pa.record_batch([pa.array(found[0::2]), pa.array(found[1::2])], names=names)
         if held:
@@ -215,7 +226,7 @@ def chains(docs: DataFrame, n_lines: int, in_range: int = RANGE) -> DataFrame:
             for i in range(0, len(a), 1 << 16):
                 yield pa.record_batch([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], names=names)
 
-    sent = _texts(docs).select("text").mapInArrow(send, "range int, keys array<long>, nodes array<long>")
+    sent = _texts(docs).select("text").mapInArrow(send, "range int, keys array<int>, nodes binary")
     return sent.repartitionById(ranges, "range").mapInArrow(chain, "a long, b long").distinct()
 
 
@@ -321,13 +332,17 @@ def judge(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> DataFr
     of_line = components(links(docs, n_lines, block)).select(F.col("node").alias("id"), "root")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("order"), "row", F.col("x.places").alias("line"))
     each = places.select(F.explode(F.arrays_zip("places", "ids")).alias("x"), "doc_id", "row").select(F.col("x.ids").alias("id"), place.alias("place"))
-    firsts = written(each.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n")), "firsts")
+    # Roots come along as rows without a place, so that lines are shuffled once for both.
+    rooted = of_line.select("id", F.lit(None).cast(each.schema["place"].dataType).alias("place"), "root")
+    both = each.withColumn("root", F.lit(None).cast("binary")).unionByName(rooted)
+    firsts = both.groupBy("id").agg(F.min("place").alias("first"), F.count("place").alias("n"), F.max("root").alias("root"))
     # A line that stands once in the corpus and is like no other needs no more work.
-    named = firsts.join(of_line, "id", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "id"))
-    named = written(named.select("id", "root", "first"), "named")
+    named = firsts.filter("n > 1 OR root IS NOT NULL").select("id", F.coalesce("root", "id").alias("root"), "first")
+    named = written(named, "named")
     kept = written(named.groupBy("root").agg(F.min("first").alias("kept")), "kept")
     known = written(named.select("id", "root").join(kept, "root").select("id", "kept"), "known")
-    dropped = each.join(known, "id").filter("place != kept").select(F.col("place.row").alias("row"), F.col("place.line").alias("line"))
+    bits = min(KEY_BITS, max(1 << 20, 16 * known.count()))
+    dropped = split_by_keys(each, known, ["id"], bits)[0].join(known, "id").filter("place != kept").select(F.col("place.row").alias("row"), F.col("place.line").alias("line"))
     dropped = dropped.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("dropped"))  # no more than a document's lines
     found = places.select("doc_id", "row", F.size("places").cast("long").alias("n_lines")).join(dropped, "row", "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
+from measure import shuffled  # noqa: E402
 
 from hushlake.llm import compression, exact, html_text, language, licences, lines, packing, rules, simhash, tokenization  # noqa: E402
 from hushlake.llm.common import ready, tokenizer_path, written  # noqa: E402
@@ -535,6 +536,32 @@ def test_near_lines(spark):
     assert texts == sorted((d, "\n".join(line for n, line in enumerate(t) if n not in x)) for d, t, x in numbered)
 
 
+def test_band_keys_travel_in_few_bytes(spark):
+    """Of 24 keys a line each takes 9 bytes of the shuffle and some per array; chains are the lines that share a band."""
+    rng = random.Random(5)
+    own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=40)) for _ in range(8_000)]
+    texts = ["\n".join(own[i : i + 40]) for i in range(0, 8_000, 40)] + [f"{line[:-1]}#" for line in own[:400]]
+    frame = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "long_lines").coalesce(1)
+    pairs = []
+    n, size = shuffled(spark, lambda: pairs.extend(tuple(r) for r in lines.chains(frame, 8_400, 1 << 16).collect()))
+    assert size < 11 * lines.BANDS * 8_400
+    numbers = lines._nodes([lines.digest(line) for line in lines._first(texts).values()]).tolist()
+    lists = list(lines._first(texts).values())
+    keys = dict(zip(numbers, lines.bands(lists), strict=True))
+    shared = {frozenset(p) for p in pairs if (keys[p[0]] == keys[p[1]]).any()}
+    joined = {frozenset((a, b)) for a, b in zip(numbers[:400], numbers[8_000:], strict=True) if (keys[a] == keys[b]).any()}
+    assert len(joined) > 390 and joined <= shared
+    assert len({frozenset(p) for p in pairs} - shared) < 20  # keys that agree by chance
+
+
+def test_nodes_are_the_first_bytes_of_digests():
+    digests = [lines.digest(str(i)) for i in range(1_000)] + [b"\xff" * 16, b"\0" * 16]
+    numbers = lines._nodes(digests)
+    assert numbers.dtype == np.int64 and numbers.min() == 0 and numbers.max() == (1 << 8 * lines.NODE_BYTES) - 1
+    assert len(set(numbers.tolist())) == len(digests)
+    assert (lines._wide(lines._narrow(numbers)) == numbers).all() and len(lines._narrow(numbers)) == lines.NODE_BYTES * len(digests)
+
+
 @pytest.mark.parametrize("size", [15, 50, 100])
 def test_bands_hold_pairs_at_the_threshold(size):
     """Lines that lost a fifth of their shingles share a band with the whole ones."""
