@@ -65,6 +65,12 @@ def records(v: Column) -> Column:
     return F.coalesce(items, F.from_json(F.lit("[]"), "array<variant>"))
 
 
+def open_records(v: Column, names: Iterable[str]) -> Column:
+    """Members of the objects of an array, taken apart in one cast; an empty array for anything else."""
+    kind_ = f"array<struct<{_members(names)}>>"
+    return F.coalesce(F.filter(F.try_variant_get(v, "$", kind_), lambda x: x.isNotNull()), F.array().cast(kind_))
+
+
 def text(v: Column, default: str | Column = "") -> Column:
     return F.coalesce(optional_text(v), default if isinstance(default, Column) else F.lit(default))
 

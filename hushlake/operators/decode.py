@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import variants as V
+from hushlake.functions.once import compute_once
 
 # What reads a member, given the opened object and the member's name.
 Reader = Callable[[Column, str], Column]
@@ -94,9 +95,7 @@ def object_or_defaults(shape: Shape) -> Reader:
 
 def objects(shape: Shape) -> Reader:
     """The objects of a list; other members are dropped."""
-    return lambda o, name: F.transform(
-        V.records(o[name]), lambda r: V.bind(V.open_record(r, shape), lambda x: built(shape, x))
-    )
+    return lambda o, name: F.transform(V.open_records(o[name], shape), lambda x: built(shape, x))
 
 
 SWITCH: Shape = {"type": text(), "enabled": flag(True)}
@@ -231,19 +230,20 @@ SHAPES: dict[str, Shape] = {
 def decode(df: DataFrame, kind: str, json: str = "json", keep: list[str] | None = None) -> DataFrame:
     """Decode a column of JSON text; the members of the document become columns.
 
-    Members that are not used later are not read from the text.
+    Members that are not used later are not read from the text. A text is parsed once, whatever filters follow,
+    also those that Spark infers from an ``inline`` or ``explode`` of a member.
     """
     shape, kept = SHAPES[kind], keep or []
-    opened = df.select(*kept, V.open_json(F.col(json), shape).alias("__opened"))
+    opened = compute_once(df.select(*kept, F.col(json).alias("__json")), {"__opened": V.open_json(F.col("__json"), shape)}, ["__json"])
     return opened.select(*kept, *[read(F.col("__opened"), name).alias(name) for name, read in shape.items()])
 
 
 def decode_list(df: DataFrame, kind: str, member: str, json: str = "json", keep: list[str] | None = None) -> DataFrame:
     """Decode the objects of one list of a JSON document, one row each, with their place ``pos``."""
     shape, kept = SHAPES[kind], keep or []
-    opened = df.select(*kept, V.open_json(F.col(json), [member]).alias("__opened"))
-    items = opened.select(*kept, F.posexplode(V.records(F.col("__opened")[member])).alias("pos", "__item"))
-    apart = items.select(*kept, "pos", V.open_record(F.col("__item"), shape).alias("__opened"))
+    # From an explode that is not outer, Spark infers a filter that holds the parsing once more, and moves it to the scan.
+    opened = df.select(*kept, V.open_records(V.open_json(F.col(json), [member])[member], shape).alias("__items"))
+    apart = opened.select(*kept, F.posexplode_outer("__items").alias("pos", "__opened")).filter("pos IS NOT NULL")
     return apart.select(*kept, "pos", *[read(F.col("__opened"), name).alias(name) for name, read in shape.items()])
 
 

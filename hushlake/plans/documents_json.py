@@ -289,7 +289,8 @@ SELECT event_id, {_t('path', j='f')} AS path, {_t('original_masked', j='f')} AS
 )
 def decode_fields(spark, sf_dir):
     decoded = decode(json_documents(spark, sf_dir, "request"), "request_detail", keep=["event_id"])
-    return decoded.select("event_id", F.inline("fields")).select(
+    # An ``inline`` that is not outer would read the fields twice: for the rows, and to leave out empty lists before them.
+    return decoded.select("event_id", F.inline_outer("fields")).filter("path IS NOT NULL").select(
         "event_id", "path", "original_masked", "redacted",
         F.expr(
             "array_join(transform(entities, e -> concat_ws('/', e.type, e.replacement, coalesce(e.masked, '-'), "

@@ -131,3 +131,20 @@ def test_lists(spark):
 def test_only_whole_json_is_decoded(spark, json_text, fine):
     df = spark.createDataFrame([(json_text,)], "json string")
     assert decode(df, "upstreams").first().id == ("x" if fine else "")
+
+
+def _parsers(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+
+def test_a_text_is_parsed_once_though_its_list_is_taken_apart(spark, sf_dir):
+    """Spark infers a filter from an explode, which must not hold the parsing again, nor run it before the rows are dealt out."""
+    from hushlake.plans.catalog import QUERIES
+
+    docs = spark.createDataFrame([(1, '{"rules": [{"id": "a"}, 5, null, [], "x", {"id": 7}]}'), (2, '{"rules": []}'), (3, "{")], "n long, json string")
+    exploded = decode(docs, "policy", keep=["n"]).selectExpr("n", "inline(rules)")
+    assert [(r.n, r.id) for r in exploded.collect()] == [(1, "a"), (1, "")]
+    listed = decode_list(docs, "policy", "rules", keep=["n"])
+    assert [(r.n, r.pos, len(r.rules)) for r in listed.collect()] == [(1, 0, 0), (1, 1, 0)]
+    for df in (exploded, listed, QUERIES["decode_fields"](spark, sf_dir)):
+        assert _parsers(df) == 1
